@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, quality_rules
+from . import decontamination, jaccard_join, packing, quality_rules, secret_scans
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_secret_scans": secret_scans.op8_secret_scans,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
