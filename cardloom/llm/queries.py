@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, quality_rules, secret_scans
+from . import decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, secret_scans
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_secret_scans": secret_scans.op8_secret_scans,
+    "op9_language_id": language_id.op9_language_id,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
