@@ -61,10 +61,9 @@ def bgs_final(subgrades: Column) -> Column:
     low = F.array_min(subgrades)
     lowest = F.size(F.filter(subgrades, lambda x: x == low))
     tens = F.size(F.filter(subgrades, lambda x: x == 10))
-    mean = F.aggregate(subgrades, F.lit(0.0), lambda a, x: a + x) / F.size(subgrades)
-    grade = F.when(lowest >= 2, low).otherwise(F.least(low + 0.5, F.floor(mean * 2) / 2))
+    grade = F.when(lowest >= 2, low).otherwise(F.least(low + 0.5, F.lit(10.0)))
     label = F.when(tens == 4, "Black").when((tens == 3) & (low == 9.5), "Gold")
-    return F.struct(F.when(tens == 4, 10.0).otherwise(F.greatest(low, grade)).alias("grade"), label.alias("label"))
+    return F.struct(grade.alias("grade"), label.alias("label"))
 
 
 def similarity_confidence(similarity: Column) -> Column:
