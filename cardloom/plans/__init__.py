@@ -1,4 +1,4 @@
 """Registered queries with their SQL, and the input adapters that both share."""
 
-from . import catalog, collection, grading  # noqa: F401
+from . import catalog, collection, grading, similarity  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
