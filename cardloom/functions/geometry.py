@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scores import array_median, array_stdev, half_up
+from .scores import array_median, array_stdev, half_up, let
 
 #: Fixed value: width over height of a card.
 CARD = 2.5 / 3.5
@@ -34,27 +34,37 @@ def _edge(o1: Column, o2: Column, i1: Column, i2: Column) -> Column:
         px, py = i1["x"] + (i2["x"] - i1["x"]) * t, i1["y"] + (i2["y"] - i1["y"]) * t
         return F.when(length == 0, 0.0).otherwise(F.abs((px - o1["x"]) * dy - (py - o1["y"]) * dx) / length)
 
+    def judge(two: Column) -> Column:
+        median, stdev = two["median"], two["stdev"]
+        cv = F.when(median > 0, stdev / median).otherwise(0.0)
+        confidence = F.when(cv < 0.05, "high").when(cv < 0.15, "medium").otherwise("low")
+        return F.struct(half_up(median, 1).alias("median"), half_up(stdev, 1).alias("stdev"), half_up(cv, 3).alias("cv"), confidence.alias("confidence"))
+
     samples = F.transform(F.array(*(F.lit(t) for t in SAMPLES)), width)
-    median, stdev = array_median(samples), array_stdev(samples)
-    cv = F.when(median > 0, stdev / median).otherwise(0.0)
-    confidence = F.when(cv < 0.05, "high").when(cv < 0.15, "medium").otherwise("low")
-    return F.struct(half_up(median, 1).alias("median"), half_up(stdev, 1).alias("stdev"), half_up(cv, 3).alias("cv"), confidence.alias("confidence"))
+    return let(let(samples, lambda s: F.struct(array_median(s).alias("median"), array_stdev(s).alias("stdev"))), judge)
 
 
 def corner_centering(outer: Column, inner: Column) -> Column:
     """struct of the four edges, lr, tb, confidence and low_edges from outer and inner corners (tl, tr, bl, br)."""
-    edges = {n: _edge(outer[a], outer[b], inner[a], inner[b]) for n, a, b in (("top", "tl", "tr"), ("bottom", "bl", "br"), ("left", "tl", "bl"), ("right", "tr", "br"))}
+    names = (("top", "tl", "tr"), ("bottom", "bl", "br"), ("left", "tl", "bl"), ("right", "tr", "br"))
+
+    def edges(c: Column) -> Column:
+        o, i = c["o"], c["i"]
+        return F.struct(*(_edge(o[a], o[b], i[a], i[b]).alias(n) for n, a, b in names))
+
+    def judge(e: Column) -> Column:
+        def ratio(a: str, b: str) -> Column:
+            both = e[a]["median"] + e[b]["median"]
+            return F.when(both > 0, half_up(e[a]["median"] / both * 100, 1)).otherwise(50.0)
 
-    def ratio(a: str, b: str) -> Column:
-        both = edges[a]["median"] + edges[b]["median"]
-        return F.when(both > 0, half_up(edges[a]["median"] / both * 100, 1)).otherwise(50.0)
+        def number(level: str) -> Column:
+            return sum((F.when(e[n]["confidence"] == level, 1).otherwise(0) for n, _, _ in names), F.lit(0))
 
-    def number(level: str) -> Column:
-        return sum((F.when(e["confidence"] == level, 1).otherwise(0) for e in edges.values()), F.lit(0))
+        low, medium = number("low"), number("medium")
+        overall = F.when(low >= 2, "low").when((low >= 1) | (medium >= 2), "medium").otherwise("high")
+        return F.struct(*(e[n].alias(n) for n, _, _ in names), ratio("left", "right").alias("lr"), ratio("top", "bottom").alias("tb"), overall.alias("confidence"), low.alias("low_edges"))
 
-    low, medium = number("low"), number("medium")
-    overall = F.when(low >= 2, "low").when((low >= 1) | (medium >= 2), "medium").otherwise("high")
-    return F.struct(*(e.alias(n) for n, e in edges.items()), ratio("left", "right").alias("lr"), ratio("top", "bottom").alias("tb"), overall.alias("confidence"), low.alias("low_edges"))
+    return let(let(F.struct(outer.alias("o"), inner.alias("i")), edges), judge)
 
 
 def box_of_corners(c: Column) -> Column:

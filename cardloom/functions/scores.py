@@ -12,6 +12,11 @@ EUR_TO_USD = 1.08
 BOUNDARIES = (990, 950, 900, 850, 800, 700, 600, 500)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def half_up(x: Column, digits: int = 0) -> Column:
     """Rounds halves up (towards plus infinity)."""
     scale = float(10**digits)
@@ -183,13 +188,21 @@ def displayed_centering(text: Column, ratio: Column) -> Column:
 
 def array_median(x: Column) -> Column:
     """The middle of the sorted values or the mean of the two middle ones; 0 for an empty array."""
-    s, n = F.array_sort(x), F.size(x)
-    mid = F.floor(n / 2).cast("int")
-    return F.when(n == 0, 0.0).when(n % 2 == 1, F.get(s, mid).cast("double")).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        mid = F.floor(n / 2).cast("int")
+        return F.when(n == 0, 0.0).when(n % 2 == 1, F.get(s, mid).cast("double")).otherwise((F.get(s, mid - 1) + F.get(s, mid)) / 2)
+
+    return let(F.array_sort(x), middle)
 
 
 def array_stdev(x: Column) -> Column:
     """Population standard deviation; 0 for an empty array."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    return F.when(n == 0, 0.0).otherwise(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n))
+
+    def spread(s: Column) -> Column:
+        n = F.size(s)
+        mean = F.aggregate(s, F.lit(0.0), lambda a, v: a + v) / n
+        return let(mean, lambda m: F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / n))
+
+    return F.when(F.size(x) == 0, 0.0).otherwise(let(x, spread))
