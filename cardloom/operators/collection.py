@@ -15,7 +15,7 @@ COMPANIES = ("tag", "psa", "bgs", "cgc", "sgc")
 def page_scans(scans: DataFrame, limit: int = 50, offset: int = 0, order_by: str = "created_at", ascending: bool = False, key: str = "id") -> DataFrame:
     """One page of every user's scans; equal order values go by id, descending like the default order."""
     order = [F.asc(order_by) if ascending else F.desc(order_by), F.desc(key)]
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*order)).cast("long")
     return scans.withColumn("position", rank).where(F.col("position").between(offset + 1, offset + limit))
 
 
@@ -36,7 +36,7 @@ def apply_scan_changes(scans: DataFrame, changes: DataFrame, key: str = "id") ->
 def favorite_scans(scans: DataFrame) -> DataFrame:
     """Favourites with their position in their user's newest-first list."""
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return scans.where("is_favorite").withColumn("position", F.row_number().over(newest))
+    return scans.where("is_favorite").withColumn("position", F.row_number().over(newest).cast("long"))
 
 
 def search_scans(scans: DataFrame, terms: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ def collection_stats(scans: DataFrame, newest: int | None = None) -> DataFrame:
     score = F.coalesce(truthy(F.col("ai_score"), 0), truthy(F.col("raw_score"), 0))
     return scans.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_cards"),
-        half_up(F.coalesce(F.sum(F.col("eur") * EUR_TO_USD), F.lit(0.0)), 2).alias("total_value"),
-        F.coalesce(half_up(F.avg(F.when(score > 0, score / 100)), 1), F.lit(0.0)).alias("avg_grade"),
+        half_up(F.coalesce(F.sum((F.col("eur") * EUR_TO_USD).cast("decimal(18,6)")).cast("double"), F.lit(0.0)), 2).alias("total_value"),
+        F.coalesce(half_up(F.sum(F.when(score > 0, score)) / F.count(F.when(score > 0, score)) / 100, 1), F.lit(0.0)).alias("avg_grade"),
     )
 
 

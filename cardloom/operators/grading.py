@@ -55,8 +55,7 @@ def grade_scans(scans: DataFrame, dings: DataFrame, companies: tuple[str, ...] =
     company = F.col("company")
     scored = each.withColumns({"front_score": scales.client_centering_score(F.col("front_offset"), "front", company), "back_score": scales.client_centering_score(F.col("back_offset"), "back", company)})
     raw = scored.withColumn("raw_score", F.greatest(F.lit(300), compound_client(F.col("front_score"), F.col("back_score"), F.col("condition"))))
-    band = scales.grade_from_score(F.col("raw_score"), company)
-    return raw.withColumn("band", band).select("*", "band.grade", "band.label").drop("band")
+    return scales.with_grade(raw)
 
 
 def scoring_defects(defects: DataFrame, least: float = 0.75) -> DataFrame:

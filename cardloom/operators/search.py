@@ -48,7 +48,7 @@ def search_cards(queries: DataFrame, catalog: DataFrame, limit: int = 50) -> Dat
         "match_score", match_score(F.col("q_name"), F.col("q_local"), F.col("q_total"), F.col("q_hp"), F.col("name"), F.col("local_id"), F.col("set_total"), F.col("hp"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("match_score"), F.desc(F.coalesce(leading_int(F.col("local_id")), F.lit(0))), "source", "ord")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).select("query_id", "card_id", "match_score", "position")
+    return scored.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= limit).select("query_id", "card_id", "match_score", "position")
 
 
 def new_cards(listing: DataFrame, existing: DataFrame, key: str = "card_id") -> DataFrame:

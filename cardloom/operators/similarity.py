@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scales import chain
-from ..functions.scores import array_median, hamming_confidence, similarity_confidence
+from ..functions.scores import array_median, hamming_confidence, let, similarity_confidence
 from ..functions.text import card_id_parts, match_image_url
 
 #: Gallery vectors in one block row, and most bytes of a gallery that is sent to every task whole.
@@ -132,7 +132,7 @@ def cosine_topk(queries: DataFrame, gallery: DataFrame, k: int = 10, cards: Data
                     yield rows(qs, m, best_of_block(m, np.array(ids, dtype=object), np.frombuffer(raw, "<f8").reshape(len(ids), -1), k))
 
         partial = grouped.crossJoin(blocks).mapInArrow(pair, schema)  # of blocks, not of vectors
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "card_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "card_id")).cast("long")
     top = partial.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("confidence", similarity_confidence(F.col("similarity")))
     return enrich(top, cards) if cards is not None else top
 
@@ -155,10 +155,12 @@ def match_status(queries: DataFrame, matches: DataFrame, confidence: str = "conf
 def hash_of_block(block: Column) -> Column:
     """16 hex digits of 64 values of an 8x8 frequency block: without the first, bit i says value i exceeds their median;
     the last bit is 0."""
-    rest = F.slice(block, 2, 63)
-    median = array_median(F.transform(rest, lambda x: x.cast("double")))
-    bits = F.concat(F.array_join(F.transform(rest, lambda x: F.when(x.cast("double") > median, "1").otherwise("0")), ""), F.lit("0"))
-    return F.lower(F.concat(*(F.lpad(F.conv(F.substring(bits, 1 + 16 * k, 16), 2, 16), 4, "0") for k in range(4))))
+
+    def bits(x: Column) -> Column:
+        return let(array_median(x), lambda m: F.concat(F.array_join(F.transform(x, lambda v: F.when(v > m, "1").otherwise("0")), ""), F.lit("0")))
+
+    rest = F.transform(F.slice(block, 2, 63), lambda v: v.cast("double"))
+    return let(let(rest, bits), lambda b: F.lower(F.concat(*(F.lpad(F.conv(F.substring(b, 1 + 16 * k, 16), 2, 16), 4, "0") for k in range(4)))))
 
 
 def hash_halves(hash_: Column) -> tuple[Column, Column]:
@@ -184,7 +186,7 @@ def hamming_topn(queries: DataFrame, cards: DataFrame, n: int = 5) -> DataFrame:
     pairs = _halved(queries, "query_id", "q").join(_halved(cards, "card_id", "c"), F.lit(True))
     d = hamming((F.col("qhi"), F.col("qlo")), (F.col("chi"), F.col("clo")))
     near = pairs.select("query_id", "card_id", d.alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "card_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "card_id")).cast("long")
     return near.withColumn("rank", rank).where(F.col("rank") <= n).withColumn("confidence", hamming_confidence(F.col("distance")))
 
 

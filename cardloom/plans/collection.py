@@ -106,8 +106,8 @@ def _(f):
     return f.scans.select("id", merged.alias("m")).select("id", "m.*")
 
 
-STATS = f"""SELECT user_id, count(*) AS total_cards, floor(coalesce(sum({PRICE} * 1.08::DOUBLE), 0::DOUBLE) * 100 + 0.5::DOUBLE) / 100 AS total_value,
-    coalesce(floor(avg(CASE WHEN coalesce(nullif(ai_score, 0), raw_score) > 0 THEN coalesce(nullif(ai_score, 0), raw_score) / 100 END) * 10 + 0.5::DOUBLE) / 10, 0) AS avg_grade FROM"""
+STATS = f"""SELECT user_id, count(*) AS total_cards, floor(coalesce(CAST(sum(CAST({PRICE} * 1.08::DOUBLE AS DECIMAL(18, 6))) AS DOUBLE), 0::DOUBLE) * 100 + 0.5::DOUBLE) / 100 AS total_value,
+    coalesce(floor(CAST(sum(CASE WHEN coalesce(nullif(ai_score, 0), raw_score) > 0 THEN coalesce(nullif(ai_score, 0), raw_score) END) AS DOUBLE) / count(CASE WHEN coalesce(nullif(ai_score, 0), raw_score) > 0 THEN 1 END) / 100 * 10 + 0.5::DOUBLE) / 10, 0) AS avg_grade FROM"""
 
 
 @query("a5_collection_stats", f"{STATS} {{scans}} GROUP BY user_id")
