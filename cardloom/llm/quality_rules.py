@@ -31,7 +31,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rejection bands for each script: least and most characters per token, most byte-fallback share, least
 #: entropy in bits as a share of the most that so many tokens of the vocabulary could have.
 BANDS = {
-    "latin": (1.55, 6.5, 0.05, 0.60),
+    "latin": (1.55, 6.5, 0.05, 0.59),
     "greek": (0.7, 4.0, 0.30, 0.45),
     "cyrillic": (0.9, 5.0, 0.15, 0.50),
     "arabic": (0.6, 4.0, 0.35, 0.40),
