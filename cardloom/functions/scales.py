@@ -177,9 +177,14 @@ def company_grade(score: Column, company: Column, front: Column, back: Column) -
 
     ok: psa's centering holds, cgc and sgc are pristine; null elsewhere. A missing front counts as 50, a missing or zero back too.
     """
-    f, b = F.coalesce(front, F.lit(50.0)), F.coalesce(F.nullif(back, F.lit(0.0)), F.lit(50.0))
-    own = tag_grade(score)
-    g, label = own["grade"], own["label"]
+    known = F.struct(
+        tag_grade(score)["grade"].alias("g"), F.coalesce(front, F.lit(50.0)).alias("f"), F.coalesce(F.nullif(back, F.lit(0.0)), F.lit(50.0)).alias("b"), score.alias("s"), company.alias("c")
+    )
+    return F.transform(F.array(known), _company_grade)[0]  # each part is worked out once
+
+
+def _company_grade(known: Column) -> Column:
+    g, f, b, score, company = (known[n] for n in "gfbsc")
     psa_ok = (f <= 55) & (b <= 75)
     psa = F.when(~psa_ok & (g == 10), 9.0).otherwise(g)
     sub = chain([((f <= 50) & (b <= 50), F.lit(10.0)), ((f <= 55) & (b <= 60), F.lit(9.5)), ((f <= 60) & (b <= 65), F.lit(9.0)), ((f <= 65) & (b <= 75), F.lit(8.0))], F.lit(7.0))
