@@ -236,7 +236,7 @@ def judge(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return blocks.select(*columns).mapInArrow(run, "rep long, links long, other long")
 
 
-def component_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its connected component) for undirected edges a, b.
 
     Alternates large-star and small-star steps until nothing changes; each round is written to the shared folder.
@@ -246,7 +246,7 @@ def component_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     now = saved(directed(edges), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             break
