@@ -1,12 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items, one scan of each text.
 
 Text and items are lower-cased (A-Z) and reduced to words of digits, letters and anything beyond ASCII. The
-patterns are the windows of 13 consecutive item words (an item with fewer words is one window), with a
-space on both sides; a document is scanned once as its words joined by spaces, and every match is mapped
-back to word numbers and to places in the original text.
+patterns are the windows of 13 consecutive item words (an item with fewer words is one window); a document's
+words are scanned once, and every match is mapped back to places in the original text.
 
-Patterns are held in memory only up to MAX_PATTERN_BYTES; a larger benchmark is dealt to several automata, each
-scans all documents, and the hits are united by document.
+The automaton reads the numbers of the items' words, each written with a few symbols (any other word has a symbol of
+its own), so its size does not depend on how long words are. A benchmark of more than MAX_PATTERN_BYTES is dealt to several automata, each scans all
+documents, and the hits are united by document.
 
 Defined cases: null and empty texts have no words; items without words never match; repeated items count by
 distinct item_id; a null item_id is not counted but its words are hit; repeated document rows give one row each.
@@ -26,8 +26,10 @@ from .common import by_ids, map_rows, table
 WINDOW = 13
 #: Share of hit words from which a document counts as contaminated: 1 of 20.
 SHARE = 20
-#: Bytes of all items' texts for one automaton; 13 overlapping windows make about 13 times as much.
-MAX_PATTERN_BYTES = 8_000_000
+#: Bytes of all items' texts for one automaton: about 250 bytes of memory in each Python worker for one of text.
+MAX_PATTERN_BYTES = 2_000_000
+#: Symbols for one digit of a word's number; a node's edges are searched one after another, so it is small.
+DIGITS = 32
 
 #: Lower-cases A-Z, keeps digits, a-z and all bytes of characters beyond ASCII, blanks the rest.
 _TABLE = bytes(
@@ -39,44 +41,48 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> Iterator[bytes]:
+def windows(words: list[int], size: int = WINDOW) -> Iterator[tuple[int, ...]]:
     if words:
         for k in range(max(1, len(words) - size + 1)):
-            yield b" ".join(words[k : k + size])
-
-
-def automaton(items: list[tuple[object, str | None]], size: int = WINDOW):
-    """Aho-Corasick over Latin-1 views of UTF-8 bytes, so one byte is one symbol."""
-    import ahocorasick
-
-    found: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
-        for w in windows(normal_words(text), size):
-            found.setdefault(w, (w.count(b" ") + 1, set()))[1].add(item)
-    if not found:
-        return None
-    tree = ahocorasick.Automaton()
-    for w, (n, ids) in found.items():
-        tree.add_word(f" {w.decode('latin-1')} ", (n, ids))
-    tree.make_automaton()
-    return tree
-
-
-def scan(words: list[bytes], tree) -> tuple[np.ndarray, set]:
-    """Which words are hit, and the items whose windows occur."""
-    hit = np.zeros(len(words), dtype=bool)
-    items: set = set()
-    if tree is None or not words:
+            yield tuple(words[k : k + size])
+
+
+class Patterns:
+    """The items' windows as one Aho-Corasick automaton over word numbers."""
+
+    def __init__(self, items: list[tuple[object, str | None]], size: int = WINDOW):
+        import ahocorasick
+
+        numbers: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], list] = {}
+        for item, text in items:
+            words = [numbers.setdefault(w, len(numbers)) for w in normal_words(text)]
+            for w in windows(words, size):
+                owners = found.setdefault(w, [])
+                if item not in owners:
+                    owners.append(item)
+        # every digit's place has symbols of its own, so a match can only start where a word starts
+        self.width = next(k for k in range(1, 9) if DIGITS**k >= len(numbers))
+        codes = ["".join(chr(DIGITS * p + n // DIGITS**p % DIGITS) for p in range(self.width)) for n in range(len(numbers))]
+        self.codes = dict(zip(numbers, codes, strict=True))
+        self.other = chr(DIGITS * self.width) * self.width
+        self.tree = ahocorasick.Automaton() if found else None
+        for w, owners in found.items():
+            self.tree.add_word("".join(map(codes.__getitem__, w)), (len(w), owners))
+        if found:
+            self.tree.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
+        """Which words are hit, and the items whose windows occur."""
+        hit = np.zeros(len(words), dtype=bool)
+        items: set = set()
+        if self.tree is not None and words:
+            get, other = self.codes.get, self.other
+            for end, (n, owners) in self.tree.iter("".join([get(w, other) for w in words])):
+                last = end // self.width
+                hit[last - n + 1 : last + 1] = True
+                items.update(owners)
         return hit, items
-    text = f" {b' '.join(words).decode('latin-1')} "
-    found = [(end, *value) for end, value in tree.iter(text)]
-    if found:
-        blanks = np.cumsum([1 + len(w) for w in words])  # the place of the blank after each word
-        last = np.searchsorted(blanks, [f[0] for f in found])
-        for k, (_, n, ids) in zip(last.tolist(), found, strict=True):
-            hit[k - n + 1 : k + 1] = True
-            items |= ids
-    return hit, items
 
 
 def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -103,8 +109,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     if blocks == 1:
         return map_rows(docs, ["doc_id", "text"], _scanner([tuple(r) for r in named.collect()], size), schema)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").groupBy("row", "doc_id").agg(
+        F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
     )
     found = None
     for b in range(blocks):
@@ -112,8 +118,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
         hits = map_rows(keyed, ["row", "doc_id", "text", "copies"], _word_scanner([tuple(r) for r in part.collect()], size),
                         "row long, doc_id long, copies long, n_words long, hit array<int>, items array<string>, text string")
         found = hits if found is None else found.unionByName(hits)
-    united = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"), F.max("n_words").alias("n_words"),
+    united = found.groupBy("row", "doc_id").agg(
+        F.first("copies").alias("copies"), F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("text").alias("text"),
     )
@@ -122,11 +128,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
 def _scanner(items, size):
     def make():
-        tree = automaton(items, size)
+        patterns = Patterns(items, size)
 
         def row(doc_id, text):
             words = normal_words(text)
-            hit, found = scan(words, tree)
+            hit, found = patterns.scan(words)
             spans = [{"start": a, "end": b} for a, b in original_spans(text, hit)] if found else []
             yield doc_id, len(words), int(hit.sum()), sorted(x for x in found if x is not None), spans
 
@@ -137,11 +143,11 @@ def _scanner(items, size):
 
 def _word_scanner(items, size):
     def make():
-        tree = automaton(items, size)
+        patterns = Patterns(items, size)
 
         def row(row_id, doc_id, text, copies):
             words = normal_words(text)
-            hit, found = scan(words, tree)
+            hit, found = patterns.scan(words)
             yield row_id, doc_id, copies, len(words), np.flatnonzero(hit).tolist(), sorted(x for x in found if x is not None), text if found else None
 
         return row
@@ -179,12 +185,12 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share:
     items = [tuple(r) for r in named.collect()]
 
     def run(batches):
-        tree = automaton(items, size)
+        patterns = Patterns(items, size)
         for batch in batches:
             keep = []
             for text in batch.column("text").to_pylist():
                 words = normal_words(text)
-                hit = int(scan(words, tree)[0].sum())
+                hit = int(patterns.scan(words)[0].sum())
                 keep.append(not (hit and share * hit >= len(words)))
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
