@@ -2,7 +2,7 @@
 
 Fertility: a public piece vocabulary with byte fallback encodes every word; a text is judged by its characters per
 token, the share of byte-fallback tokens, and the entropy of its tokens. Rejection bands hold for each script (the
-one with most letters). The text is encoded as its words joined by single spaces.
+one with most letters; "other" without a known one, "none" for ASCII without letters). The text is encoded as its words joined by single spaces.
 
 Defined cases: null and empty texts have no words, fail the base rules and are not kept; repeated
 rows give one row each; an empty table gives no rows; extra columns are ignored.
@@ -30,8 +30,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Rejection bands for each script: least and most characters per token, most byte-fallback share, least
 #: entropy in bits as a share of the most that so many tokens of the vocabulary could have.
+#: Latin prose stays above 1.3 characters for each token even with a key or numbers among 20 words; random digits,
+#: hexadecimal, base64 and symbols give 0.9 to 1.25.
 BANDS = {
-    "latin": (1.55, 6.5, 0.05, 0.59),
+    "latin": (1.3, 6.5, 0.05, 0.59),
     "greek": (0.7, 4.0, 0.30, 0.45),
     "cyrillic": (0.9, 5.0, 0.15, 0.50),
     "arabic": (0.6, 4.0, 0.35, 0.40),
@@ -39,6 +41,7 @@ BANDS = {
     "indic": (0.3, 3.0, 0.70, 0.30),
     "cjk": (0.3, 2.0, 0.75, 0.30),
     "other": (0.2, 6.5, 0.80, 0.20),
+    "none": (1.3, 6.5, 0.05, 0.59),
 }
 
 #: Lead bytes of UTF-8 that belong to letters of a script (fixed by the encoding).
@@ -126,7 +129,7 @@ def script_of(raw: bytes) -> str:
     counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256) if raw else np.zeros(256)
     found = {name: int(counts[leads].sum()) for name, leads in _LEADS.items()}
     most = max(found, key=found.get)
-    return most if found[most] else "other"
+    return most if found[most] else "other" if counts[128:].any() else "none"
 
 
 def in_bands(script: str, per_token: float, byte_share: float, entropy: float, bands: dict) -> bool:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from cardloom.llm import quality_rules as q
@@ -45,6 +46,14 @@ def test_bands_by_script(spark):
     assert [r.kept for r in sorted(q.rate(docs).collect(), key=lambda r: r.doc_id)] == [True, True, False, False]
 
 
+def test_short_prose_with_a_key_stays_and_random_tokens_go(spark):
+    r = random.Random(2)
+    prose = "To see an old river again is what they had in mind when 4970190306279289 or +1 (608) 555-2280 or 37.92.178.161 came up."
+    noise = [" ".join("".join(r.choice(symbols) for _ in range(32)) for _ in range(40)) for symbols in ("0123456789abcdef", "0123456789", "#$%&*|<>!@{}[]")]
+    docs = spark.createDataFrame(list(enumerate([prose, *noise])), "doc_id long, text string")
+    assert [x.kept for x in sorted(q.rate(docs).collect(), key=lambda x: x.doc_id)] == [True, False, False, False]
+
+
 def test_quality_labels_are_respected(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     good = q.rate(docs.where("quality = 1"))
