@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scales import chain
 from ..functions.scores import array_median, hamming_confidence, let, similarity_confidence
@@ -27,9 +28,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_pairs(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """query_id, card_id, similarity of all pairs, in SQL: for small sides and as the twin of cosine_topk."""
+    """query_id, card_id, similarity of all pairs, in SQL: the twin of cosine_topk for tests; Q x N rows exist here."""
     q, g = queries.select("query_id", F.col("embedding").alias("qe")), gallery.select("card_id", F.col("embedding").alias("ge"))
-    return q.crossJoin(F.broadcast(g)).select("query_id", "card_id", cosine(F.col("qe"), F.col("ge")).alias("similarity")).where("similarity is not null")
+    return q.crossJoin(g).select("query_id", "card_id", cosine(F.col("qe"), F.col("ge")).alias("similarity")).where("similarity is not null")
 
 
 def blocks_of(gallery: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -181,11 +182,44 @@ def _halved(df: DataFrame, key: str, prefix: str) -> DataFrame:
 def hamming_topn(queries: DataFrame, cards: DataFrame, n: int = 5) -> DataFrame:
     """query_id, card_id, distance, rank, confidence of every query's n nearest cards (ties by card id).
 
-    Every query meets every card's 16 bytes; the smaller side is broadcast by the optimiser when it is small.
+    Every query meets every card's 16 bytes, as blocks of queries against blocks of cards: the n best of each
+    (query, block) go on, so Q x N rows never exist. Card blocks up to BROADCAST_BYTES are sent to every task whole.
     """
-    pairs = _halved(queries, "query_id", "q").join(_halved(cards, "card_id", "c"), F.lit(True))
-    d = hamming((F.col("qhi"), F.col("qlo")), (F.col("chi"), F.col("clo")))
-    near = pairs.select("query_id", "card_id", d.alias("distance"))
+    q, c = _halved(queries, "query_id", "q"), _halved(cards, "card_id", "c")
+    n_queries, n_cards = q.count(), c.count()
+
+    def packed(df: DataFrame, key: str, prefix: str, blocks: int) -> DataFrame:
+        item = F.struct(key, f"{prefix}hi", f"{prefix}lo")
+        listed = df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b")).agg(F.array_sort(F.collect_list(item)).alias("l"))
+        return listed.select(*(F.col(f"l.{x}").alias(x) for x in (key, f"{prefix}hi", f"{prefix}lo")))
+
+    few = min(queries.sparkSession.sparkContext.defaultParallelism, -(-n_queries // 64))
+    n_groups = max(1, few, -(-n_queries // BLOCK))
+    groups = packed(q, "query_id", "q", n_groups).repartition(n_groups)  # packed rows are small and would be coalesced into one task
+    blocks = packed(c, "card_id", "c", max(1, -(-n_cards // BLOCK)))
+    schema = StructType([StructField("query_id", q.schema["query_id"].dataType), StructField("card_id", c.schema["card_id"].dataType), StructField("distance", IntegerType())])
+
+    def bits(batch: pa.RecordBatch, row: int, prefix: str) -> np.ndarray:
+        hi, lo = (np.asarray(batch.column(f"{prefix}{x}")[row].values).astype(np.uint64) for x in ("hi", "lo"))
+        return hi << np.uint64(32) | lo
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                query_ids, card_ids = batch.column("query_id")[row].values, batch.column("card_id")[row].values
+                qs, cs = bits(batch, row, "q"), bits(batch, row, "c")
+                places, k = np.arange(len(cs)), min(n, len(cs))
+                for at in range(0, len(qs), 256):
+                    # distance and place in one number: the cards are sorted by id, so ties go by id
+                    keys = np.bitwise_count(qs[at : at + 256, None] ^ cs).astype(np.int64) * len(cs) + places
+                    best = np.partition(keys, k - 1, axis=1)[:, :k].ravel()
+                    yield pa.RecordBatch.from_arrays(
+                        [query_ids.take(pa.array(np.repeat(np.arange(at, at + len(keys)), k))), card_ids.take(pa.array(best % len(cs))), pa.array((best // len(cs)).astype(np.int32))],
+                        names=["query_id", "card_id", "distance"],
+                    )
+
+    small = 24 * n_cards <= BROADCAST_BYTES
+    near = groups.crossJoin(F.broadcast(blocks) if small else blocks).mapInArrow(run, schema)  # of blocks, not of hashes
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "card_id")).cast("long")
     return near.withColumn("rank", rank).where(F.col("rank") <= n).withColumn("confidence", hamming_confidence(F.col("distance")))
 

@@ -48,7 +48,17 @@ def _(f):
 @query("f20_cosine_sql", f"SELECT q.vec_id AS query_id, max(floor({COS} * 1000000 + 0.5::DOUBLE) / 1000000) AS best FROM {{vectors}} q JOIN {{vectors}} g ON q.vec_id % 50 = 0 AND g.vec_id % 10 <> 0 GROUP BY q.vec_id")
 def _(f):
     q, g = split(f)
-    return s.cosine_pairs(q.where("query_id % 50 = 0"), g).groupBy("query_id").agg(F.max(F.floor(F.col("similarity") * 1000000 + 0.5) / 1000000).alias("best"))
+    return s.cosine_topk(q.where("query_id % 50 = 0"), g, k=1).select("query_id", (F.floor(F.col("similarity") * 1000000 + 0.5) / 1000000).alias("best"))
+
+
+@query(
+    "f20_f21_cosine_topk_all_rows",
+    f"""WITH top AS (SELECT * FROM (SELECT q.vec_id AS query_id, 'c-' || g.vec_id AS card_id, {COS} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 12) DESC, 'c-' || g.vec_id) AS rank
+      FROM {{vectors}} q JOIN {{vectors}} g ON q.vec_id % 20 = 0) WHERE rank <= 10) SELECT query_id, card_id, floor(sim * 1000000 + 0.5::DOUBLE) / 1000000 AS similarity, rank, {CONF} AS confidence FROM top""",
+)
+def _(f):
+    q, g = f.vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), f.vectors.select(F.concat(F.lit("c-"), F.col("vec_id").cast("string")).alias("card_id"), "embedding")
+    return s.cosine_topk(q, g).withColumn("similarity", F.floor(F.col("similarity") * 1000000 + 0.5) / 1000000)
 
 
 BITS = "(SELECT vec_id, label, list_transform(embedding[2:64], lambda v: CAST(v > list_aggregate(CAST(embedding[2:64] AS DOUBLE[]), 'median') AS INT)) AS b FROM {vectors})"
@@ -78,6 +88,17 @@ def _(f):
     return s.hamming_topn(q, g, 5).withColumn("label", distance_label(F.col("distance"))).withColumn("distance", F.col("distance").cast("long"))
 
 
+@query(
+    "f23_hamming_topn_all_rows",
+    f"""WITH {HASHES} SELECT query_id, card_id, CAST(distance AS BIGINT) AS distance, rank FROM (SELECT q.vec_id AS query_id, g.vec_id AS card_id, {HAM} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {HAM}, g.vec_id) AS rank
+      FROM hashes q JOIN hashes g ON q.vec_id % 20 = 0) WHERE rank <= 5""",
+)
+def _(f):
+    h = f.vectors.select("vec_id", s.hash_of_block(F.col("embedding")).alias("hash"))
+    q, g = h.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), h.withColumnRenamed("vec_id", "card_id")
+    return s.hamming_topn(q, g, 5).select("query_id", "card_id", F.col("distance").cast("long").alias("distance"), "rank")
+
+
 @query("j10_hamming_within_banded", f"WITH {HASHES} SELECT q.vec_id AS query_id, g.vec_id AS card_id, CAST({HAM} AS BIGINT) AS distance FROM hashes q JOIN hashes g ON {HAM} <= 8")
 def _(f):
     h = f.vectors.select("vec_id", s.hash_of_block(F.col("embedding")).alias("hash"))

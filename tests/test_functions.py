@@ -107,6 +107,31 @@ def test_cosine_of_zero_vectors_and_large_galleries(spark, monkeypatch):
     assert [tuple(x) for x in similarity.cosine_topk(q, g, 3).select("query_id", "card_id", "rank").orderBy("query_id", "rank").collect()] == near
 
 
+def test_hamming_topn_in_blocks_equals_brute_force(spark, monkeypatch):
+    import random
+
+    r = random.Random(9)
+    hashes = [r.getrandbits(64) for _ in range(90)] + [0, 0, 0]  # the last three tie
+    df = spark.createDataFrame([(k, f"{h:016x}") for k, h in enumerate(hashes)], "id long, hash string")
+    q, c = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "card_id")
+    want = {(a, b, d, k) for a, x in enumerate(hashes) for k, (d, b) in enumerate(sorted(((x ^ y).bit_count(), b) for b, y in enumerate(hashes))[:4], 1)}
+    for block, most in ((4096, 256_000_000), (16, 0)):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        monkeypatch.setattr(similarity, "BROADCAST_BYTES", most)
+        top = similarity.hamming_topn(q, c, 4)
+        assert {tuple(x) for x in top.select("query_id", "card_id", "distance", "rank").collect()} == want
+        plan = top._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and plan.index("MapInArrow") < plan.index("Join Cross")  # the n best leave a block, not Q x N rows
+    assert similarity.hamming_topn(q, c.where("card_id < 0"), 4).count() == 0
+
+
+def test_cosine_pairs_sends_no_side_whole_by_itself(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    pairs = similarity.cosine_pairs(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "card_id"))
+    assert "ResolvedHint" not in (plan := pairs._jdf.queryExecution().analyzed().toString()) and "broadcast" not in plan
+    assert pairs.count() == 4
+
+
 def test_calibration_equals_the_fold(spark):
     from cardloom.streaming.jobs import fold_mean
 
