@@ -1,17 +1,20 @@
 """Main text of web pages, with site template removal.
 
-Every element's subtree is hashed (tag, children's hashes, text). Spark counts on how many pages of a host each subtree occurs;
-subtrees on at least MIN_PAGES pages and MIN_SHARE of the host's pages are the site's template and are deleted with
-all they hold. Paragraphs and other plain text blocks inside an article are no template candidates, so a passage that
-many articles quote stays. On top of that go elements that are never main text: menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, by tag or by class, id and role words. What remains is the
+Every element's subtree is hashed (tag, children's hashes, text). Spark counts on how many pages of a host each subtree occurs
+(pages with the same main text count once, so copies of a page do not make a template of it); subtrees on at least
+MIN_PAGES pages and MIN_SHARE of the host's pages, beyond LARGE_HOST pages a share that falls with their root, are the site's
+template and are deleted with all they hold. Where a page has an article or main element, its text is guarded: plain text
+blocks in it and whatever holds them (lists, tables, wrapped sections) are no template candidates, so a passage that many articles
+quote stays; other subtrees that hold some of it are candidates only if they are less than half of it, and stay
+if all of them together are not. On top of that go elements that are never main text: menus, page headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments, by tag or by class, id and role words (within an article by class and role, as ids there are anchors). What remains is the
 text of the articles, or of the main element, or else of the body: one line for each block.
 
 Template keys are 8 bytes each and broadcast; if a corpus has more than MAX_KEYS of them, hosts are dealt to several
 passes, each over its own hosts' pages with their keys.
 
 Defined cases: null html is empty; pages without a host (null url) have no template; an unclosed tag at the end is dropped,
-unclosed elements end with the page; repeated rows count as pages of their own; an empty table gives no rows.
+unclosed elements end with the page; repeated rows count as one page; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,13 @@ from .common import map_rows, saved, table
 
 MIN_PAGES = 10
 MIN_SHARE = 0.1
+#: Pages of a host from which the pages a template needs grow with the root of the host's pages.
+LARGE_HOST = 1000
 MAX_KEYS = 2_000_000
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMES_INSIDE = re.compile(r"""(?:class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 # Fixed by HTML: elements without content, elements whose content is no markup, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +50,8 @@ BLOCKS = frozenset(
 )
 #: Blocks of plain text: inside an article they are no template candidates.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr figcaption caption tbody article main body html".split())
+#: Blocks of prose: a subtree that holds one of them inside an article is text too.
+PROSE = frozenset("p li blockquote pre dd dt td th".split())
 #: Elements that are never main text.
 NEVER = frozenset("head nav aside footer form button select menu dialog svg canvas object audio video map math".split()) | RAW
 #: Words of class, id and role that mark menus, notices, adverts, comments and the like.
@@ -56,16 +65,17 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 
 class Element:
-    __slots__ = ("children", "dropped", "first", "part", "tag", "text")
+    __slots__ = ("children", "dropped", "first", "part", "prose", "tag", "text")
 
     def __init__(self, tag: str, dropped: bool, part: int, first: int):
         self.tag, self.dropped, self.part, self.first = tag, dropped, part, first  # part: 0 body, 1 main, 2 article
         self.children: list[bytes] = []
         self.text: list[str] = []
+        self.prose = False
 
 
-def marked(attributes: str) -> bool:
-    return any(w in MARKS for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+def marked(attributes: str, inside: bool = False) -> bool:
+    return any(w in MARKS for m in (NAMES_INSIDE if inside else NAMES).finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
 def read(html: str, template: object = (), subtrees: set[int] | None = None) -> str:
@@ -75,6 +85,7 @@ def read(html: str, template: object = (), subtrees: set[int] | None = None) ->
     stack = [top]
     pending: list[str] = []
     hashing = bool(template) or subtrees is not None
+    candidates: list[tuple[int, int, int, bool]] = []  # key, first and last block, prose of an article
 
     def flush() -> None:
         if pending:
@@ -94,10 +105,9 @@ def read(html: str, template: object = (), subtrees: set[int] | None = None) ->
             stack[-1].children.append(name)
             if e.tag in BLOCKS and not e.dropped and (e.part == 0 or e.tag not in TEXT_BLOCKS) and e.tag not in ("html", "body", "main", "article"):
                 key = int.from_bytes(name, "little", signed=True)
-                if subtrees is not None:
-                    subtrees.add(key)
-                if key in template:
-                    del blocks[e.first :]
+                if subtrees is not None or key in template:
+                    candidates.append((key, e.first, len(blocks), e.part > 0 and e.prose))
+            stack[-1].prose |= e.prose or (e.tag in PROSE and len(blocks) > e.first)
 
     def words(raw: str) -> None:
         if raw:
@@ -147,7 +157,7 @@ def read(html: str, template: object = (), subtrees: set[int] | None = None) ->
                     break
         up = stack[-1]
         part = max(up.part, 2 if tag == "article" else 1 if tag == "main" else 0)
-        dropped = up.dropped or tag in NEVER or (tag == "header" and up.part == 0) or (bool(m[3]) and tag not in ("html", "body", "article", "main") and marked(m[3]))
+        dropped = up.dropped or tag in NEVER or (tag == "header" and up.part == 0) or (bool(m[3]) and tag not in ("html", "body", "article", "main") and marked(m[3], up.part == 2))
         if tag == "article" and m[3] and re.search(r"comment", m[3], re.I):
             dropped = True
         stack.append(Element(tag, dropped, part, len(blocks)))
@@ -156,6 +166,16 @@ def read(html: str, template: object = (), subtrees: set[int] | None = None) ->
         close()
     flush()
     best = max((p for p, _ in blocks), default=0)
+    if candidates:
+        ends = [0, *accumulate(len(t) if best and p == best else 0 for p, t in blocks)]  # of the guarded text
+        fit = [(key, a, b, ends[b] - ends[a]) for key, a, b, prose in candidates if ends[b] == ends[a] or (not prose and 2 * (ends[b] - ends[a]) < ends[-1])]
+        if subtrees is not None:
+            subtrees.update(key for key, *_ in fit)
+        gone = {k for key, a, b, _ in fit if key in template for k in range(a, b)}
+        if gone and 2 * sum(ends[k + 1] - ends[k] for k in gone) >= ends[-1] > 0:
+            gone = {k for key, a, b, own in fit if key in template and not own for k in range(a, b)}
+        blocks = [x for k, x in enumerate(blocks) if k not in gone]
+        best = max((p for p, _ in blocks), default=0)
     return "\n".join(t for p, t in blocks if p == best)
 
 
@@ -164,21 +184,25 @@ def host_of(url: str = "url") -> Column:
 
 
 def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, subtree of the recurring subtrees of each host."""
+    """host, subtree of the recurring subtrees of each host; pages with the same main text count once."""
 
     def make():
         def row(host, html):
             found: set[int] = set()
-            read(html, subtrees=found)
+            text = read(html, subtrees=found)
+            main = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            yield host, None, main
             for key in found:
-                yield host, key
+                yield host, key, main
 
         return row
 
     hosted = pages.select(host_of().alias("host"), "html").where("host <> '' and html is not null")
-    counts = map_rows(hosted, ["host", "html"], make, "host string, subtree long").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    totals = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+    found = map_rows(hosted, ["host", "html"], make, "host string, subtree long, main long").distinct()
+    counts = saved(found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("subtree").isNull() | (F.col("n") >= min_pages)), "subtrees")
+    totals = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
+    need = min_share * F.least(F.col("pages").cast("double"), F.sqrt(LARGE_HOST * F.col("pages")))
+    return counts.where("subtree is not null").join(totals, "host").where(F.col("n") >= need).select("host", "subtree")
 
 
 def extract(pages: DataFrame, keys: DataFrame, limit: int = MAX_KEYS) -> DataFrame:

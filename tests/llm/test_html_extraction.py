@@ -41,6 +41,34 @@ def test_template_removed_for_its_host_only(spark):
         assert got[200] == "Site line\nx" and got[201] == "n" and got[202] == "" and got[None] == ""
 
 
+def test_text_of_articles_is_no_template(spark):
+    quoted = "<ul><li>first of the list</li><li>second</li></ul><table><tr><td>cell</td></tr></table><section><p>wrapped words</p></section>"
+    foot = "<div>Chrome line</div>"
+    body = "<div>a whole body in one element</div>"
+    halves = "<div>one third of it</div><div>another third</div><div>the last third</div>"
+    bodies = [(f"http://a.example/{k}", f"<article><p>own {k}</p>{quoted}</article>{foot}") for k in range(30)]
+    bodies += [(f"http://b.example/{k}", f"<div><article>{body}</article></div>{foot}") for k in range(30)]  # copies of one page
+    bodies += [(f"http://c.example/{k}", f"<article>{halves}<div>{k}</div></article>{foot}") for k in range(30)]  # near copies
+    bodies += [(f"http://d.example/{k}", f"<p>no article here</p>{foot}") for k in range(30)]
+    pages = spark.createDataFrame([(k, u, page(b)) for k, (u, b) in enumerate(bodies)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(pages, h.template_keys(pages)).collect()}
+    assert got[3] == "own 3\nfirst of the list\nsecond\ncell\nwrapped words"
+    assert got[33] == "a whole body in one element"
+    assert got[63] == "one third of it\nanother third\nthe last third\n3"
+    assert got[93] == "no article here\nChrome line"  # copies of one page show no template
+
+
+def test_ids_inside_articles_are_anchors():
+    assert h.read(page('<article><h2 id="related-work">R</h2><section id="cookies"><p>C</p></section><div class="related">x</div></article>')) == "R\nC"
+
+
+def test_template_of_a_large_host(spark):
+    rows = [(k, f"http://a.example/{k}", page(f"<p>words {k}</p>" + ("<div>Rare chrome</div>" if k % 20 == 0 else ""))) for k in range(5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(pages, h.template_keys(pages)).collect()}
+    assert got[40] == "words 40"  # on 250 of 5000 pages
+
+
 def test_table_against_plain_reading(spark, sf):
     def plain(source):
         body = re.search(r"<article>(.*?)(</article>|$)", source or "", re.S)
