@@ -116,6 +116,26 @@ def _(f):
     return s.search_cards(f.spark.sql(QUERY, part=f.part), f.catalog)
 
 
+# Fields go by the quotient k, so each kind of name, total and hp occurs; with an own number a ' holo' name meets its card.
+EVERY_FIELD = """SELECT p_partkey AS query_id, CASE k % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN substr(p_name, 1, 3) WHEN 2 THEN p_name || ' holo' END AS name,
+  CASE WHEN k % 3 = 0 THEN CAST(CASE WHEN k % 2 = 0 THEN p_partkey ELSE p_partkey % 50 END AS STRING) END AS local_id, CASE WHEN k % 2 = 0 THEN '70x' END AS total, CASE WHEN k % 5 = 0 THEN CAST(10 * p_size AS BIGINT) END AS hp
+  FROM (SELECT *, CAST(floor(p_partkey / 20) AS BIGINT) AS k FROM {part} WHERE p_partkey % 20 = 0)"""
+
+
+@query(
+    "j11_search_cards_all_fields",
+    f"""WITH q AS ({EVERY_FIELD}), h AS (SELECT q.query_id, c.*, 0 AS source FROM q JOIN {{catalog}} c ON c.local_id = q.local_id UNION ALL
+      SELECT query_id, ord, card_id, set_id, local_id, name, hp, set_total, rarity, image, trend, avg_price, low_price, 1 FROM (SELECT q.query_id, c.*, row_number() OVER (PARTITION BY q.query_id ORDER BY c.ord) AS n FROM q JOIN {{catalog}} c ON length(q.name) >= 3 AND contains(lower(c.name), lower(q.name))) WHERE n <= 50),
+    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, card_id ORDER BY source, ord) AS n FROM h) WHERE n = 1),
+    s AS (SELECT u.*, CASE WHEN q.name IS NULL THEN 0 WHEN lower(u.name) = lower(q.name) THEN 100 WHEN contains(lower(u.name), lower(q.name)) THEN 50 WHEN contains(lower(q.name), lower(u.name)) THEN 30 ELSE 0 END
+      + CASE WHEN q.local_id = u.local_id THEN 40 ELSE 0 END + CASE WHEN q.total IS NOT NULL AND u.set_total = 70 THEN 30 ELSE 0 END + CASE WHEN q.hp = u.hp AND q.hp <> 0 THEN 20 ELSE 0 END AS match_score FROM u JOIN q USING (query_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, CAST(local_id AS BIGINT) DESC, source, ord) AS position FROM s)
+    SELECT query_id, card_id, match_score, position FROM r WHERE position <= 50""",
+)
+def _(f):
+    return s.search_cards(f.spark.sql(EVERY_FIELD, part=f.part), f.catalog)
+
+
 @query("j12_exact_card", "SELECT o_orderkey AS query_id, card_id, name FROM {orders} JOIN {catalog} ON card_id = 'sv' || CAST(1 + o_orderkey % 9 AS STRING) || '-' || CAST(o_orderkey % 400 AS STRING)")
 def _(f):
     q = f.orders.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("sv"), (1 + F.col("o_orderkey") % 9).cast("string")).alias("set_id"), (F.col("o_orderkey") % 400).cast("string").alias("local_id"))

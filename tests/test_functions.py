@@ -132,6 +132,18 @@ def test_cosine_pairs_sends_no_side_whole_by_itself(spark):
     assert pairs.count() == 4
 
 
+def test_search_runs_every_branch_of_the_score(spark, sf):
+    from cardloom.plans import QUERIES
+
+    found = {}
+    for r in QUERIES["j11_search_cards_all_fields"](spark, sf).collect():
+        found.setdefault(r.query_id, set()).add(r.match_score)
+    scores = set().union(*found.values())
+    assert 70 in found[120]  # ' holo' holds the card's name, and the number is equal
+    assert max(found[80]) >= 100 and {100, 130} <= scores  # upper case is the exact name; set total
+    assert {50, 70} <= found[100]  # hp
+
+
 def test_calibration_equals_the_fold(spark):
     from cardloom.streaming.jobs import fold_mean
 
