@@ -176,12 +176,17 @@ def contamination_report(found: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE, limit: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """The documents that are not contaminated, with all their columns, in one scan without a join."""
+    """The documents that are not contaminated, with all their columns, in one scan without a join.
+
+    Beyond limit bytes of benchmark text, rows are removed by a key of id and text, so each row is judged by itself there too.
+    """
     named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     bytes_ = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if int(bytes_) > limit:
-        bad = contamination_report(find_contamination(docs, benchmark, size, limit), share).where("contaminated").select("doc_id").distinct()
-        return by_ids(docs, bad, "doc_id", "left_anti").select(*docs.columns)
+        row = F.xxhash64("doc_id", "text")  # never null
+        keyed = docs.select(row.alias("doc_id"), "text")
+        bad = contamination_report(find_contamination(keyed, benchmark, size, limit), share).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
+        return by_ids(docs.withColumn("_row", row), bad, "_row", "left_anti").select(*docs.columns)
     items = [tuple(r) for r in named.collect()]
 
     def run(batches):

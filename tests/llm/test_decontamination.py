@@ -61,3 +61,13 @@ def test_no_items(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     report = d.contamination_report(d.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")))
     assert report.where(F.col("contaminated") | (F.col("n_items") > 0)).count() == 0
+
+
+def test_large_benchmarks_remove_rows_not_ids(spark):
+    item = " ".join(f"bench{k}" for k in range(13))
+    rows = [(None, item), (None, "clean one"), (1, item), (1, "clean two"), (2, "clean three"), (2, "clean three"), (3, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([("a", item), ("b", "other words " * 13)], "item_id string, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text or "")
+    small, large = (sorted(map(key, d.keep_clean(docs, benchmark, limit=limit).collect()), key=str) for limit in (10**6, 40))
+    assert small == large and len(large) == 6
