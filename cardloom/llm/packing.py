@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity.
 
 Exact-complement hashing. Only the histogram of piece lengths (at most `capacity` counts, whatever
-the corpus holds) reaches the driver. There sums of one, two and three lengths are indexed; every
-length takes, longest first, combinations that fill its gap exactly, as long as the availability
-counts last; what is left is placed best-fit, again on counts. The plan is a short list of (pattern of
+the corpus holds) reaches the driver. There every length takes, longest first, combinations of one, two
+or three lengths that fill its gap exactly, as long as the availability counts last; they are looked up
+among the available lengths when a gap comes up, no index of pair or triple sums is built; what is left is placed best-fit, again on counts. The plan is a short list of (pattern of
 lengths, how many sequences follow it). Spark numbers the pieces within their length and a
 broadcast join with the plan (bounded by the capacity, not by the data) gives sequence and offset.
 
