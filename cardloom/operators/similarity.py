@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -191,7 +192,7 @@ def hamming_topn(queries: DataFrame, cards: DataFrame, n: int = 5) -> DataFrame:
     def packed(df: DataFrame, key: str, prefix: str, blocks: int) -> DataFrame:
         item = F.struct(key, f"{prefix}hi", f"{prefix}lo")
         listed = df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b")).agg(F.array_sort(F.collect_list(item)).alias("l"))
-        return listed.select(*(F.col(f"l.{x}").alias(x) for x in (key, f"{prefix}hi", f"{prefix}lo")))
+        return listed.select(F.col("_b").alias(f"{prefix}group"), *(F.col(f"l.{x}").alias(x) for x in (key, f"{prefix}hi", f"{prefix}lo")))
 
     few = min(queries.sparkSession.sparkContext.defaultParallelism, -(-n_queries // 64))
     n_groups = max(1, few, -(-n_queries // BLOCK))
@@ -204,19 +205,34 @@ def hamming_topn(queries: DataFrame, cards: DataFrame, n: int = 5) -> DataFrame:
         return hi << np.uint64(32) | lo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, query_ids, ids, d = None, None, None, None  # the n best so far of the group whose blocks come one after another
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([query_ids.take(pa.array(np.repeat(np.arange(len(d)), d.shape[1]))), ids, pa.array(d.ravel().astype(np.int32))], names=["query_id", "card_id", "distance"])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                query_ids, card_ids = batch.column("query_id")[row].values, batch.column("card_id")[row].values
-                qs, cs = bits(batch, row, "q"), bits(batch, row, "c")
-                places, k = np.arange(len(cs)), min(n, len(cs))
+                card_ids, qs, cs = batch.column("card_id")[row].values, bits(batch, row, "q"), bits(batch, row, "c")
+                places, k, best = np.arange(len(cs)), min(n, len(cs)), []
                 for at in range(0, len(qs), 256):
                     # distance and place in one number: the cards are sorted by id, so ties go by id
                     keys = np.bitwise_count(qs[at : at + 256, None] ^ cs).astype(np.int64) * len(cs) + places
-                    best = np.partition(keys, k - 1, axis=1)[:, :k].ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [query_ids.take(pa.array(np.repeat(np.arange(at, at + len(keys)), k))), card_ids.take(pa.array(best % len(cs))), pa.array((best // len(cs)).astype(np.int32))],
-                        names=["query_id", "card_id", "distance"],
-                    )
+                    best.append(np.partition(keys, k - 1, axis=1)[:, :k])
+                best = np.vstack(best)
+                new_ids, new = card_ids.take(pa.array((best % len(cs)).ravel())), best // len(cs)
+                if (name := batch.column("qgroup")[row].as_py()) != group:
+                    if group is not None:
+                        yield done()
+                    group, query_ids, ids, d = name, batch.column("query_id")[row].values, new_ids, new
+                    continue
+                pool = pa.concat_arrays([ids, new_ids])
+                at = np.hstack([np.arange(d.size).reshape(d.shape), d.size + np.arange(new.size).reshape(new.shape)])
+                order = np.asarray(pc.rank(pool, sort_keys="ascending", null_placement="at_start", tiebreaker="dense")).astype(np.int64)[at]
+                both = np.hstack([d, new])
+                keep = np.argsort(both * (len(pool) + 1) + order, axis=1)[:, :n]
+                d, ids = np.take_along_axis(both, keep, 1), pool.take(pa.array(np.take_along_axis(at, keep, 1).ravel()))
+        if group is not None:
+            yield done()
 
     small = 24 * n_cards <= BROADCAST_BYTES
     near = groups.crossJoin(F.broadcast(blocks) if small else blocks).mapInArrow(run, schema)  # of blocks, not of hashes
