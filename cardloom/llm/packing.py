@@ -1,35 +1,47 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity.
 
 Exact-complement hashing. Only the histogram of piece lengths (at most `capacity` counts, whatever
-the corpus holds) reaches the driver. There every length takes, longest first, combinations of one, two
-or three lengths that fill its gap exactly, as long as the availability counts last; they are looked up
-among the available lengths when a gap comes up, no index of pair or triple sums is built; what is left is placed best-fit, again on counts. The plan is a short list of (pattern of
-lengths, how many sequences follow it). Spark numbers the pieces within their length and a
-broadcast join with the plan (bounded by the capacity, not by the data) gives sequence and offset.
-
-Defined cases: a null text is empty; an empty text is one separator; a null doc_id is kept; a repeated
-row is packed as often as it comes; an empty table gives no rows. Extra columns are ignored.
+the corpus holds) reaches the driver. There the sums of one, two and three of the lengths that occur are indexed once; every
+length takes from the index, longest first, the combinations that fill its gap exactly, as long as the availability
+counts last. What is left is placed best-fit, again on counts. Shorter combinations leave other rests to best-fit, so the
+plan is made with up to three, two, one and no lengths for a gap, and the one with fewest sequences is taken
+(of equal ones, that with more exact fills). The plan is a short list of (pattern of
+lengths, how many sequences follow it). Spark numbers the pieces within their length, and each task looks the
+numbers up in the plan (bounded by the capacity, not by the data), which gives sequence and offset.
+
+The ids are those of a byte-level BPE of `tokenizers` (a JSON file). `tiktoken` reads the same vocabulary and is eight
+times as fast, so it encodes all texts but those with a long run of white space, which its matcher can't take.
+
+Defined cases: a null text is empty; an empty text is one separator; a text of any length is encoded whole; a null doc_id is
+kept; a repeated row is packed as often as it comes; an empty table gives no rows. Extra columns are ignored, also
+those with the names of results.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
 import re
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_rows, saved, table
+from .token_counts import byte_symbols
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces that one numbering bucket of a length holds at most, on average.
 BUCKET = 1_000_000
 SPACES = re.compile(r"\s\s")
+#: White space in a row from which the slower tokenizer encodes a text; the faster one fails at about a million.
+LONG_BLANK = re.compile(r"\s{2000}")
 
 
 class ByteBpe:
@@ -42,17 +54,31 @@ class ByteBpe:
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import tiktoken
-
-        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        from tokenizers import Tokenizer
+
+        path = path or public_tokenizers.path("byte_bpe_50k.json")
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte = {ord(c): b for b, c in enumerate(byte_symbols())}
+        single = {bytes([b]) for b in range(256)}
+        ranks = {bytes(byte[ord(c)] for c in piece): k for piece, k in model["vocab"].items() if all(ord(c) in byte for c in piece)}
+        made = {bytes(byte[ord(c)] for c in "".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]}
+        ranks = {piece: k for piece, k in ranks.items() if piece in single or piece in made}
         plain = public_tokenizers.PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
         self.full, self.plain = (
             tiktoken.Encoding("pieces", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (public_tokenizers.PATTERN, plain)
         )
 
     def encode(self, text: str) -> bytes:
-        coder = self.full if SPACES.search(text) else self.plain
-        return np.asarray(coder.encode_ordinary(text), dtype="<u4").tobytes()
+        if not SPACES.search(text):
+            ids = self.plain.encode_ordinary(text)
+        elif not LONG_BLANK.search(text):
+            ids = self.full.encode_ordinary(text)
+        else:
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        return np.asarray(ids, dtype="<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -85,49 +111,79 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     return map_rows(docs, ["doc_id", "text"], make, schema)
 
 
-def fill_exactly(gap: int, left: np.ndarray, taken: dict[int, int]) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to the gap, longest first; taken: already in the pattern."""
-
-    def free(n: int, also: tuple[int, ...] = ()) -> bool:
-        return left[n] > taken.get(n, 0) + also.count(n)
-
-    if gap < len(left) and free(gap):
-        return (gap,)
-    usable = np.flatnonzero(left[: gap + 1] > 0)
-    usable = usable[usable > 0]
-
-    def pair(total: int, also: tuple[int, ...], most: int) -> tuple[int, int] | None:
-        high = usable[(usable <= min(most, total - 1)) & (2 * usable >= total)]
-        for a in high[left[total - high] > 0][::-1].tolist():
-            if free(a, also) and free(total - a, (*also, a)):
-                return a, total - a
-        return None
-
-    if found := pair(gap, (), gap):
-        return found
-    for a in usable[(3 * usable >= gap) & (usable < gap)][::-1].tolist():
-        if free(a) and (found := pair(gap - a, (a,), a)):
-            return (a, *found)
-    return None
+class SumIndex:
+    """The sums of one, two and three of the given lengths, up to capacity.
 
+    pairs[s]: the larger parts a of the pairs (a, s - a), longest first. triples[s]: the largest parts a of triples (a, b, c)
+    of which b and c stand in pairs[s - a], longest first.
+    """
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, number of sequences); every step uses up a length, so the plan is bounded by the capacity."""
+    def __init__(self, lengths: Iterable[int], capacity: int):
+        self.there = np.zeros(capacity + 1, dtype=bool)
+        self.there[[x for x in lengths if 0 < x <= capacity]] = True
+        self.pairs: list[np.ndarray] = []
+        least = np.full(capacity + 1, capacity + 1)  # the smallest larger part of a pair, for each sum
+        for total in range(capacity + 1):
+            a = np.arange(total - 1, (total + 1) // 2 - 1, -1) if total > 1 else np.zeros(0, dtype=np.int64)
+            a = a[self.there[a] & self.there[total - a]]
+            self.pairs.append(a)
+            if len(a):
+                least[total] = a[-1]
+        self.triples: list[np.ndarray] = []
+        for total in range(capacity + 1):
+            a = np.arange(total - 2, -(-total // 3) - 1, -1) if total > 2 else np.zeros(0, dtype=np.int64)
+            self.triples.append(a[self.there[a] & (least[total - a] <= a)])
+
+    def fills(self, gap: int, left: np.ndarray, most: int = 3) -> Iterator[tuple[int, ...]]:
+        """Combinations of at most `most` lengths that sum to the gap; fewer lengths first, then longer ones.
+
+        left: counts that are left; they may fall between two combinations, and what has run out is passed over.
+        """
+        if most > 0 and left[gap]:
+            yield (gap,)
+        if most > 1:
+            a = self.pairs[gap]
+            for x in a[(left[a] > 0) & (left[gap - a] > 0)].tolist():
+                yield x, gap - x
+        if most > 2:
+            a = self.triples[gap]
+            for x in a[left[a] > 0].tolist():
+                b = self.pairs[gap - x]
+                for y in b[(b <= x) & (left[b] > 0) & (left[gap - x - b] > 0)].tolist():
+                    if not left[x]:
+                        break
+                    yield x, y, gap - x - y
+
+
+def fill_exactly(counts: dict[int, int], capacity: int, index: SumIndex, most: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Sequences filled to the last token by a length and at most `most` others, and the counts that are left.
+
+    A gap belongs to one length, and counts only fall, so each gap's combinations are walked once.
+    """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
     plan: list[tuple[tuple[int, ...], int]] = []
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            rest = () if length == capacity else fill_exactly(capacity - length, left, {length: 1})
-            if rest is None:
+    for length in sorted(counts, reverse=True):
+        for rest in index.fills(capacity - length, left, most) if length < capacity else [()]:
+            if not left[length]:
                 break
             pattern = (length, *rest)
-            n = min(int(left[x]) // pattern.count(x) for x in set(pattern))
-            for x in pattern:
-                left[x] -= n
-            plan.append((pattern, n))
-    return plan + best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, capacity)
+            n = int(min(left[x] // pattern.count(x) for x in set(pattern)))
+            if n:
+                left[list(set(pattern))] -= np.array([n * pattern.count(x) for x in set(pattern)])
+                plan.append((pattern, n))
+    return plan, {int(x): int(left[x]) for x in np.flatnonzero(left)}
+
+
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, number of sequences); every step uses up a length, so the plan is bounded by the capacity."""
+    index = SumIndex(counts, capacity)
+    plans = []
+    for most in (3, 2, 1, 0):
+        exact, left = fill_exactly(counts, capacity, index, most)
+        plans.append(exact + best_fit(left, capacity))
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -201,16 +257,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     pieces: doc_id, piece, length and ids_crc32, stored (it is read three times).
     """
-    spark = pieces.sparkSession
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    plan = slots(plan_sequences(counts, capacity))
-    where = spark.createDataFrame(plan, "length long, first long, last long, base long, offset long")
-    found = numbered(pieces, sum(counts.values())).join(
-        F.broadcast(where), ["length"]
-    ).where(F.col("number").between(F.col("first"), F.col("last")))
-    return found.withColumn("sequence_id", F.col("base") + F.col("number") - F.col("first")).drop("number", "first", "last", "base")
+    plan = np.array(sorted(slots(plan_sequences(counts, capacity))), dtype=np.int64)
+    # one ascending key for all lengths: where the numbers of a length begin in it, plus the number
+    begins = np.zeros(capacity + 2, dtype=np.int64)
+    for length, n in counts.items():
+        begins[length + 1] = n
+    begins = np.cumsum(begins)
+    first = begins[plan[:, 0]] + plan[:, 1]
+    ranked = numbered(pieces, sum(counts.values()))
+    kept = [c for c in ranked.columns if c != "number"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("number").to_numpy(zero_copy_only=False)
+            row = plan[np.searchsorted(first, begins[batch.column("length").to_numpy(zero_copy_only=False)] + number, side="right") - 1]
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, kept), pa.array(row[:, 3] + number - row[:, 1]), pa.array(row[:, 4])], names=[*kept, "sequence_id", "offset"]
+            )
+
+    schema = StructType([*(ranked.schema[c] for c in kept), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -46,14 +47,43 @@ def test_plan_uses_every_piece_once(seed):
     assert sum(n for _, n in plan) <= -(-int(lengths.sum()) // 64) * 1.06 + 1
 
 
-def test_exact_fill_takes_one_two_or_three():
+def test_sum_index_is_every_combination():
+    lengths = [1, 3, 4, 9, 10, 20, 30]
+    index = packing.SumIndex(lengths, 64)
     left = np.zeros(65, dtype=np.int64)
-    left[[10, 20, 30]] = 1
-    assert packing.fill_exactly(30, left, {}) == (30,)
-    assert packing.fill_exactly(50, left, {}) == (30, 20)
-    assert packing.fill_exactly(60, left, {}) == (30, 20, 10)
-    assert packing.fill_exactly(20, left, {20: 1}) is None
-    assert packing.fill_exactly(25, left, {}) is None
+    left[lengths] = 9
+    for gap in range(1, 65):
+        want = [{tuple(sorted(c, reverse=True)) for c in combinations_with_replacement(lengths, k) if sum(c) == gap} for k in (1, 2, 3)]
+        got = list(index.fills(gap, left))
+        assert len(got) == len(set(got)) and set(got) == set().union(*want)
+        assert set(index.fills(gap, left, 2)) == want[0] | want[1]
+    left[20] = 0
+    assert list(index.fills(40, left)) == [(30, 10), (30, 9, 1)]
+
+
+def test_exact_fill_keeps_to_the_counts():
+    plan, left = packing.fill_exactly({40: 2, 24: 1, 20: 1, 4: 1, 12: 2}, 64, packing.SumIndex([40, 24, 20, 4, 12], 64), 3)
+    assert plan == [((40, 24), 1), ((40, 20, 4), 1)] and left == {12: 2}
+
+
+def test_no_more_sequences_than_best_fit_alone():
+    r = np.random.default_rng(3)
+    for lengths in (r.integers(1, 2049, 5000), np.clip(r.lognormal(5.8, 1, 20000).astype(int), 1, 2048), r.integers(400, 900, 5000)):
+        counts = Counter(lengths.tolist())
+        made = sum(n for _, n in packing.plan_sequences(counts))
+        assert -(-int(lengths.sum()) // 2048) <= made <= sum(n for _, n in packing.best_fit(counts, 2048))
+
+
+def test_long_texts_equal_the_tokenizer(tokenizer):
+    coder = packing.byte_bpe(None)
+    for text in ("a" + " " * 3_000_000 + "b", "x" * 1_000_000, "\0" * 100_000, "é\n" + "\n\t" * 400_000 + " é", " " * 1999 + "y"):
+        assert coder.encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_one_row_of_blanks_does_not_stop_the_job(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_200_000 + "b"), (2, "x")], "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == 1_200_002 and sum(r.length for r in rows) == 1_200_004
 
 
 def test_pack_documents(spark, tokenizer):
