@@ -12,20 +12,31 @@ from pyspark.sql import functions as F
 
 #: Ids that may be sent to every executor (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 4_000_000
-#: Rows of an Arrow batch; whole texts travel in it, so it is far below Spark's default.
-BATCH_ROWS = 500
+#: Bytes of an Arrow batch; a row that is larger travels alone.
+BATCH_BYTES = "8m"
+#: Tables that saved() has written and nobody has removed yet, oldest first.
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; also makes the Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_ready(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes (unless it has a bound of its own): texts differ much in length."""
+    conf = df.sparkSession.conf
+    if not conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; where the session names none, a local one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cardloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,10 +46,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
+def written() -> int:
+    """How many tables saved() has written that are still there: a mark for remove_saved."""
+    return len(_written)
+
+
+def remove_saved(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes the tables written after the mark, but for the last `keep`; frames read from them can't be used any more."""
+    for path in _written[since : len(_written) - keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _written.remove(path)
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, limit: int = BROADCAST_IDS) -> DataFrame:
     """left_semi or left_anti join on key; ids are broadcast only when counted to be few enough."""
     few = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if few else ids, key, how)
@@ -52,6 +77,7 @@ def map_rows(
     make runs once in each task and returns the function; that is called with one value for each column.
     """
     fields = spark_schema(df.sparkSession, schema)
+    arrow_ready(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()

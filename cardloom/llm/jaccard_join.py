@@ -4,30 +4,32 @@
    (an aggregation, so thousands of copies cost one row); all that follows works on one text for each class.
 2. Signatures are cut into bands; texts that share a band value meet in a bucket. 32 bands of 4 values miss a pair
    of similarity 0.8 with probability 5e-8. Buckets with the same members are looked at once.
-3. Buckets are dealt to tasks in blocks of at most BLOCK texts against BLOCK texts, so none is ever gathered whole. In a
-   block, MinHash values are compared step by step; a pair is dropped as soon as the posterior probability (uniform
-   prior, binomial likelihood) that its similarity reaches the threshold falls below TOLERANCE. What survives is
-   verified exactly on the shingle sets. A pair is judged only in its first common band.
+3. Buckets are dealt to tasks in blocks: about BLOCK texts against BLOCK texts, fewer where texts are long (BLOCK_SHINGLES), so
+   none is ever gathered whole. In a block, MinHash values are compared step by step; a pair is dropped as soon as the posterior
+   probability (uniform prior, binomial likelihood) that its similarity reaches the threshold falls below TOLERANCE. A pair is
+   judged only in its first common band. Blocks hold signatures only; shingles are made and sent just for the texts
+   that have a surviving pair, to the blocks where they have it, and there the pairs are verified exactly.
 4. A block returns no pairs, only each text's number of links and a spanning forest of the links found. Connected
    components of these give the classes.
 
-Defined cases: a text of fewer than five words is one shingle; texts without words are alike only if their strings are
-equal (null counts as empty); a null doc_id keeps its row, with class null; rows that repeat a doc_id are one document
-with several texts; an empty table gives no rows; extra columns are ignored.
+Every row is a document of its own. Defined cases: a text of fewer than five words is one shingle; texts without words are alike
+only if their strings are equal (null counts as empty); a very long text is shingled whole; rows that repeat a doc_id, with the same
+text or another, and rows without one are compared and linked like any others; class_id is the least doc_id of the class, null if
+none of its rows has one; an empty table gives no rows; extra columns are ignored, also those with the names of results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, map_rows, saved, table
+from .common import arrow_ready, by_ids, map_rows, remove_saved, saved, spark_schema, table, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -35,7 +37,9 @@ HASHES = 128
 BANDS = 32
 STEP = 16
 TOLERANCE = 1e-6
+#: Texts, and shingles of texts, in one side of a block, on average.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -87,25 +91,36 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least.astype("<u4")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes that name a row by both; equal rows share them."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key())
+
+
+def row_key() -> tuple[Column, Column]:
+    id_ = F.col("doc_id").cast("long")
+    return F.xxhash64(id_, "text").alias("key"), F.xxhash64(F.lit(7), "text", id_).alias("key2")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id (16 bytes), n_shingles, signature of every document."""
+    """doc_id, key, key2, set_id (16 bytes), n_shingles, signature of every document."""
 
     def make():
         shingles = Shingles()
         known: dict[bytes, bytes] = {}
 
-        def row(doc_id, text):
+        def row(doc_id, key, key2, text):
             own = shingles.of(text)
             name = digest(own, text)
             if name not in known:
                 if len(known) > 2000:
                     known.clear()
                 known[name] = signature(own).tobytes()
-            yield doc_id, name, len(own), known[name]
+            yield doc_id, key, key2, name, len(own), known[name]
 
         return row
 
-    return map_rows(docs, ["doc_id", "text"], make, "doc_id long, set_id binary, n_shingles long, signature binary")
+    schema = "doc_id long, key long, key2 long, set_id binary, n_shingles long, signature binary"
+    return map_rows(keyed(docs), ["doc_id", "key", "key2", "text"], make, schema)
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -125,8 +140,8 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def bands_of(signatures: DataFrame) -> DataFrame:
-    """rep, band, value for each band of each signature."""
+def bands_of(classes: DataFrame) -> DataFrame:
+    """rep, n_shingles, band, value for each band of each signature."""
     width = HASHES // BANDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,110 +152,144 @@ def bands_of(signatures: DataFrame) -> DataFrame:
             value = np.zeros(sig.shape[:2], dtype=np.uint64)
             for k in range(width):
                 value = scramble(value * _MIX + sig[:, :, k])
-            reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), BANDS)
+            reps, sizes = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("rep", "n_shingles"))
             band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(band), pa.array(value.ravel().view(np.int64))], names=["rep", "band", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps), pa.array(sizes), pa.array(band), pa.array(value.ravel().view(np.int64))], names=["rep", "n_shingles", "band", "value"]
+            )
 
-    return signatures.select("rep", "signature").mapInArrow(run, "rep long, band int, value long")
+    return arrow_ready(classes).select("rep", "n_shingles", "signature").mapInArrow(run, "rep long, n_shingles long, band int, value long")
 
 
-def linked_in_block(rows: list[tuple], threshold: float = THRESHOLD, steps: list[tuple[int, int]] | None = None) -> tuple[dict, list]:
-    """Links of one block: {rep: linked documents}, and edges of a spanning forest.
+def surviving_pairs(rows: list[dict], threshold: float, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one block that outlive the MinHash comparison and have their first common band here.
 
-    rows: side ('a', 'b' or 'both'), rep, copies, band, signature, shingles. Two sides are compared with each
+    rows: side ('a', 'b' or 'both'), rep, band, n_shingles, signature. Two sides are compared with each
     other only; 'both' rows with each other.
     """
-    steps = steps or least_matches(threshold)
-    band = rows[0][3]
-    sides = np.array([r[0] for r in rows])
+    sides = np.array([r["side"] for r in rows])
     left = np.flatnonzero(sides != "b")
     right = left if (sides == "both").any() else np.flatnonzero(sides == "b")
-    sig = np.frombuffer(b"".join(r[4] for r in rows), dtype="<u4").reshape(len(rows), HASHES)
-    reps = np.array([r[1] for r in rows])
-    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
-    keep = (i < j) if right is left else np.ones(len(i), dtype=bool)
-    keep &= reps[i] != reps[j]
-    i, j = i[keep], j[keep]
-    equal = np.zeros(len(i), dtype=np.int64)
-    for n, least in steps:
-        equal += (sig[i, n - STEP : n] == sig[j, n - STEP : n]).sum(axis=1)
-        stay = equal >= least
-        i, j, equal = i[stay], j[stay], equal[stay]
+    sig = np.frombuffer(b"".join(r["signature"] for r in rows), dtype="<u4").reshape(len(rows), HASHES)
+    size = np.array([r["n_shingles"] for r in rows])
     width = HASHES // BANDS
-    common = (sig[i].reshape(-1, BANDS, width) == sig[j].reshape(-1, BANDS, width)).all(axis=2)
-    first = common.argmax(axis=1) == band
+    found = []
+    for at in range(0, len(left), 128):  # so that only 128 rows of the square of pairs are held
+        i, j = (x.ravel() for x in np.meshgrid(left[at : at + 128], right, indexing="ij"))
+        keep = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
+        if right is left:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        equal = np.zeros(len(i), dtype=np.int64)
+        for n, least in steps:
+            equal += (sig[i, n - STEP : n] == sig[j, n - STEP : n]).sum(axis=1)
+            stay = equal >= least
+            i, j, equal = i[stay], j[stay], equal[stay]
+        common = (sig[i].reshape(-1, BANDS, width) == sig[j].reshape(-1, BANDS, width)).all(axis=2)
+        first = common.argmax(axis=1) == rows[0]["band"]
+        found.append((i[first], j[first]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def linked_in_block(rows: list[dict], threshold: float, steps: list[tuple[int, int]]) -> tuple[dict, list]:
+    """Links of one block: {rep: linked documents}, and edges of a spanning forest; rows have copies and shingles too."""
     links: dict[int, int] = {}
     parent: dict[int, int] = {}
     edges: list[tuple[int, int]] = []
-    sets = {k: np.frombuffer(rows[k][5], dtype="<u8") for k in {*i[first].tolist(), *j[first].tolist()}}
+    sets: dict[int, np.ndarray] = {}
 
     def root(x: int) -> int:
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+    i, j = surviving_pairs(rows, threshold, steps)
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        for k in (a, b):
+            if k not in sets:
+                sets[k] = np.frombuffer(rows[k]["shingles"], dtype="<u8")
         x, y = sets[a], sets[b]
-        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-            continue
         both = len(x) + len(y) - len(np.union1d(x, y))
         if both >= threshold * (len(x) + len(y) - both) - 1e-9:
-            links[rows[a][1]] = links.get(rows[a][1], 0) + rows[b][2]
-            links[rows[b][1]] = links.get(rows[b][1], 0) + rows[a][2]
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[ra] = rb
-                edges.append((rows[a][1], rows[b][1]))
+            ra, rb = rows[a]["rep"], rows[b]["rep"]
+            links[ra] = links.get(ra, 0) + rows[b]["copies"]
+            links[rb] = links.get(rb, 0) + rows[a]["copies"]
+            if root(a) != root(b):
+                parent[root(a)] = root(b)
+                edges.append((ra, rb))
     return links, edges
 
 
-def judge(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """rep, links, other: a row for each text with links in a block (other null) and each forest edge (links null).
+BLOCK_KEY = ("bucket", "x", "y")
 
-    blocks: sorted by (bucket, x, y) within partitions that hold each such block whole.
-    """
-    columns = ["bucket", "x", "y", "side", "rep", "copies", "band", "signature", "shingles"]
+
+def by_block(blocks: DataFrame, columns: list[str], judge_one: Callable[[list[dict]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Gathers each block's rows (sorted, whole in a partition) and yields what judge_one makes of them."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = arrow_ready(blocks).select(*BLOCK_KEY, *columns).repartition(parts, *BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    fields = spark_schema(blocks.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = least_matches(threshold)
-        key, rows = None, []
-        out: tuple[list, list, list] = ([], [], [])
-
-        def close() -> None:
-            if len(rows) > 1:
-                links, edges = linked_in_block(rows, threshold, steps)
-                for r, n in links.items():
-                    for c, v in zip(out, (r, n, None), strict=True):
-                        c.append(v)
-                for a, b in edges:
-                    for c, v in zip(out, (a, None, b), strict=True):
-                        c.append(v)
+        key, rows, out = None, [], []
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in out], names=["rep", "links", "other"])
-            for c in out:
-                c.clear()
+            columns_ = zip(*out, strict=True) if out else [[]] * len(fields)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns_, fields, strict=True)], schema=fields)
+            out.clear()
             return batch
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if r[:3] != key:
-                    close()
-                    key, rows = r[:3], []
-                rows.append(r[3:])
-            if len(out[0]) > 10_000:
+            for r in batch.to_pylist():
+                if (name := tuple(r[c] for c in BLOCK_KEY)) != key:
+                    if len(rows) > 1:
+                        out.extend(judge_one(rows))
+                    key, rows = name, []
+                rows.append(r)
+            if len(out) > 10_000:
                 yield flush()
-        close()
+        if len(rows) > 1:
+            out.extend(judge_one(rows))
         yield flush()
 
-    return blocks.select(*columns).mapInArrow(run, "rep long, links long, other long")
+    return ordered.mapInArrow(run, schema)
+
+
+def survivors(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of blocks (without signatures) that have a surviving pair there."""
+
+    def one(rows: list[dict]) -> Iterator[tuple]:
+        i, j = surviving_pairs(rows, threshold, steps)
+        for k in np.union1d(i, j).tolist():
+            r = rows[k]
+            yield r["bucket"], r["x"], r["y"], r["side"], r["rep"], r["band"]
+
+    steps = least_matches(threshold)
+    return by_block(blocks, ["side", "rep", "band", "n_shingles", "signature"], one, "bucket long, x int, y int, side string, rep long, band int")
+
+
+def judge(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """rep, links, other: a row for each text with links in a block (other null) and each forest edge (links null)."""
+
+    def one(rows: list[dict]) -> Iterator[tuple]:
+        links, edges = linked_in_block(rows, threshold, steps)
+        for r, n in links.items():
+            yield r, n, None
+        for a, b in edges:
+            yield a, None, b
+
+    steps = least_matches(threshold)
+    columns = ["side", "rep", "band", "copies", "n_shingles", "signature", "shingles"]
+    return by_block(blocks, columns, one, "rep long, links long, other long")
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its connected component) for undirected edges a, b.
 
-    Alternates large-star and small-star steps until nothing changes; each round is written to the shared folder.
+    Alternates two steps until nothing changes: every node's larger neighbours move to its least neighbour (or stay, if
+    that is itself), then every node's smaller neighbours do. Each round is written to the shared folder, and the one before removed.
     """
+    spark = edges.sparkSession
+
     def directed(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -251,76 +300,91 @@ def component_labels(edges: DataFrame) -> DataFrame:
         if seen == before:
             break
         before = seen
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = directed(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(
-            down.select("a", F.col("m").alias("b"))
-        )
+        mark = written() - 1
+        lower = now.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))  # of nodes that have a smaller neighbour
+        large = saved(now.join(lower, F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).unionByName(lower.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        down = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = large.join(down, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = saved(directed(small), "edges")
+        remove_saved(spark, mark, keep=1)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of the connected near-duplicates), n_links (other documents that reach the threshold)."""
+def classified(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, key, key2 of every row, class_id, n_links, and the key of the row that stands for the class (keep, keep2)."""
     sketched = saved(sketches(docs), "sketches")
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "key2")
     classes = saved(
         sketched.groupBy("set_id").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
-        ),
+            F.min(who).alias("who"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        ).withColumn("rep", F.monotonically_increasing_id()),  # fixed by being written
         "classes",
     )
-    judged = saved(judge(_blocks(docs, classes), threshold), "judged")
+    judged = saved(judge(_full_blocks(docs, classes, threshold), threshold), "judged")
     links = judged.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     labels = component_labels(judged.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    named = classes.select("set_id", "rep", "copies").join(links, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left").select(
-        "set_id",
-        F.coalesce("label", "rep").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-    )
-    return sketched.select("doc_id", "set_id").join(named, "set_id").select("doc_id", "class_id", "n_links")
+    labels = saved(labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct(), "labels")
+    heads = labels.join(classes.select(F.col("rep").alias("node"), "who"), "node").groupBy("label").agg(F.min("who").alias("head"))
+    headed = labels.join(heads, "label").select(F.col("node").alias("rep"), "head")
+    named = classes.select("set_id", "rep", "copies", "who").join(links, "rep", "left").join(headed, "rep", "left").withColumn("head", F.coalesce("head", "who")).select(
+        "set_id", F.col("head.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("head.key").alias("keep"), F.col("head.key2").alias("keep2"),
+    )
+    return sketched.select("doc_id", "key", "key2", "set_id").join(named, "set_id").drop("set_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of the connected near-duplicates), n_links (other rows that reach the threshold)."""
+    return classified(docs, threshold).select("doc_id", "class_id", "n_links")
 
 
-def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _blocks(classes: DataFrame) -> DataFrame:
     """Block rows: every pair of texts that share a bucket meets in exactly one block of each of its buckets."""
-    bands = bands_of(classes.where("rep is not null and n_shingles > 0"))
+    bands = bands_of(classes.where("n_shingles > 0"))
     member = F.xxhash64("rep")
     buckets = bands.groupBy("band", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(member, 20)).alias("sum"), F.bit_xor(member).alias("xor")
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.sum(F.shiftright(member, 20)).alias("sum"), F.bit_xor(member).alias("xor")
     ).where("n > 1")
-    first = buckets.groupBy("n", "sum", "xor").agg(F.min(F.struct("band", "value")).alias("key")).select("n", "key.band", "key.value")
-    kept = saved(bands.join(first, ["band", "value"]).select("rep", "band", "n", F.xxhash64("band", "value").alias("bucket")), "members")
-    texts = by_ids(docs.select("doc_id", "text"), kept.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    first = buckets.groupBy("n", "size", "sum", "xor").agg(F.min(F.struct("band", "value")).alias("key")).select("n", "size", "key.band", "key.value")
+    count = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)))
+    kept = bands.join(first, ["band", "value"]).select("rep", "band", F.xxhash64("band", "value").alias("bucket"), count.cast("int").alias("count"))
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("count")).cast("int")
+    return kept.withColumn("own", own).select("rep", "band", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other")).select(
+        "rep", "band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+        F.when(F.col("own") == F.col("other"), "both").when(F.col("own") < F.col("other"), "a").otherwise("b").alias("side"),
+    )
+
+
+def _full_blocks(docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Block rows of the texts with surviving pairs, with copies, signature and shingles."""
+    alive = saved(survivors(_blocks(classes).join(classes.select("rep", "n_shingles", "signature"), "rep"), threshold), "survivors")
+    wanted = saved(classes.join(alive.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    texts = by_ids(keyed(docs), wanted.select("who.key").distinct(), "key", "left_semi")
 
     def make():
         shingles = Shingles()
 
-        def row(doc_id, text):
+        def row(text):
             own = shingles.of(text)
-            yield doc_id, digest(own, text), own.tobytes()
+            yield digest(own, text), own.tobytes()
 
         return row
 
-    sets = map_rows(texts, ["doc_id", "text"], make, "rep long, set_id binary, shingles binary").dropDuplicates(["rep", "set_id"])
-    full = sets.join(classes.select("rep", "set_id", "copies", "signature"), ["rep", "set_id"])
-    count = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), count).cast("int")
-    dealt = kept.withColumns({"count": count.cast("int"), "own": own}).select(
-        "rep", "band", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other")
-    ).select(
-        "rep", "band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        F.when(F.col("own") == F.col("other"), "both").when(F.col("own") < F.col("other"), "a").otherwise("b").alias("side"),
-    )
-    rows = dealt.join(full, "rep")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    sets = map_rows(texts, ["text"], make, "set_id binary, shingles binary").dropDuplicates(["set_id"])
+    return alive.join(sets.join(wanted, "set_id"), "rep")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of each class, only the document with the least doc_id; rows with a null doc_id stay."""
-    gone = saved(near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id"), "gone").distinct()
-    return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class, one row: that with the least doc_id (rows without one come last); of equal rows, one."""
+    rows = classified(docs, threshold).select("key", "key2", ((F.col("key") == F.col("keep")) & (F.col("key2") == F.col("keep2"))).alias("kept"))
+    counted = saved(rows.groupBy("key", "key2", "kept").agg(F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "not_kept_once")
+    key, key2 = row_key()
+    named = docs.withColumns({"_key": key, "_key2": key2})
+    gone, again = (counted.where(c).select(F.col("key").alias("_key"), F.col("key2").alias("_key2")) for c in ("not kept", "kept"))
+    left = by_ids(named, gone, ["_key", "_key2"], "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = by_ids(left, again, ["_key", "_key2"], "left_semi").dropDuplicates(["_key", "_key2"])
+    return by_ids(left, again, ["_key", "_key2"], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

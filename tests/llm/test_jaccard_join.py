@@ -74,7 +74,54 @@ def test_nulls_repeats_and_empty(spark):
     rows = [(None, "p q r s t u"), (1, "x y z"), (1, "x y z"), (2, "x y z")]
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in j.near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == [("1", "1", 2), ("1", "1", 2), ("2", "1", 2), ("None", "None", 0)]
-    assert j.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    empty = spark.createDataFrame([], schema)
+    assert j.near_duplicates(empty).collect() == [] and j.keep_one(empty).collect() == []
+
+
+def test_repeated_and_null_ids_against_brute_force(spark):
+    """Each row is a document: ids that repeat with equal, near and other texts, and rows without an id."""
+    r = random.Random(11)
+    docs = [(k if r.random() < 0.8 else None, t) for k, t in corpus()]
+    docs += r.choices(docs, k=40) + [(k, r.choice(docs)[1]) for k in r.choices([1, 10, 11, 12, None], k=40)]
+    want = brute(list(enumerate(t for _, t in docs)))
+    least = {}
+    for k, (root, _) in want.items():
+        ids = [d for d in (least.get(root), docs[k][0]) if d is not None]
+        least[root] = min(ids, default=None)
+    expected = sorted((str(docs[k][0]), str(least[root]), n) for k, (root, n) in want.items())
+    df = spark.createDataFrame([(*d, "c", 1) for d in docs], "doc_id long, text string, key string, n_links int")
+    assert sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in j.near_duplicates(df).collect()) == expected
+    kept = j.keep_one(df)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert len(rows) == len(least) and sorted(str(x.doc_id) for x in rows) == sorted(map(str, least.values()))
+
+
+def test_repeated_rows_keep_one(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text + " more"), (None, text), (None, text), (None, None), (None, None)], "doc_id int, text string")
+    assert sorted((str(r.doc_id), r.text) for r in j.keep_one(df).collect() if r.text) == [("1", text)]
+    assert j.keep_one(df).count() == 2
+
+
+def test_long_texts_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK_SHINGLES", 1000)
+    base = [f"w{k * 7919 % 100003}" for k in range(100_000)]
+    near = base[:-10_000] + [f"x{k}" for k in range(10_000)]
+    far = base[:-30_000] + [f"y{k}" for k in range(30_000)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((base, near, far))], "doc_id long, text string")
+    assert sorted(tuple(r) for r in j.near_duplicates(df).collect()) == [(0, 0, 1), (1, 0, 1), (2, 2, 0)]
+
+
+def test_components_against_plain_search(spark):
+    r = random.Random(4)
+    edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(70)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.node: x.label for x in j.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in label.items() if k != v}
 
 
 def test_posterior_pruning():
