@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,59 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, limit:
     return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def least_of(df: DataFrame, key: str, order: str, k: int, rows: int = 20_000) -> list[dict]:
+    """The rows with the k least values of order (a hash) for each key; of rows with equal key and order, one.
+
+    Every task keeps at most k rows for each key, and the tasks' rows are merged in rounds of ever fewer tasks, so no task
+    sees all of a key. What is returned is bounded by k and the number of keys.
+    """
+    schema = df.schema
+
+    def least(table: pa.Table) -> pa.Table:
+        codes = table.column(key).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        values = table.column(order).to_numpy()
+        at = np.lexsort((values, codes))
+        c, v = codes[at], values[at]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (c[1:] != c[:-1]) | (v[1:] != v[:-1])
+        at, c = at[new], c[new]
+        rank = np.arange(len(c)) - np.searchsorted(c, c, side="left")
+        return table.take(pa.array(at[rank < k]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, waiting, n = None, [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n > 50_000:
+                kept = least(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(waiting)]))
+                waiting, n = [], 0
+        if waiting:
+            kept = least(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(waiting)]))
+        if kept is not None:
+            yield from kept.to_batches()
+
+    mark = written()
+    out = saved(arrow_ready(df).mapInArrow(run, schema), "least")
+    parts = 1 << 30
+    while parts > 1 and (n := out.count()) > rows:
+        parts = min(-(-n // rows), max(1, parts // 2))
+        out = saved(out.repartition(parts).mapInArrow(run, schema), "least")
+    found = [r.asDict() for r in out.collect()]
+    remove_saved(df.sparkSession, mark)
+    found.sort(key=lambda r: (r[key], r[order]))
+    kept, last, n = [], None, 0
+    for r in found:
+        if last is None or r[key] != last[key]:
+            n = 0
+        elif r[order] == last[order]:
+            continue
+        last, n = r, n + 1
+        if n <= k:
+            kept.append(r)
+    return kept
+
+
 def map_rows(
     df: DataFrame, columns: list[str], make: Callable[[], Callable[..., Iterator[tuple]]], schema: str
 ) -> DataFrame:
