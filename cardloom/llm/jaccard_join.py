@@ -4,7 +4,7 @@
    (an aggregation, so thousands of copies cost one row); all that follows works on one text for each class.
 2. Signatures are cut into bands; texts that share a band value meet in a bucket. 32 bands of 4 values miss a pair
    of similarity 0.8 with probability 5e-8. Buckets with the same members are looked at once.
-3. Buckets are dealt to tasks in blocks: about BLOCK texts against BLOCK texts, fewer where texts are long (BLOCK_SHINGLES), so
+3. Buckets are dealt to tasks in blocks: about BLOCK texts against BLOCK texts (a signature is small), fewer where texts are long (BLOCK_SHINGLES), so
    none is ever gathered whole. In a block, MinHash values are compared step by step; a pair is dropped as soon as the posterior
    probability (uniform prior, binomial likelihood) that its similarity reaches the threshold falls below TOLERANCE. A pair is
    judged only in its first common band. Blocks hold signatures only; shingles are made and sent just for the texts
@@ -38,7 +38,7 @@ BANDS = 32
 STEP = 16
 TOLERANCE = 1e-6
 #: Texts, and shingles of texts, in one side of a block, on average.
-BLOCK = 256
+BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
