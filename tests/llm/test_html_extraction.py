@@ -69,6 +69,52 @@ def test_template_of_a_large_host(spark):
     assert got[40] == "words 40"  # on 250 of 5000 pages
 
 
+def test_recurrence_removes_what_no_list_names(spark):
+    """Chrome without a telling tag, class or id goes because it recurs; without the template it would stay."""
+    chrome = '<div class="x1"><ul><li>Shop</li><li>About us</li></ul></div>'
+    rows = [(k, f"http://a.example/{k}", page(f"<div><p>words of page {k}</p></div>{chrome if k % 5 == 0 else ''}")) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keys = h.template_keys(pages)
+    with_, without = ({r.page_id: r.text for r in h.extract(pages, k).collect()} for k in (keys, keys.where("false")))
+    assert without[5] == "words of page 5\nShop\nAbout us" and with_[5] == "words of page 5"
+    assert with_[6] == without[6] == "words of page 6"
+
+
+def test_marked_chrome_recurs_too(spark):
+    menu = '<nav><ul><li>Shop</li></ul></nav><div class="ad">Buy</div>'
+    pages = spark.createDataFrame([(k, f"http://a.example/{k}", page(f"{menu}<p>words {k}</p>")) for k in range(40)], "page_id long, url string, html string")
+    assert h.template_keys(pages).count() >= 3
+
+
+def test_quotations_need_a_share_of_the_host(spark):
+    rows = [(k, f"http://a.example/{k}", page(f"<p>words of page {k}</p>" + ("<p>A saying.</p>" if k < 20 else ""))) for k in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in h.extract(pages, h.template_keys(pages)).where("page_id = 3").collect()} == {"words of page 3\nA saying."}
+
+
+def test_articles_are_not_lost():
+    assert h.read(page('<div class="wrap has-sidebar"><article><p>A</p></article></div><div class="sidebar"><p>S</p></div>')) == "A"
+    assert h.read(page('<form action="x"><p>The whole page is in a form.</p><input></form><form><p>Find</p></form>')) == "The whole page is in a form."
+    assert h.read(page('<article class="post no-comments"><p>A</p></article><article class="comment"><p>C</p></article>')) == "A"
+    assert h.read(page('<article><section id="search-results"><p>A</p></section><p class="notice">B</p></article>')) == "A\nB"
+    assert h.read(page("<p title=it's>Hello<p title='a>b'>you</p>")) == "Hello\nyou"
+    assert h.read(page("<article><p>Teaser</p></article><div><p>The long text of the page stands outside.</p></div>")) == "Teaser\nThe long text of the page stands outside."
+    assert h.read(page('<div class="widget"><article><p>A</p></article></div><div class="site-footer"><p>F</p></div>')) == "A"
+    assert h.read(page('<div id="comments"><article class="comment-body"><p>first!</p></article></div><p>text</p>')) == "text"
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    n = 1_000_000
+    bodies = ["<a x " * (n // 5), "<a href=\"x> y " * (n // 14), "<p>a<b>" * (n // 7), "<b>" * (n // 6) + "<p>" * (n // 6), "<div>" * (n // 10) + "</x>" * (n // 8), "<" * n,
+              "<a '" * (n // 4) + ">", "&" * n, "<!--" * (n // 4), "<p " + "a=b " * (n // 4) + ">t", "word " * (n // 5), "<a href='x>" * (n // 11) + '"' + ">" * 5]
+    for body in bodies:
+        started = time.process_time()
+        h.read(f"<article><p>start</p>{body}", subtrees={})
+        assert time.process_time() - started < 4, body[:40]
+
+
 def test_table_against_plain_reading(spark, sf):
     def plain(source):
         body = re.search(r"<article>(.*?)(</article>|$)", source or "", re.S)
