@@ -54,6 +54,54 @@ def test_short_prose_with_a_key_stays_and_random_tokens_go(spark):
     assert [x.kept for x in sorted(q.rate(docs).collect(), key=lambda x: x.doc_id)] == [True, False, False, False]
 
 
+def test_fertility_is_brute_force(spark, sf):
+    import math
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = TEXTS + ["É\u00e7a \U0001f600 ẘ words 東京 " * 9] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in q.rate(docs).collect():
+        words = WORD.findall(texts[r.doc_id] or "")
+        pieces = model.encode(" ".join(words), out_type=str)
+        assert r.n_tokens == len(pieces)
+        if len(pieces) > 1:
+            counts = Counter(pieces)
+            entropy = -sum(n / len(pieces) * math.log2(n / len(pieces)) for n in counts.values())
+            assert math.isclose(r.chars_per_token, sum(map(len, words)) / len(pieces))
+            assert math.isclose(r.byte_share, sum(n for x, n in counts.items() if re.fullmatch("<0x[0-9A-F]{2}>", x)) / len(pieces), abs_tol=1e-12)
+            assert math.isclose(r.entropy_share, entropy / math.log2(min(len(pieces), 1024)), abs_tol=1e-9)
+
+
+def test_junk_of_a_script_goes_and_its_prose_stays():
+    r = random.Random(4)
+    prose = {
+        "cyrillic": "Быстрая коричневая лиса прыгает через ленивую собаку, пока семь волшебников тихо варят странное зелье у старого берега реки, и никто из них не знает зачем это нужно.",
+        "accented": "Ngày xưa có một người nông dân nghèo sống bên bờ sông cùng với hai người con trai. Mỗi buổi sáng họ dậy thật sớm để ra đồng làm việc cho đến khi mặt trời lặn.",
+        "cjk": "昔々 ある所に おじいさんと おばあさんが 住んで いました。 おじいさんは 山へ 柴刈りに おばあさんは 川へ 洗濯に 行きました。 すると 川上から 大きな 桃が 流れて きました。 二人は とても 喜んで 桃を 家に 持ち 帰りました。",
+    }
+    letters = {"cyrillic": [chr(k) for k in range(0x430, 0x450)], "accented": [chr(k) for k in range(0xE0, 0xFF)], "cjk": [chr(k) for k in range(0x4E00, 0x9FA5)]}
+    rater = q.Rater()
+    for script, text in prose.items():
+        assert q.script_of(text.encode()) == script and rater.keeps(text)
+        six = ["".join(r.choices(letters[script], k=r.randint(3, 9))) for _ in range(6)]
+        noise = " ".join("".join(r.choices(letters[script], k=r.randint(3, 10))) for _ in range(100))
+        assert not rater.keeps(" ".join(r.choices(six, k=100)))
+        assert script == "accented" or not rater.keeps(noise)
+    assert not rater.keeps(" ".join(r.choice("😀😁😂🚀✨") * r.randint(1, 4) for _ in range(80)))
+
+
+def test_repeats_empty_table_and_long_text(spark):
+    long = " ".join(f"word{k * 7919 % 100003}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 1), (2, long, 1)], "doc_id long, text string, n_words int")
+    rows = q.rate(docs).collect()
+    assert sorted(r.doc_id for r in rows) == [1, 1, 2] and [r.n_words for r in rows if r.doc_id == 2] == [400_000]
+    assert q.rate(docs.where("false")).collect() == [] and q.keep_good(docs.where("false")).collect() == []
+
+
 def test_quality_labels_are_respected(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     good = q.rate(docs.where("quality = 1"))
