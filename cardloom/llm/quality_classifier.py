@@ -2,27 +2,31 @@
 
 A small network is trained on trusted positives (label 1) and unlabelled web text with the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
-where R_p and R_u are mean sigmoid losses over positives and unlabelled rows. The class prior is estimated from scores
-of a first network trained to tell positives from unlabelled rows: the least ratio, over score thresholds, of the
-unlabelled share above to the positive share above, with a confidence slack on both shares. Last, labelled training
-rows place the decision at score CUT (only a shift and scale of the network's output).
+where R_p and R_u are mean sigmoid losses over positives and unlabelled rows. Unlabelled text is all text of the corpus, taken
+without its labels; rows with label 0 are never used as such. The class prior is estimated from scores of a first network
+trained to tell positives from unlabelled rows on half of both samples: the least ratio, over score thresholds, of the
+unlabelled share above to the positive share above, with a confidence slack on both shares. The unlabelled share is counted in a
+Spark job over the other half of all the corpus's rows outside the held-out fold. The decision is where the risk puts it, at output 0, which is score CUT.
 
 A text is described by its bytes and pairs of byte classes and by counts of repetition; always the whole text. Labels are
-read only in folds 0, 1 and 3 of crc32(doc_id) mod 4, and at most SAMPLE positives, unlabelled and labelled rows
-each, chosen by the hash of their ids, are used for fitting.
+read only in folds 0, 1 and 3 of crc32(doc_id) mod 4, and the networks are fitted on at most SAMPLE positives and SAMPLE unlabelled
+rows, chosen by the hash of their ids.
 
-Defined cases: null and empty texts are described by zeros and scored like any other; without positives every score is 0;
-several labels of one document count as several rows; repeated rows give one row each; extra columns are ignored.
+Defined cases: null and empty texts are described by zeros and scored like any other; a very long text is described whole; without
+positives every score is 0; several labels of one document count as several rows; repeated rows give one row each; an empty
+table gives no rows; extra columns are ignored, also those with the names of results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, map_rows, table
+from .common import arrow_ready, fold, held_out, map_rows, saved, table
 
 SAMPLE = 6000
 CUT = 0.7
@@ -108,89 +112,103 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return net
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, seed: int = 11) -> float:
-    """Share of positives among unlabelled rows, from a network that tells the two samples apart on half of each."""
-    r = np.random.default_rng(seed)
-    p, u = r.permutation(positive), r.permutation(unlabelled)
-    hp, hu = len(p) // 2, len(u) // 2
-    net = Network(positive.shape[1], seed)
-    for _ in range(800):
-        x = np.vstack([p[r.integers(0, hp, 256)], u[r.integers(0, hu, 256)]])
-        y = np.repeat([1.0, 0.0], 256)
+def fit_teller(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 800, seed: int = 11) -> Network:
+    """A network that tells positives from unlabelled rows by logistic loss."""
+    r, net = np.random.default_rng(seed), Network(positive.shape[1], seed)
+    y = np.repeat([1.0, 0.0], 256)
+    for _ in range(rounds):
+        x = np.vstack([positive[r.integers(0, len(positive), 256)], unlabelled[r.integers(0, len(unlabelled), 256)]])
         net.step(x, (sigmoid(net(x)) - y) / len(x))
-    zp, zu = np.sort(net(p[hp:])), np.sort(net(u[hu:]))
-    cuts = np.quantile(zp, np.linspace(0, 0.99, 100))
-    above_p, above_u = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (len(zp) ** -0.5 + len(zu) ** -0.5)
+    return net
+
+
+def score_cuts(positive_scores: np.ndarray) -> np.ndarray:
+    return np.quantile(positive_scores, np.linspace(0, 0.99, 100))
+
+
+def class_prior(positive_scores: np.ndarray, cuts: np.ndarray, above: np.ndarray, n: int, delta: float = 0.1) -> float:
+    """Share of positives among n unlabelled rows, of which above[k] score at least cuts[k]; scores of rows that the teller was not fitted on."""
+    above_p = 1 - np.searchsorted(np.sort(positive_scores), cuts) / len(positive_scores)
+    above_u = above / n
+    slack = np.sqrt(np.log(4 / delta) / 2) * (len(positive_scores) ** -0.5 + n**-0.5)
     best = np.argmin((above_u + slack) / above_p)
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
 class QualityModel:
-    """score = sigmoid(scale * (output - place) + logit(CUT))."""
-
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, known: np.ndarray, labels: np.ndarray):
-        self.net = None
-        if len(positive) < 2 or len(unlabelled) < 2:
-            return
-        every = np.vstack([positive, unlabelled]).astype(np.float64)
-        self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
-        p, u = self._scaled(positive), self._scaled(unlabelled)
-        self.prior = class_prior(p, u)
-        self.net = fit_risk(p, u, self.prior)
-        z = self.net(self._scaled(known)) if len(known) else self.net(p)
-        y = labels.astype(bool) if len(known) else np.ones(len(z), dtype=bool)
-        self.place = best_cut(z, y)
-        self.steep = 2.0 / max(1e-6, float(np.std(z)))
-
-    def _scaled(self, x: np.ndarray) -> np.ndarray:
+    """score = sigmoid(steep * output + logit(CUT)); without a network every score is 0."""
+
+    def __init__(self, positive: np.ndarray | None = None, unlabelled: np.ndarray | None = None):
+        self.net, self.prior = None, None
+        if positive is not None:
+            every = np.vstack([positive, unlabelled]).astype(np.float64)
+            self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 1e-3
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8)
 
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> QualityModel:
+        u = self.scaled(unlabelled)
+        self.prior, self.net = prior, fit_risk(self.scaled(positive), u, prior)
+        self.steep = 2.0 / max(1e-6, float(np.std(self.net(u))))
+        return self
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.net is None:
             return np.zeros(len(x))
-        return sigmoid(self.steep * (self.net(self._scaled(x)) - self.place) + np.log(CUT / (1 - CUT)))
+        return sigmoid(self.steep * self.net(self.scaled(x)) + np.log(CUT / (1 - CUT)))
+
 
+def count_above(texts: DataFrame, model: QualityModel, teller: Network, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all the texts score at least each cut, and how many there are; a few numbers from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = np.zeros(len(cuts) + 1, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                z = teller(model.scaled(np.array([describe(t) for t in batch.column("text").to_pylist()])))
+                bins += np.bincount(np.searchsorted(cuts, z, side="right"), minlength=len(bins))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(bins))), pa.array(bins)], names=["bin", "n"])
 
-def best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the least mean of the two error shares (both classes count alike)."""
-    if y.all() or not y.any():
-        return float(np.quantile(z, 0.02 if y.all() else 1))
-    order = np.argsort(z)
-    z, y = z[order], y[order]
-    lost = np.concatenate([[0], np.cumsum(y)]) / y.sum()
-    passed = 1 - np.concatenate([[0], np.cumsum(~y)]) / (~y).sum()
-    k = int(np.argmin(lost + passed))
-    return float((z[max(0, k - 1)] + z[min(len(z) - 1, k)]) / 2)
+    found = arrow_ready(texts).select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    bins = np.zeros(len(cuts) + 1, dtype=np.int64)
+    for r in found:
+        bins[r.bin] = r.n
+    return bins[::-1].cumsum()[::-1][1:], int(bins.sum())
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """A model from at most sample positives, unlabelled and labelled rows outside the held-out fold."""
-    train = docs.where(fold() != 2).select("doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left")
+    """A model from at most sample positives and unlabelled rows outside the held-out fold; the prior from all such rows."""
+    train = docs.where(fold() != 2).select("doc_id", F.xxhash64("doc_id").alias("h"))
 
     def least(rows: DataFrame, kind: str) -> DataFrame:
-        return rows.select("doc_id", F.xxhash64("doc_id").alias("h"), "quality").orderBy("h", "doc_id").limit(sample).select(
-            "doc_id", F.lit(kind).alias("kind"), F.col("quality").cast("int").alias("quality")
-        )
+        return rows.select("doc_id", "h").distinct().orderBy("h", "doc_id").limit(sample).select("doc_id", "h", F.lit(kind).alias("kind"))
 
-    chosen = least(train.where("quality = 1"), "p").unionByName(least(train.where("quality is null"), "u")).unionByName(least(train.where("quality is not null"), "k"))
+    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    chosen = saved(least(train.join(trusted, "doc_id", "left_semi"), "p").unionByName(least(train, "u")), "chosen")
 
     def make():
-        def row(doc_id, kind, quality, text):
-            yield doc_id, kind, quality, describe(text).tobytes()
+        def row(doc_id, h, kind, text):
+            yield kind, h, describe(text).tobytes()
 
         return row
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most three samples of ids
-    rows = sorted(tuple(r) for r in map_rows(texts, ["doc_id", "kind", "quality", "text"], make, "doc_id long, kind string, quality int, x binary").fillna(-1, ["quality"]).collect())
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most two samples of ids
+    rows = sorted(tuple(r) for r in map_rows(texts, ["doc_id", "h", "kind", "text"], make, "kind string, h long, x binary").collect())
 
-    def matrix(kind: str) -> np.ndarray:
-        return np.array([np.frombuffer(x, np.float32) for _, k, _, x in rows if k == kind]).reshape(-1, WIDTH)
+    def matrix(kind: str, part: int | None = None) -> np.ndarray:
+        return np.array([np.frombuffer(x, np.float32) for k, h, x in rows if k == kind and part in (None, h % 2)]).reshape(-1, WIDTH)
 
-    unlabelled = matrix("u")
-    if len(unlabelled) < 100:  # everything is labelled: the labelled rows without their labels
-        unlabelled = np.vstack([unlabelled, matrix("k")])
-    return QualityModel(matrix("p"), unlabelled, matrix("k"), np.array([q for _, k, q, _ in rows if k == "k"], dtype=np.int64))
+    positive, unlabelled = matrix("p"), matrix("u")
+    halves = [matrix(k, part) for k in "pu" for part in (0, 1)]
+    if not all(map(len, halves)):
+        return QualityModel()
+    model = QualityModel(positive, unlabelled)
+    teller = fit_teller(model.scaled(halves[0]), model.scaled(halves[2]))
+    z = teller(model.scaled(halves[1]))
+    cuts = score_cuts(z)
+    above, n = count_above(docs.where((fold() != 2) & (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)), model, teller, cuts)
+    return model.fit(positive, unlabelled, class_prior(z, cuts, above, n))
 
 
 def rate_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -205,7 +223,7 @@ def rate_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
                     names=["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_ready(docs).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,11 +42,59 @@ def test_kernel_is_the_presence_kernel():
     assert (len(a), len(b), len(np.intersect1d(a, b))) == (len(x), len(y), len(x & y))
 
 
-def test_nystroem_equals_kernel_ridge_on_landmarks():
-    texts = [("a", "rot blau gelb"), ("a", "blau rot rosa"), ("b", "one two three"), ("b", "two three four")]
-    samples = [(k, lang.ngrams(t)) for k, t in texts]
-    model = lang.LanguageModel(samples, ridge=1e-9)
-    assert model.predict([t for _, t in texts])[0] == ["a", "a", "b", "b"]
+def grams(text):
+    t = f" {' '.join(text.lower().split())} "
+    return {t[k : k + n] for n in lang.SIZES for k in range(len(t) - n + 1)}
+
+
+def test_scores_equal_exact_kernel_ridge():
+    """With every training text a landmark, the batched product is kernel ridge regression with the presence kernel of plain Python sets."""
+    r = np.random.default_rng(1)
+    words = {k: ["".join(r.choice(list(letters), r.integers(2, 7))) for _ in range(60)] for k, letters in {"a": "abcdefgh", "b": "fghijklm", "c": "klmnopaé"}.items()}
+
+    def text(k):
+        return " ".join(r.choice(words[k], 12))
+
+    train = [(k, text(k)) for k in "abc" for _ in range(8)]
+    new = [text(k) for k in "abcabc"] + ["zz", "A  B", "x" * 3000]
+    kernel = lambda s, t: len(grams(s) & grams(t)) / (len(grams(s)) * len(grams(t))) ** 0.5 + 1
+    every = [t for _, t in train]
+    gram = np.array([[kernel(s, t) for t in every] for s in every])
+    target = np.array([[1.0 if k == name else -1.0 for name in "abc"] for k, _ in train])
+    want = np.array([[kernel(s, t) for t in every] for s in new]) @ np.linalg.solve(gram + 0.1 * np.eye(len(gram)), target)
+    model = lang.LanguageModel([(k, lang.ngrams(t)) for k, t in train], ridge=0.1)
+    assert np.abs(model.raw(new) - want).max() < 0.01  # a few n-grams share a hashed name
+    lang_, score = model.predict(new)
+    assert lang_ == ["abc"[k] for k in want.argmax(axis=1)] and all(0 <= x <= 1 for x in score)
+
+
+def test_products_do_not_depend_on_the_blocks(monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [np.unique(r.integers(0, lang.BUCKETS, n)) for n in (5, 1, 400, 30)] + [np.zeros(0, dtype=np.int64)]
+    a, b = lang.Presence(rows), lang.Presence(rows[:3])
+    want = np.array([[len(np.intersect1d(x, y)) / max(1, len(x) * len(y)) ** 0.5 for y in rows[:3]] for x in rows])
+    for dense in (1 << 23, 100):
+        monkeypatch.setattr(lang, "DENSE", dense)
+        assert np.allclose(a.times(b), want, atol=1e-6)
+    texts = ["one two three", "vier fünf", "", "uno dos"]
+    model = lang.LanguageModel([("x", lang.ngrams("one two")), ("y", lang.ngrams("uno dos"))])
+    whole = model.raw(texts)
+    monkeypatch.setattr(lang, "GATHER", 3)
+    assert np.allclose(model.raw(texts), whole)
+
+
+def test_many_languages_keep_the_samples_bounded():
+    r = np.random.default_rng(3)
+    samples = [(f"l{k}", np.unique(r.integers(0, lang.BUCKETS, 20))) for k in range(600) for _ in range(4)]
+    model = lang.LanguageModel(samples)
+    assert len(model.languages) == 600 and model.weights.shape == (lang.BUCKETS, 600)
+
+
+def test_language_repeats_and_names_of_results(spark):
+    rows = [(k, t, name, 7, "q") for k, (t, name) in enumerate([("rot blau gelb", "a"), ("one two three", "b")] * 12)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, score int, lang_pred string")
+    got = lang.identify(docs, lang.learn_languages(docs)).collect()
+    assert len(got) == 27 and all(r.lang_pred == ("b" if r.doc_id % 2 else "a") for r in got)
 
 
 def test_language_edge_cases(spark):
@@ -69,15 +117,72 @@ def test_quality_held_out_accuracy(spark, sf):
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
 
 
-def test_risk_and_prior_on_known_mixture():
-    r = np.random.default_rng(0)
-    p = r.normal(1.5, 1, (2000, 3))
-    truth = r.random(4000) < 0.6
-    u = np.where(truth[:, None], r.normal(1.5, 1, (4000, 3)), r.normal(-1.5, 1, (4000, 3)))
-    prior = quality.class_prior(p, u)
-    assert abs(prior - 0.6) < 0.08
-    net = quality.fit_risk(p, u, prior)
-    assert ((net(u) > 0) == truth).mean() > 0.96
+def mixture(share, n, seed):
+    r = np.random.default_rng(seed)
+    truth = r.random(n) < share
+    return r.normal(1.5, 1, (2000, 3)), np.where(truth[:, None], r.normal(1.5, 1, (n, 3)), r.normal(-1.5, 1, (n, 3))), truth
+
+
+def test_risk_and_prior_on_known_mixtures():
+    for share in (0.3, 0.6, 0.85):
+        p, u, truth = mixture(share, 4000, 0)
+        teller = quality.fit_teller(p[:1000], u[:2000])
+        z, zu = teller(p[1000:]), teller(u[2000:])
+        cuts = quality.score_cuts(z)
+        prior = quality.class_prior(z, cuts, np.array([(zu >= c).sum() for c in cuts]), len(zu))
+        assert abs(prior - share) < 0.08
+        net = quality.fit_risk(p, u, prior)
+        assert ((net(u) > 0) == truth).mean() > 0.93
+
+
+def test_steps_descend_the_non_negative_risk():
+    """The slopes of fit_risk are those of the risk itself, by finite differences, on both sides of zero."""
+    p, u, _ = mixture(0.5, 400, 1)
+    net = quality.Network(3)
+
+    def risk(prior, w):
+        old, net.p[2] = net.p[2], w
+        sp, su = quality.sigmoid(net(p)), quality.sigmoid(net(u))
+        net.p[2] = old
+        rest = su.mean() - prior * sp.mean()
+        return (prior * (1 - sp).mean() + rest) if rest >= 0 else -rest
+
+    for prior in (0.4, 1.0):
+        sp, su = quality.sigmoid(net(p)), quality.sigmoid(net(u))
+        bend_p, bend_u = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
+        slope = np.concatenate([-2 * prior * bend_p, bend_u]) if su.mean() - prior * sp.mean() >= 0 else np.concatenate([prior * bend_p, -bend_u])
+        hidden = np.maximum(np.vstack([p, u]) @ net.p[0] + net.p[1], 0)
+        for k in range(3):
+            step = np.zeros(quality.HIDDEN)
+            step[k] = 1e-5
+            assert abs((risk(prior, net.p[2] + step) - risk(prior, net.p[2] - step)) / 2e-5 - (hidden.T @ slope)[k]) < 1e-6
+
+
+def test_prior_counts_all_rows(spark):
+    r = np.random.default_rng(5)
+    texts = [" ".join("".join(r.choice(list("abcdefgh"), 5)) for _ in range(20)) if k % 3 else "#$% 123 " * 20 for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    model = quality.QualityModel(np.array([quality.describe(t) for t in texts[:50]]), np.array([quality.describe(t) for t in texts]))
+    teller = quality.Network(quality.WIDTH)
+    z = teller(model.scaled(np.array([quality.describe(t) for t in texts])))
+    cuts = np.quantile(z, [0.1, 0.5, 0.9]) - 1e-9
+    above, n = quality.count_above(docs, model, teller, cuts)
+    assert n == 600 and above.tolist() == [(z >= c).sum() for c in cuts]
+
+
+def test_negative_labels_are_not_read(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    a = quality.rate_quality(docs, quality.learn_quality(docs, labels)).orderBy("doc_id").collect()
+    b = quality.rate_quality(docs, quality.learn_quality(docs, labels.where("quality = 1"))).orderBy("doc_id").collect()
+    assert a == b
+
+
+def test_quality_repeats_long_text_and_names_of_results(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "1 as score", "'q' as predicted"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.learn_quality(docs, labels)
+    odd = docs.limit(1).union(docs.limit(1)).union(spark.createDataFrame([(None, "word " * 400_000, 1, "q")], docs.schema))
+    rows = quality.rate_quality(odd, model).collect()
+    assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows)
 
 
 def test_quality_edge_cases(spark):
