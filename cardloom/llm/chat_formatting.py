@@ -4,7 +4,8 @@ For each participant (a role that speaks) the whole dialogue is rendered with th
 a user named after the role. A message becomes
     <|im_start|>assistant\\n{text}<|im_end|>\\n   or   <|im_start|>user name={role}\\n{text}<|im_end|>\\n
 and is trained on (mask) in the assistant's text and end mark only. System messages stay system messages in every rendering and
-are no participant. Rows are one message of one perspective, with its place in the rendering, so a conversation of
+are no participant. A control mark that somebody writes is broken up (`<|` becomes `< |`), so no text can open or end a turn; so is one in
+a role's name, where line ends become blanks too. Rows are one message of one perspective, with its place in the rendering, so a conversation of
 any length is never held in one row; assembled() joins them for conversations of ordinary length.
 
 Places are prefix sums in two steps: within chunks of CHUNK turn numbers, then over the chunks, so that one
@@ -12,12 +13,14 @@ conversation with a third of all rows is spread over many tasks.
 
 Defined cases: a null text is empty; a null role is the speaker `unknown`; messages with equal turns are ordered by
 role, then text; messages with a null turn come first; repeated rows are repeated messages; a null conv_id is a
-conversation of its own; a conversation with system messages only gives no rows; extra columns are ignored.
+conversation of its own; a conversation with system messages only gives no rows; an empty table gives no rows; a very long text
+stays whole; messages without a turn, or with equal turns, of one conversation are ordered in one task; extra columns are ignored,
+also those with the names of results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -26,6 +29,14 @@ START, END = "<|im_start|>", "<|im_end|>"
 CHUNK = 64
 
 
+def unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
+def spoken_name() -> Column:
+    return F.translate(unmarked(F.col("speaker")), "\n\r", "  ")
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """One row for each message in each perspective: rendered text, its place, and the trained part's place.
 
@@ -33,17 +44,17 @@ def rotate(conversations: DataFrame) -> DataFrame:
     message in the rendering), mask_start, mask_end (of its trained part; equal if none), trained.
     """
     said = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), unmarked(F.coalesce("text", F.lit(""))).alias("text")
     ).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 40))))
     speakers = said.where("speaker <> 'system'").select("conv_id", F.col("speaker").alias("perspective")).distinct()
 
     heads = F.when(F.col("speaker") == "system", F.lit(f"{START}system\n")).when(
         F.col("speaker") == F.col("perspective"), F.lit(f"{START}assistant\n")
-    ).otherwise(F.concat(F.lit(f"{START}user name="), F.col("speaker"), F.lit("\n")))
+    ).otherwise(F.concat(F.lit(f"{START}user name="), spoken_name(), F.lit("\n")))
     # lengths of a message in a perspective follow from its speaker and text alone, so sums are made before the rotation
     own = F.length("text")
     tail = len(END) + 1
-    as_user = own + F.when(F.col("speaker") == "system", len(START) + 7).otherwise(len(START) + 11 + F.length("speaker")) + tail
+    as_user = own + F.when(F.col("speaker") == "system", len(START) + 7).otherwise(len(START) + 11 + F.length(spoken_name())) + tail
     as_self = own + F.when(F.col("speaker") == "system", len(START) + 7).otherwise(len(START) + 10) + tail
     sized = said.withColumns({"other_size": as_user.cast("long"), "gain": (as_self - as_user).cast("long")})
 
@@ -101,13 +112,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = f"""
-WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 seen AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 turned AS (
   SELECT m.*, s.perspective, m.speaker = s.perspective AS trained,
     row_number() OVER (PARTITION BY m.conv_id, s.perspective ORDER BY m.turn NULLS FIRST, m.speaker, m.text) - 1 AS position,
     CASE WHEN m.speaker = 'system' THEN '{START}system' || chr(10) WHEN m.speaker = s.perspective THEN '{START}assistant' || chr(10)
-      ELSE '{START}user name=' || m.speaker || chr(10) END AS head
+      ELSE '{START}user name=' || translate(replace(m.speaker, '<|', '< |'), chr(10) || chr(13), '  ') || chr(10) END AS head
   FROM said m JOIN seen s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
 made AS (SELECT *, head || text || '{END}' || chr(10) AS rendered FROM turned),
 placed AS (

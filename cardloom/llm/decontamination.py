@@ -8,12 +8,17 @@ The automaton reads the numbers of the items' words, each written with a few sym
 its own), so its size does not depend on how long words are. A benchmark of more than MAX_PATTERN_BYTES is dealt to several automata, each scans all
 documents, and the hits are united by document.
 
-Defined cases: null and empty texts have no words; items without words never match; repeated items count by
-distinct item_id; a null item_id is not counted but its words are hit; repeated document rows give one row each.
+The items are sent to every executor once, and a Python worker builds an automaton once for all its tasks.
+
+Defined cases: null and empty texts have no words; a very long text is scanned whole, in time linear in it; items without words
+never match; repeated items count by distinct item_id; a null item_id is not counted but its words are hit; repeated document rows
+give one row each; an empty table gives no rows, an empty benchmark no hits; extra columns are ignored by the scan, also those with
+the names of results, and kept by the filter.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, map_rows, table
+from .common import arrow_ready, by_ids, map_rows, table
 
 WINDOW = 13
 #: Share of hit words from which a document counts as contaminated: 1 of 20.
@@ -85,6 +90,24 @@ class Patterns:
         return hit, items
 
 
+#: The automaton that this Python worker built last, by the name of its items.
+_built: dict[str, Patterns] = {}
+
+
+class SharedPatterns:
+    """Items on every executor, and the automaton made of them when a worker first asks for it."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[object, str | None]], size: int):
+        self.name, self.size = uuid.uuid4().hex, size
+        self.items = spark.sparkContext.broadcast(items)  # at most MAX_PATTERN_BYTES of text
+
+    def get(self) -> Patterns:
+        if self.name not in _built:
+            _built.clear()
+            _built[self.name] = Patterns(self.items.value, self.size)
+        return _built[self.name]
+
+
 def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """Runs of hit words as places in the original text (code points, end exclusive)."""
     import re
@@ -108,14 +131,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     blocks = max(1, -(-int(bytes_) // limit))
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
     if blocks == 1:
-        return map_rows(docs, ["doc_id", "text"], _scanner([tuple(r) for r in named.collect()], size), schema)
+        return map_rows(docs, ["doc_id", "text"], _scanner(SharedPatterns(docs.sparkSession, [tuple(r) for r in named.collect()], size)), schema)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").groupBy("row", "doc_id").agg(
         F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
     )
     found = None
     for b in range(blocks):
         part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        hits = map_rows(keyed, ["row", "doc_id", "text", "copies"], _word_scanner([tuple(r) for r in part.collect()], size),
+        hits = map_rows(keyed, ["row", "doc_id", "text", "copies"], _word_scanner(SharedPatterns(docs.sparkSession, [tuple(r) for r in part.collect()], size)),
                         "row long, doc_id long, copies long, n_words long, hit array<int>, items array<string>, text string")
         found = hits if found is None else found.unionByName(hits)
     united = found.groupBy("row", "doc_id").agg(
@@ -126,9 +149,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     return map_rows(united, ["doc_id", "copies", "n_words", "hit", "items", "text"], _united, schema)
 
 
-def _scanner(items, size):
+def _scanner(shared: SharedPatterns):
     def make():
-        patterns = Patterns(items, size)
+        patterns = shared.get()
 
         def row(doc_id, text):
             words = normal_words(text)
@@ -141,9 +164,9 @@ def _scanner(items, size):
     return make
 
 
-def _word_scanner(items, size):
+def _word_scanner(shared: SharedPatterns):
     def make():
-        patterns = Patterns(items, size)
+        patterns = shared.get()
 
         def row(row_id, doc_id, text, copies):
             words = normal_words(text)
@@ -178,7 +201,7 @@ def contamination_report(found: DataFrame, share: int = SHARE) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE, limit: int = MAX_PATTERN_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns, in one scan without a join.
 
-    Beyond limit bytes of benchmark text, rows are removed by a key of id and text, so each row is judged by itself there too.
+    Nulls and empty texts are clean; repeated rows are judged alike; an empty table stays empty. Beyond limit bytes of benchmark text, rows are removed by a key of id and text, so each row is judged by itself there too.
     """
     named = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     bytes_ = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -187,10 +210,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share:
         keyed = docs.select(row.alias("doc_id"), "text")
         bad = contamination_report(find_contamination(keyed, benchmark, size, limit), share).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
         return by_ids(docs.withColumn("_row", row), bad, "_row", "left_anti").select(*docs.columns)
-    items = [tuple(r) for r in named.collect()]
+    shared = SharedPatterns(docs.sparkSession, [tuple(r) for r in named.collect()], size)
 
     def run(batches):
-        patterns = Patterns(items, size)
+        patterns = shared.get()
         for batch in batches:
             keep = []
             for text in batch.column("text").to_pylist():
@@ -199,7 +222,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share:
                 keep.append(not (hit and share * hit >= len(words)))
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_ready(docs).mapInArrow(run, docs.schema)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

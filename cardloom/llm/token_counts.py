@@ -11,7 +11,8 @@ written as printable characters, so every text has a count. Words are lower-case
 and runs of other visible characters, as the vocabulary's own splitting does it.
 
 Defined cases: null and empty texts have no words and no tokens; a word that the vocabulary cannot spell counts as
-one token; repeated rows give one row each; an empty table gives no rows; extra columns are ignored.
+one token; a very long text or word is counted whole, in time linear in it; repeated rows give one row each; an empty table
+gives no rows; extra columns are ignored, also those with the names of results.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_rows, table
 
 END = "</w>"
-#: Distinct words whose counts a task keeps before it starts anew.
+#: Distinct words whose counts a task keeps before it starts anew, and characters of a word that is kept at most.
 MEMO = 500_000
+MEMO_CHARS = 64
 #: Runs of letters, single digits, runs of anything else that is visible.
 SPLIT = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -107,7 +109,9 @@ class WordCounts(dict):
         self.symbols = byte_symbols()
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.match.count("".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
+        n = self.match.count("".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
+        if len(word) <= MEMO_CHARS:
+            self[word] = n
         return n
 
 

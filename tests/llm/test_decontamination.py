@@ -57,6 +57,21 @@ def test_on_the_table(spark, sf):
     assert sorted(got, key=str) == want
 
 
+def test_empty_table_and_long_text(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "other " * 500_000 + LONG)], "doc_id long, text string")
+    for limit in (10**6, 60):
+        row = d.find_contamination(docs, items, limit=limit).first()
+        assert (row.n_words, row.n_hit) == (500_020, 20) and row.spans[0].start == 3_000_000
+        assert d.find_contamination(docs.where("false"), items, limit=limit).collect() == []
+        assert d.keep_clean(docs.where("false"), items, limit=limit).collect() == []
+
+
+def test_a_worker_builds_one_automaton(spark):
+    shared = d.SharedPatterns(spark, ITEMS, 13)
+    assert shared.get() is shared.get() and d.SharedPatterns(spark, ITEMS, 13).get() is not shared.get()
+
+
 def test_no_items(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     report = d.contamination_report(d.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")))

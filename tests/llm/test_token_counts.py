@@ -46,5 +46,14 @@ def test_table_against_brute_force(spark, sf):
         assert (r.n_words, r.n_tokens) == (len(words), sum(brute(w) for w in words))
 
 
+def test_repeats_long_text_and_names_of_results(spark):
+    long = "x" * 300_000 + " word" * 200_000
+    docs = spark.createDataFrame([(1, "two words", "q"), (1, "two words", "q"), (None, long, "q")], "doc_id long, text string, n_words string")
+    rows = t.count_tokens(docs).collect()
+    assert [(r.doc_id, r.n_words) for r in rows] == [(1, 2), (1, 2), (None, 200_001)] and rows[0].n_tokens == rows[1].n_tokens
+    counts = t.word_counts(None)
+    assert counts["y" * 65] > 0 and "y" * 65 not in counts
+
+
 def test_empty(spark):
     assert t.count_tokens(spark.createDataFrame([], "doc_id long, text string")).collect() == []
