@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each stage's rows to the shared folder as
-Parquet and reads them again for the next. All stages but the last return the columns of documents.
+Parquet, reads them again for the next, and removes what the stages before have written. All stages but the last return the
+columns of documents, and those that a caller's table has besides.
+
+Defined cases: null and empty texts fail the quality rules and go; rows that repeat a document, and rows without a doc_id, are
+documents of their own up to the near-duplicate stage, which keeps one row of each group; very long texts are judged and packed
+whole; an empty table passes through every stage and gives no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cardloom.llm import decontamination, jaccard_join, packing, quality_rules, secret_scans
-from cardloom.llm.common import saved, table
+from cardloom.llm.common import remove_saved, saved, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    mark = written()
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        remove_saved(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
