@@ -1,6 +1,6 @@
 """Grade scales of five companies, as data, and the functions that look scores and offsets up in them.
 
-All look-ups are generated `when` chains: a few dozen comparisons inside whole-stage code, no join.
+Look-ups are generated `when` chains or constant maps, without a join; with_grade alone joins the broadcast bands.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ from ..functions.text import default_display_name
 
 TIERS = ("free", "pro_monthly", "beta_lifetime")
 COMPANIES = ("tag", "psa", "bgs", "cgc", "sgc")
+#: What a missing-image record keeps of its card.
+CARD_NAMES = ("card_name", "set_name", "card_number")
 
 
 def page_scans(scans: DataFrame, limit: int = 50, offset: int = 0, order_by: str = "created_at", ascending: bool = False, key: str = "id") -> DataFrame:
@@ -26,11 +28,22 @@ def user_page(scans: DataFrame, user_id: object, limit: int = 50, offset: int =
 
 
 def apply_scan_changes(scans: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """scans after a set of changes: column `deleted` removes a scan; other columns, where not null, replace values."""
-    values = [c for c in changes.columns if c not in (key, "deleted")]
-    new = changes.select(key, F.coalesce("deleted", F.lit(False)).alias("_deleted"), *(F.col(c).alias(f"_new_{c}") for c in values))
+    """scans after a set of changes: `deleted` removes a scan; other columns, where not null, replace values.
+
+    `set_null` (array of names, optional) lists the columns of a change that become null. A scan may have several changes: they hold
+    in the order of `changed_at` (optional), of equal ones the greater value; one that deletes, deletes. A change never multiplies a scan.
+    """
+    values = [c for c in changes.columns if c not in (key, "deleted", "set_null", "changed_at")]
+    emptied = lambda c: F.coalesce(F.array_contains("set_null", c), F.lit(False)) if "set_null" in changes.columns else F.lit(False)
+    at = F.col("changed_at") if "changed_at" in changes.columns else F.lit(0)
+    removed = F.coalesce(F.bool_or("deleted"), F.lit(False)) if "deleted" in changes.columns else F.lit(False)
+    last = [
+        F.max(F.when(F.col(c).isNotNull() | emptied(c), F.struct(at.alias("at"), F.when(~emptied(c), F.col(c)).alias("value")))).alias(f"_new_{c}") for c in values
+    ]
+    new = changes.groupBy(key).agg(removed.alias("_deleted"), *last)
     merged = scans.join(new, key, "left").where(~F.coalesce("_deleted", F.lit(False)))
-    return merged.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in values else F.col(c) for c in scans.columns))
+    replaced = lambda c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.value")).otherwise(F.col(c)).alias(c)
+    return merged.select(*(replaced(c) if c in values else F.col(c) for c in scans.columns))
 
 
 def favorite_scans(scans: DataFrame) -> DataFrame:
@@ -107,26 +120,34 @@ def collection_stats(scans: DataFrame, newest: int | None = None) -> DataFrame:
 
 def collection_value(scans: DataFrame) -> DataFrame:
     """user_id, eur, usd, cards_with_price, total_cards; both sums to cents."""
-    total = F.coalesce(F.sum("eur"), F.lit(0.0))
+    exact = F.col("eur").cast("decimal(18,6)")  # of sums of doubles the order of rows could change a cent
+    total = F.coalesce(F.sum(exact).cast("double"), F.lit(0.0))
     return scans.groupBy("user_id").agg(
         half_up(total, 2).alias("eur"), half_up(total * EUR_TO_USD, 2).alias("usd"), F.count("eur").alias("cards_with_price"), F.count(F.lit(1)).alias("total_cards")
     )
 
 
 def missing_image_rollup(reports: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """tcgdex_id, card_name (of the first report), report_count, first_reported, last_reported, resolved.
+    """tcgdex_id, card_name (and set_name, card_number where reports have them; of the first report), report_count,
+    first_reported, last_reported, resolved.
 
     reports: tcgdex_id, card_name, ts. old: an earlier result; counts add, first names stay. Popular cards are
-    combined before the shuffle.
+    combined before the shuffle. Of reports at one time the least names count.
     """
+    names = [c for c in CARD_NAMES if c in reports.columns]
+    first = F.min(F.struct("ts", *names))
     new = reports.where("tcgdex_id is not null").groupBy("tcgdex_id").agg(
-        F.min_by("card_name", "ts").alias("card_name"), F.count(F.lit(1)).alias("report_count"), F.min("ts").alias("first_reported"), F.max("ts").alias("last_reported"), F.lit(False).alias("resolved")
+        *(first[c].alias(c) for c in names), F.count(F.lit(1)).alias("report_count"), F.min("ts").alias("first_reported"), F.max("ts").alias("last_reported"), F.lit(False).alias("resolved")
     )
-    if old is None:
-        return new
-    both = old.select(*new.columns).unionByName(new)
-    return both.groupBy("tcgdex_id").agg(
-        F.min_by("card_name", "first_reported").alias("card_name"), F.sum("report_count").alias("report_count"), F.min("first_reported").alias("first_reported"),
+    return new if old is None else merge_missing_images(old.select(*new.columns).unionByName(new))
+
+
+def merge_missing_images(counted: DataFrame) -> DataFrame:
+    """One row for each card from several results of missing_image_rollup: counts add, the first report's names stay."""
+    names = [c for c in CARD_NAMES if c in counted.columns]
+    first = F.min(F.struct("first_reported", *names))
+    return counted.groupBy("tcgdex_id").agg(
+        *(first[c].alias(c) for c in names), F.sum("report_count").alias("report_count"), F.min("first_reported").alias("first_reported"),
         F.max("last_reported").alias("last_reported"), F.max("resolved").alias("resolved"),
     )
 

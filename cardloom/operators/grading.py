@@ -112,8 +112,12 @@ def centering_dings(sides: DataFrame) -> DataFrame:
 
 
 def combine_sides(features: DataFrame) -> DataFrame:
-    """One row for each scan from rows for each side (scan_id, side, lr, tb): has_front, has_back and both centerings."""
-    wide = features.groupBy("scan_id").pivot("side", list(SIDES)).agg(F.first("lr").alias("lr"), F.first("tb").alias("tb"), F.count(F.lit(1)).alias("n"))
+    """One row for each scan from rows for each side (scan_id, side, lr, tb): has_front, has_back and both centerings.
+
+    Of a side that comes more than once, the row with the least (lr, tb) counts, nulls first.
+    """
+    one = F.min(F.struct("lr", "tb"))
+    wide = features.groupBy("scan_id").pivot("side", list(SIDES)).agg(one["lr"].alias("lr"), one["tb"].alias("tb"), F.count(F.lit(1)).alias("n"))
     return wide.select(
         "scan_id", F.col("FRONT_n").isNotNull().alias("has_front"), F.col("BACK_n").isNotNull().alias("has_back"),
         F.coalesce(F.when(F.col("FRONT_n").isNotNull(), max_offset(F.col("FRONT_lr"), F.col("FRONT_tb"))), F.lit(50.0)).alias("front_offset"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import leading_int, match_score
 
+#: Letters of a piece of a name.
+PIECE = 3
 CARD = ("card_id", "set_id", "local_id", "name", "hp", "set_total", "ord")
 
 
@@ -15,16 +17,39 @@ def number_hits(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     return queries.select("query_id", "local_id").where("local_id <> ''").join(catalog.select(*CARD), "local_id")
 
 
+def pieces(text: Column, size: int = PIECE) -> Column:
+    """The distinct pieces of a text; a text shorter than a piece has none."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda k: F.substr(text, k, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def holding(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
+    """Rows of texts with each distinct term that the text holds; no text meets a term with which it shares no piece.
+
+    Terms shorter than a piece meet all texts, which is a cross join of those terms alone.
+    """
+    by_piece = texts.withColumn("_piece", F.explode(pieces(F.col(text))))
+    often = by_piece.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    asked = terms.where(F.length(term) >= PIECE).withColumn("_piece", F.explode(pieces(F.col(term)))).join(often, "_piece", "left")
+    rarest = asked.groupBy(term).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_piece"))["_piece"].alias("_piece"))
+    long = by_piece.join(rarest, "_piece").where(F.contains(F.col(text), F.col(term))).drop("_piece")
+    short = terms.where(F.length(term) < PIECE)
+    return long.unionByName(texts.join(short, F.contains(F.col(text), F.col(term))))
+
+
 def name_hits(queries: DataFrame, catalog: DataFrame, least: int = 3, limit: int = 50) -> DataFrame:
     """query_id and the first cards, in catalog order, whose name holds the query's in any case.
 
-    Names repeat over many cards, so distinct names meet distinct queries first; cards join by equal name after it.
+    Names repeat over many cards, so distinct names meet distinct queries first: an equi join on one three-letter piece of each
+    term, the one in the fewest names, then the check. Cards join by equal name after it, of each name the first `limit`.
     """
     wanted = queries.where(F.length("name") >= least).select("query_id", F.trim(F.col("name")).alias("term"))
     terms = wanted.select(F.lower("term").alias("low")).distinct()
-    names = catalog.select("name").distinct()
-    pairs = names.join(terms, F.contains(F.lower("name"), F.col("low")))
-    hits = wanted.withColumn("low", F.lower("term")).join(pairs, "low").join(catalog.select(*CARD), "name")
+    names = catalog.where("name is not null").select("name").distinct()
+    pairs = holding(names.withColumn("_low", F.lower("name")), "_low", terms, "low").select("name", "low")
+    of_name = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
+    cards = catalog.select(*CARD).withColumn("_k", of_name).where(F.col("_k") <= limit).drop("_k")
+    hits = wanted.withColumn("low", F.lower("term")).join(pairs, "low").join(cards, "name")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))
     return hits.withColumn("n", first).where(F.col("n") <= limit).select("query_id", *CARD)
 

@@ -39,6 +39,25 @@ def _(f):
     return c.apply_scan_changes(f.scans.select("id", "user_id", "card_name", "is_favorite"), changes)
 
 
+@query(
+    "p2_set_null_and_repeated_changes",
+    """SELECT id, user_id, CASE WHEN id % 6 = 1 THEN NULL WHEN id % 6 = 2 THEN 'second ' || id ELSE card_name END AS card_name, CASE WHEN id % 6 = 2 THEN NULL ELSE is_favorite END AS is_favorite
+    FROM {scans} WHERE id % 6 <> 3""",
+)
+def _(f):
+    i = F.col("id")
+    none = F.lit(None).cast("string")
+    at = lambda n, name, emptied, gone=False: f.scans.select("id", F.lit(n).alias("changed_at"), name.alias("card_name"), F.lit(None).cast("boolean").alias("is_favorite"), F.array(*map(F.lit, emptied)).cast("array<string>").alias("set_null"), F.lit(gone).alias("deleted"))
+    changes = (
+        at(1, F.concat(F.lit("first "), i.cast("string")), []).where(i % 6 <= 2).where(i % 6 > 0)
+        .unionByName(at(2, none, ["card_name"]).where(i % 6 == 1))
+        .unionByName(at(3, F.concat(F.lit("second "), i.cast("string")), []).where(i % 6 == 2))
+        .unionByName(at(2, none, ["is_favorite"]).where(i % 6 == 2))
+        .unionByName(at(1, none, [], True).where(i % 6 == 3)).unionByName(at(2, none, []).where(i % 6 == 3))
+    )
+    return c.apply_scan_changes(f.scans.select("id", "user_id", "card_name", "is_favorite"), changes)
+
+
 @query("p3_favorites", "SELECT id, user_id, created_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS position FROM {scans} WHERE is_favorite")
 def _(f):
     return c.favorite_scans(f.scans.select("id", "user_id", "created_at", "is_favorite")).drop("is_favorite")
@@ -152,6 +171,21 @@ def _(f):
     return in_us(c.missing_image_rollup(f.reports.where("not old"), old))
 
 
+RECORDS = """SELECT tcgdex_id, arg_min(card_name, ts) AS card_name, arg_min('set ' || event_id % 9, ts) AS set_name, arg_min(CAST(event_id % 200 AS VARCHAR), ts) AS card_number,
+  count(*) AS report_count FROM {reports} GROUP BY tcgdex_id"""
+
+
+def full_reports(reports):
+    """Reports with set and number, as scans give them."""
+    return reports.withColumns({"set_name": F.concat(F.lit("set "), (F.col("event_id") % 9).cast("string")), "card_number": (F.col("event_id") % 200).cast("string")})
+
+
+@query("a8_missing_image_records", RECORDS)
+def _(f):
+    reports = full_reports(f.reports)
+    return c.missing_image_rollup(reports.where("not old"), c.missing_image_rollup(reports.where("old"))).select("tcgdex_id", "card_name", "set_name", "card_number", "report_count")
+
+
 @query("p14_open_missing", "SELECT tcgdex_id, count(*) AS report_count FROM {reports} GROUP BY tcgdex_id HAVING min(event_id) % 2 = 0")
 def _(f):
     rolled = f.reports.groupBy("tcgdex_id").agg(F.count(F.lit(1)).alias("report_count"), (F.min("event_id") % 2 != 0).alias("resolved"))

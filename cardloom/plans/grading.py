@@ -16,14 +16,78 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
 
 
-BANDS = f"bands(company, ord, grade, label, lo, hi) AS (VALUES {values((c, k, *b) for c, rows in scales.BANDS.items() for k, b in enumerate(rows))})"
-LIMITS = f"limits(company, side, grade, most) AS (VALUES {values((c, s, float(k), float(v)) for (c, s), d in scales.CENTERING.items() for k, v in d.items())})"
-COMPANIES = f"companies(company) AS (VALUES {values((c,) for c in scales.COMPANIES)})"
-_CLIENT = [(c, s, float(scales.CENTERING[c, s][k]), v) for (c, s) in scales.CENTERING for k, v in scales.CENTERING_SCORES[s][0].items() if k in scales.CENTERING[c, s]]
-_CLIENT += [("tag", s, float(v), p) for s, two in scales.TAG_TEN.items() for v, p in zip(two, (scales.PRISTINE_SCORE, 970), strict=True)]
-LADDER = f"ladder(company, side, most, points) AS (VALUES {values(_CLIENT)})"
-TAG = f"tagladder(card_type, side, most, points) AS (VALUES {values((t, s, float(m), p) for (t, s), rows in scales.TAG_CENTERING.items() for m, p in rows)})"
-DEDUCT = f"deductions(type, severity, points) AS (VALUES {values((k, s, p) for k, row in scales.DEDUCTIONS.items() for s, p in enumerate(row, start=1))})"
+# Fixed values, written out for the SQL so that it does not depend on the library's tables: least score, most score, grade and label
+# of each company's bands, best first.
+BAND_ROWS = {
+    "tag": """990 1000 10 Pristine|950 989 10 Gem Mint|900 949 9 Mint|850 899 8.5 NM-MT+|800 849 8 NM-MT|750 799 7.5 NM+|700 749 7 NM|650 699 6.5 EX-MT+
+      |600 649 6 EX-MT|550 599 5.5 EX+|500 549 5 EX|450 499 4.5 VG-EX+|400 449 4 VG-EX|350 399 3.5 VG+|300 349 3 VG|250 299 2.5 Good+|200 249 2 Good|150 199 1.5 Fair|100 149 1 Poor""",
+    "psa": "950 1000 10 Gem Mint|850 949 9 Mint|750 849 8 NM-MT|650 749 7 NM|550 649 6 EX-MT|450 549 5 EX|350 449 4 VG-EX|250 349 3 VG|150 249 2 Good|100 149 1 Poor",
+    "bgs": """990 1000 10 Pristine|975 989 10 Perfect|925 974 9.5 Gem Mint|875 924 9 Mint|825 874 8.5 NM-MT+|775 824 8 NM-MT|725 774 7.5 NM+|675 724 7 NM
+      |625 674 6.5 EX-MT+|575 624 6 EX-MT|525 574 5.5 EX+|475 524 5 EX|375 474 4 VG-EX|275 374 3 VG|175 274 2 Good|100 174 1 Poor""",
+    "cgc": """985 1000 10 Pristine|940 984 9.5 Gem Mint|890 939 9 Mint|840 889 8.5 NM-MT+|790 839 8 NM-MT|740 789 7.5 NM+|690 739 7 NM|640 689 6.5 EX-MT+
+      |590 639 6 EX-MT|540 589 5.5 EX+|490 539 5 EX|390 489 4 VG-EX|290 389 3 VG|190 289 2 Good|100 189 1 Poor""",
+    "sgc": """960 1000 10 Pristine|920 959 10 Gem Mint|880 919 9.5 Mint+|840 879 9 Mint|800 839 8.5 NM-MT+|760 799 8 NM-MT|720 759 7.5 NM+|680 719 7 NM
+      |600 679 6 EX-MT|500 599 5 EX|400 499 4 VG-EX|300 399 3 VG|200 299 2 Good|100 199 1 Poor""",
+}
+# grade=most offset, by company and side; tag's two limits for a 10 stand apart in the client's ladder.
+LIMIT_ROWS = {
+    ("tag", "front"): "9=60 8.5=62.5 8=65 7.5=67.5 7=70 6.5=72.5 6=75 5.5=77.5 5=80 4.5=82.5 4=85 3.5=87.5 3=90 2.5=92.5 2=95 1.5=98.33",
+    ("tag", "back"): "9=75 8=85",
+    ("psa", "front"): "10=60 9=65 8=70 7=75 6=80 5=85 4=90",
+    ("psa", "back"): "10=75 9=80 8=90",
+    ("bgs", "front"): "10=50 9.5=55 9=60 8.5=65 8=70 7.5=75 7=80 6=85 5=90",
+    ("bgs", "back"): "10=55 9.5=60 9=70 8=80",
+    ("cgc", "front"): "10=55 9.5=60 9=65 8.5=70 8=75 7=80 6=85 5=90",
+    ("cgc", "back"): "10=60 9.5=65 9=75 8=85",
+    ("sgc", "front"): "10=60 9=65 8=70 7=75 6=80 5=90",
+    ("sgc", "back"): "10=75 9=80 8=90",
+}
+# Most offset=subgrade score of the client.
+LADDER_ROWS = {
+    ("tag", "front"): "51=995 55=970 60=920 62.5=875 65=825 67.5=775 70=725 72.5=675 75=625 77.5=575 80=525 85=425",
+    ("tag", "back"): "52=995 65=970 75=920 85=825",
+    ("psa", "front"): "60=970 65=920 70=825 75=725 80=625 85=525 90=425",
+    ("psa", "back"): "75=970 80=920 90=825",
+    ("bgs", "front"): "50=970 55=945 60=920 65=875 70=825 75=775 80=725 85=625 90=525",
+    ("bgs", "back"): "55=970 60=945 70=920 80=825",
+    ("cgc", "front"): "55=970 60=945 65=920 70=875 75=825 80=725 85=625 90=525",
+    ("cgc", "back"): "60=970 65=945 75=920 85=825",
+    ("sgc", "front"): "60=970 65=920 70=825 75=725 80=625 90=525",
+    ("sgc", "back"): "75=970 80=920 90=825",
+}
+# Most offset=subgrade score of the scorer.
+TAG_ROWS = {
+    ("tcg", "front"): "52=995 55=970 60=920 62.5=860 65=825 67.5=775 70=725 72.5=675 75=625 80=525",
+    ("tcg", "back"): "52=995 65=970 75=920 85=825",
+    ("sports", "front"): "51=995 55=970 57=920 62.5=860 65=825 67.5=775 70=725 75=625 80=525 90=350",
+    ("sports", "back"): "54.5=995 70=970 75=920 95=700",
+}
+# Points for severity 1 to 5.
+DEDUCTION_ROWS = {
+    "CORNER_WHITENING": "30 60 100 150 200", "CORNER_SOFT": "20 50 80 120 180", "CORNER_FRAYING": "40 80 130 180 250",
+    "EDGE_DAMAGE": "25 50 90 140 200", "EDGE_WHITENING": "30 60 100 150 200", "EDGE_CHIPPING": "35 70 120 170 230",
+    "SURFACE_SCRATCH": "40 80 140 200 300", "SURFACE_STAIN": "50 100 160 220 320", "PRINT_LINE": "20 40 70 100 150", "SURFACE_CREASE": "150 250 350 450 550",
+}
+
+
+def pairs(rows: dict, kind=float):
+    """The keys and both numbers of each x=y."""
+    return ((*key, float(x), kind(y)) for key, text in rows.items() for x, y in (p.split("=") for p in text.split()))
+
+
+def band_rows():
+    for company, text in BAND_ROWS.items():
+        for k, band in enumerate(text.split("|")):
+            lo, hi, grade, label = band.split(maxsplit=3)
+            yield company, k, float(grade), label.strip(), int(lo), int(hi)
+
+
+BANDS = f"bands(company, ord, grade, label, lo, hi) AS (VALUES {values(band_rows())})"
+LIMITS = f"limits(company, side, grade, most) AS (VALUES {values(pairs(LIMIT_ROWS))})"
+COMPANIES = "companies(company) AS (VALUES ('tag'), ('psa'), ('bgs'), ('cgc'), ('sgc'))"
+LADDER = f"ladder(company, side, most, points) AS (VALUES {values(pairs(LADDER_ROWS, int))})"
+TAG = f"tagladder(card_type, side, most, points) AS (VALUES {values(pairs(TAG_ROWS, int))})"
+DEDUCT = f"deductions(type, severity, points) AS (VALUES {values((k, s, int(p)) for k, row in DEDUCTION_ROWS.items() for s, p in enumerate(row.split(), start=1))})"
 
 OFFSETS = """offs AS (SELECT id AS scan_id, greatest(coalesce(front_lr, 50.0::DOUBLE), 100 - coalesce(front_lr, 50.0::DOUBLE), coalesce(front_tb, 50.0::DOUBLE), 100 - coalesce(front_tb, 50.0::DOUBLE)) AS front_offset,
   greatest(coalesce(back_lr, 50.0::DOUBLE), 100 - coalesce(back_lr, 50.0::DOUBLE), coalesce(back_tb, 50.0::DOUBLE), 100 - coalesce(back_tb, 50.0::DOUBLE)) AS back_offset FROM {scans})"""

@@ -26,14 +26,17 @@ def _(f):
     return s.cosine_topk(q, g).withColumn("similarity", F.floor(F.col("similarity") * 1000000 + 0.5) / 1000000)
 
 
-@query(
-    "j1_f4_enriched_matches",
-    f"""WITH {TOP} SELECT query_id, t.card_id, rank, CASE WHEN CAST(substr(t.card_id, 3) AS INT) % 3 = 0 THEN 'name ' || substr(t.card_id, 3) ELSE substr(t.card_id, 3) END AS name,
+ENRICHED = f"""WITH {TOP} SELECT query_id, t.card_id, rank, CASE WHEN CAST(substr(t.card_id, 3) AS INT) % 3 = 0 THEN 'name ' || substr(t.card_id, 3) ELSE substr(t.card_id, 3) END AS name,
     CASE WHEN CAST(substr(t.card_id, 3) AS INT) % 3 = 0 THEN 'sv1' ELSE 'c' END AS set_id, substr(t.card_id, 3) AS number,
-    'https://assets.tcgdex.net/en/' || CASE WHEN CAST(substr(t.card_id, 3) AS INT) % 3 = 0 THEN 'sv/sv1' ELSE 'unknown/c' END || '/' || substr(t.card_id, 3) AS image FROM top t""",
-)
+    'https://assets.tcgdex.net/en/' || CASE WHEN CAST(substr(t.card_id, 3) AS INT) % 3 = 0 THEN 'sv/sv1' ELSE 'unknown/c' END || '/' || substr(t.card_id, 3) AS image FROM top t"""
+
+
+@query("j1_f4_enriched_matches", ENRICHED)
 def _(f):
-    q, g = split(f)
+    return enriched(*split(f))
+
+
+def enriched(q, g):
     number = F.substring("card_id", 3, 20)
     cards = g.where("cast(substring(card_id, 3) as int) % 3 = 0").select("card_id", F.concat(F.lit("name "), number).alias("name"), F.lit("sv1").alias("set_id"), number.alias("local_id"))
     return s.cosine_topk(q, g, cards=cards).select("query_id", "card_id", "rank", "name", "set_id", "number", "image")
@@ -61,6 +64,15 @@ def _(f):
     return s.cosine_topk(q, g).withColumn("similarity", F.floor(F.col("similarity") * 1000000 + 0.5) / 1000000)
 
 
+def all_rows(sql: str) -> str:
+    """The same SQL with every id divisible by 20 asked against all rows."""
+    return sql.replace("q.vec_id % 10 = 0 AND g.vec_id % 10 <> 0", "q.vec_id % 20 = 0")
+
+
+def every(f: Inputs):
+    return f.vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), f.vectors.select(F.concat(F.lit("c-"), F.col("vec_id").cast("string")).alias("card_id"), "embedding", "label")
+
+
 BITS = "(SELECT vec_id, label, list_transform(embedding[2:64], lambda v: CAST(v > list_aggregate(CAST(embedding[2:64] AS DOUBLE[]), 'median') AS INT)) AS b FROM {vectors})"
 HASHES = f"""hashes AS (SELECT vec_id, label, list_reduce(list_transform(range(1, 64), lambda i: CAST(b[i] AS UBIGINT) << (64 - i)::UBIGINT), lambda x, y: x | y) AS h FROM {BITS})"""
 DIST = "bit_count(CAST(xor(q.h, g.h) AS BIT))"
@@ -127,3 +139,39 @@ def _(f):
     q, g = hashes(f)
     top = s.hamming_topn(q, g, 20).join(g.select("card_id", F.concat(F.lit("Name "), (F.col("label") % 3).cast("string")).alias("name")), "card_id").withColumn("card_id", F.col("card_id").cast("string"))
     return s.flatten_variants(s.group_by_artwork(top))
+
+
+MATCHED = f"WITH {TOP} SELECT query_id, CASE WHEN sim >= 0.85 THEN 'matched' WHEN sim >= 0.75 THEN 'ambiguous' ELSE 'unknown' END AS status FROM top WHERE rank = 1"
+
+
+@query("j1_f4_enriched_matches_all_rows", all_rows(ENRICHED))
+def _(f):
+    return enriched(*every(f))
+
+
+@query("f25_match_status_all_rows", all_rows(MATCHED))
+def _(f):
+    q, g = every(f)
+    return s.match_status(q, s.cosine_topk(q, g, k=1))
+
+
+def artwork(f: Inputs):
+    """Groups of every 20th hash's matches among all of them."""
+    h = f.vectors.select("vec_id", "label", s.hash_of_block(F.col("embedding")).alias("hash"))
+    q, g = h.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "hash"), h.withColumnRenamed("vec_id", "card_id")
+    names = g.select("card_id", F.concat(F.lit("Name "), (F.col("label") % 3).cast("string")).alias("name"))
+    return s.group_by_artwork(s.hamming_topn(q, g, 20).join(names, "card_id").withColumn("card_id", F.col("card_id").cast("string")))
+
+
+GROUPED = f"WITH {ART.replace('{{', '{').replace('}}', '}')} SELECT query_id, name, seed AS distance, CASE WHEN seed <= 8 THEN 'high' WHEN seed <= 16 THEN 'medium' ELSE 'low' END AS confidence, CAST(arg_min(i.c, i.r) AS VARCHAR) AS primary_card, array_to_string(list(i.c ORDER BY i.r), ',') AS variants, CAST(count(*) AS INT) AS variant_count FROM e GROUP BY query_id, name, seed"
+FLAT = f"WITH {ART.replace('{{', '{').replace('}}', '}')} SELECT query_id, CASE WHEN seed <= 8 THEN 'high' WHEN seed <= 16 THEN 'medium' ELSE 'low' END AS confidence, CAST(count(*) OVER (PARTITION BY query_id, name, seed) AS INT) AS variant_count, CAST(i.c AS VARCHAR) AS card_id FROM e"
+
+
+@query("a9_group_by_artwork_all_rows", all_rows(GROUPED))
+def _(f):
+    return artwork(f).withColumn("variants", F.array_join("variants", ",")).drop("rank")
+
+
+@query("f15_flatten_variants_all_rows", all_rows(FLAT))
+def _(f):
+    return s.flatten_variants(artwork(f))

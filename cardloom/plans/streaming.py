@@ -5,22 +5,19 @@ Each run uses its own folder below spark.checkpoint.dir (a local one only where
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import half_up
+from ..sources.shared import new_folder
 from ..streaming import jobs
 from .base import ADAPTERS, Inputs, query
 from .centering import FOLD
-from .collection import ROLLUP, in_us
+from .collection import RECORDS, ROLLUP, full_reports, in_us
 
 
 def scratch(f: Inputs) -> str:
-    base = f.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cardloom-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return new_folder(f.spark, "stream")
 
 
 def streamed(f: Inputs, name: str) -> DataFrame:
@@ -54,7 +51,14 @@ def finished(f: Inputs, df: DataFrame, mode: str, keep) -> DataFrame:
 def _(f):
     at = scratch(f)
     jobs.missing_image_stream(adapted(f, "reports"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return in_us(jobs.latest_version(f"{at}/out", f.spark)[0])
+    return in_us(jobs.missing_images(f"{at}/out", f.spark))
+
+
+@query("t1_missing_image_records_stream", RECORDS)
+def _(f):
+    at = scratch(f)
+    jobs.missing_image_stream(full_reports(adapted(f, "reports")), f"{at}/out", f"{at}/checkpoint", every=1).awaitTermination()
+    return jobs.missing_images(f"{at}/out", f.spark).select("tcgdex_id", "card_name", "set_name", "card_number", "report_count")
 
 
 @query("t2_calibration_stream", FOLD + " SELECT device, kind, n AS count, floor(o_left * 1000000 + 0.5::DOUBLE) / 1000000 AS o_left, floor(o_right * 1000000 + 0.5::DOUBLE) / 1000000 AS o_right FROM fold")

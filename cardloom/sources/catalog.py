@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.scores import truthy
 from ..functions.text import record_image_url, year_of_set
+from .shared import stored
 
 LISTED = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "localId", "name", "image")] + [T.StructField("set", T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name")]))])
 HASHED = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "hash", "name", "set", "number")])
@@ -20,6 +21,8 @@ EMBEDDINGS = T.StructType(
         T.StructField("embeddings", T.MapType(T.StringType(), T.ArrayType(T.FloatType()))),
     ]
 )
+#: Rows of a range that is numbered by one task, on average.
+PER_RANGE = 500_000
 #: Rank of an image file's extension: the first that exists is used.
 EXTENSIONS = {"png": 0, "jpg": 1, "webp": 2}
 
@@ -45,10 +48,10 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
-    """df with a number from 0 in the column's order: range partitions are numbered locally, their starts are sums of
-    the counts before them, so no task sees all rows."""
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    """df with a number from 0 in the column's order: ranges of about PER_RANGE rows are numbered locally, their starts are
+    sums of the counts before them, so no task sees all rows. The ranged rows are stored, so counts and numbers see the same ranges."""
+    parts = max(1, -(-df.count() // PER_RANGE))
+    ranged = stored(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranged")
     local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # one row for each partition
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))

@@ -8,39 +8,62 @@ incremental catalog (each landed file is taken once).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.collection import missing_image_rollup
+from ..operators.collection import merge_missing_images, missing_image_rollup
 from ..operators.search import new_cards
 from ..operators.sequences import LONGEST_RUN, MEMORY
+from ..sources.shared import remove
 
 
-def latest_version(base: str, spark) -> tuple[DataFrame | None, int]:
-    """The newest version below a folder of numbered versions, and its number (-1: none)."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None, -1
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
-    return (spark.read.parquet(f"{base}/v={max(done)}"), max(done)) if done else (None, -1)
+#: Batches after which the counters of missing images are folded into one table.
+COMPACT_EVERY = 32
 
 
-def missing_image_stream(reports: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Folds each batch of reports (tcgdex_id, card_name, ts) into the table at out, a folder of versions numbered by
-    batch; a batch that runs again writes the same version again."""
+def numbered_folders(base: str, prefix: str, spark: SparkSession) -> list[int]:
+    """Numbers n of the finished tables `{prefix}={n}` below base."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(base)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path(base))]
+    return sorted(int(n[len(prefix) + 1 :]) for n in names if n.startswith(f"{prefix}=") and fs.exists(path(f"{base}/{n}/_SUCCESS")))
+
+
+def missing_images(base: str, spark: SparkSession, until: int | None = None) -> DataFrame | None:
+    """The counters that a missing_image_stream has written so far: its last whole table and the batches after it, merged."""
+    whole = [n for n in numbered_folders(base, "whole", spark) if until is None or n < until]
+    after = [n for n in numbered_folders(base, "batch", spark) if n > max(whole, default=-1) and (until is None or n <= until)]
+    parts = [f"{base}/whole={n}" for n in whole[-1:]] + [f"{base}/batch={n}" for n in after]
+    if not parts:
+        return None
+    tables = [spark.read.parquet(p) for p in parts]
+    return merge_missing_images(reduce(DataFrame.unionByName, tables))
+
+
+def missing_image_stream(reports: DataFrame, out: str, checkpoint: str, every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Counts each batch of reports (tcgdex_id, card_name, ts; optionally set_name, card_number) into a small table of its own below out.
+
+    After every so many batches the last whole table and the batches after it become the next whole table, and what
+    they replace is removed one round later. missing_images() reads the state. A batch that runs again writes the same tables again.
+    """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old, version = latest_version(out, spark)
-        if version >= batch_id:  # a repeated batch starts from the version before it
-            old = spark.read.parquet(f"{out}/v={batch_id - 1}") if batch_id else None
-        missing_image_rollup(batch, old).write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+        missing_image_rollup(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if (batch_id + 1) % every == 0:
+            missing_images(out, spark, batch_id).write.mode("overwrite").parquet(f"{out}/whole={batch_id}")
+            before = batch_id - every
+            for prefix in ("batch", "whole"):
+                for n in numbered_folders(out, prefix, spark):
+                    if n < before or (prefix == "batch" and n == before):
+                        remove(spark, f"{out}/{prefix}={n}")
 
     return reports.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
