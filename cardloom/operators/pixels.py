@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -43,8 +43,13 @@ def image_job(images: DataFrame, rows: Callable[[int, str, np.ndarray], Iterator
     return images.select(F.col("image_id").cast("long").alias("image_id"), "side", "height", "width", "pixels").mapInArrow(run, schema)
 
 
+def milli(rgb: np.ndarray) -> np.ndarray:
+    """Luminance in thousandths, exact."""
+    return rgb[..., 0].astype(np.int64) * 299 + rgb[..., 1].astype(np.int64) * 587 + rgb[..., 2].astype(np.int64) * 114
+
+
 def luminance(rgb: np.ndarray) -> np.ndarray:
-    return rgb.astype(np.float64) @ LUMA
+    return milli(rgb) / 1000
 
 
 def half_up(x):
@@ -68,7 +73,7 @@ def resize(gray: np.ndarray, h: int, w: int) -> np.ndarray:
 
 def equalize(gray: np.ndarray) -> np.ndarray:
     """Histogram equalisation over 256 levels."""
-    level = np.clip(half_up(gray), 0, 255).astype(np.int64)
+    level = np.clip(half_up(np.round(gray, 6)), 0, 255).astype(np.int64)  # averages of equal pixels may miss a half by rounding
     cdf = np.cumsum(np.bincount(level.ravel(), minlength=256))
     least = cdf[cdf > 0][0]
     return np.zeros(gray.shape) if gray.size == least else half_up((cdf - least) / (gray.size - least) * 255)[level]
@@ -102,19 +107,46 @@ def cell_stats(gray: np.ndarray, x0: int, y0: int, nx: int, ny: int, cw: int, ch
     return mean, np.maximum((v * v).mean(axis=(1, 3)) - mean**2, 0)
 
 
-def coarse_bounds(gray: np.ndarray, grid: int = 16, share: float = 0.12, least: float = 30, padding: int = 5) -> tuple[int, int, int, int, str]:
-    """left, right, top, bottom, method: the box around cells of high variance; else the middle 80 percent."""
-    h, w = gray.shape
-    cw, ch = w // grid, h // grid
-    if cw and ch:
-        _, var = cell_stats(gray, 0, 0, grid, grid, cw, ch, 2)
-        ys, xs = np.nonzero(var > max(least, var.max() * share))
-        if len(xs):
-            box = max(0, xs.min() * cw - padding), min(w, (xs.max() + 1) * cw + padding), max(0, ys.min() * ch - padding), min(h, (ys.max() + 1) * ch + padding)
-            if box[1] - box[0] >= 50 and box[3] - box[2] >= 50:
-                return (*map(int, box), "variance")
-    x, y = int(w * 0.1), int(h * 0.1)
-    return x, x + int(w * 0.8), y, y + int(h * 0.8), "fallback"
+def cell_rows(rgb: np.ndarray, grid: int, step: int = 2) -> list[tuple]:
+    """(row, column, samples, sum, sum of squares) of every cell of a grid, in thousandths; one row of nulls without cells."""
+    light = milli(rgb)
+    ch, cw = light.shape[0] // grid, light.shape[1] // grid
+    if not (ch and cw):
+        return [(None, None, None, None, None)]
+    v = light[: ch * grid, : cw * grid].reshape(grid, ch, grid, cw)[:, ::step, :, ::step]
+    total, squares = v.sum(axis=(1, 3)), (v * v).sum(axis=(1, 3))
+    n = v.shape[1] * v.shape[3]
+    return [(y, x, n, int(total[y, x]), int(squares[y, x])) for y in range(grid) for x in range(grid)]
+
+
+def coarse_bounds(images: DataFrame, grid: int = 16, share: float = 0.12, least: float = 30, padding: int = 5) -> DataFrame:
+    """image_id, side, left, right, top, bottom, method: the box around cells of high variance; else the middle 80 percent.
+
+    Python sums the cells of each picture; what follows is Spark's. image_id and side name a picture.
+    """
+    cells = image_job(
+        images, lambda i, s, rgb: [(i, s, *rgb.shape[:2], *c) for c in cell_rows(rgb, grid)],
+        "image_id long, side string, h long, w long, y long, x long, n long, total long, squares long",
+    )
+    mean = F.col("total") / F.col("n")
+    var = F.greatest((F.col("squares") / F.col("n") - mean * mean) / 1e6, F.lit(0.0))
+    most = F.max("var").over(Window.partitionBy("image_id", "side"))
+    marked = cells.withColumn("var", var).withColumn("high", F.col("var") > F.greatest(F.lit(float(least)), most * share))
+    ch, cw = F.floor(F.col("h") / grid), F.floor(F.col("w") / grid)
+    edge = lambda f, c: f(F.when(F.col("high"), F.col(c)))
+    box = marked.groupBy("image_id", "side", "h", "w").agg(edge(F.min, "x").alias("x0"), edge(F.max, "x").alias("x1"), edge(F.min, "y").alias("y0"), edge(F.max, "y").alias("y1")).withColumns(
+        {
+            "l": F.greatest(F.lit(0), F.col("x0") * cw - padding), "r": F.least(F.col("w"), (F.col("x1") + 1) * cw + padding),
+            "t": F.greatest(F.lit(0), F.col("y0") * ch - padding), "b": F.least(F.col("h"), (F.col("y1") + 1) * ch + padding),
+        }
+    )
+    good = F.coalesce((F.col("x0").isNotNull()) & (F.col("r") - F.col("l") >= 50) & (F.col("b") - F.col("t") >= 50), F.lit(False))
+    x, y = F.floor(F.col("w") * 0.1), F.floor(F.col("h") * 0.1)
+    pick = lambda found, other, name: F.when(good, found).otherwise(other).cast("long").alias(name)
+    return box.select(
+        "image_id", "side", pick(F.col("l"), x, "left"), pick(F.col("r"), x + F.floor(F.col("w") * 0.8), "right"),
+        pick(F.col("t"), y, "top"), pick(F.col("b"), y + F.floor(F.col("h") * 0.8), "bottom"), F.when(good, "variance").otherwise("fallback").alias("method"),
+    )
 
 
 def line_variance(gray: np.ndarray, axis: int, lines: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -191,12 +223,9 @@ def fine_bounds(gray: np.ndarray) -> tuple[int, int, int, int]:
 
 def detect_bounds(images: DataFrame, method: str = "fine") -> DataFrame:
     """image_id, side, left, right, top, bottom, method."""
-
-    def rows(i, s, rgb):
-        gray = luminance(rgb)
-        return [(i, s, *fine_bounds(gray), "fine")] if method == "fine" else [(i, s, *coarse_bounds(gray))]
-
-    return image_job(images, rows, f"image_id long, side string, {BOX}, method string")
+    if method != "fine":
+        return coarse_bounds(images)
+    return image_job(images, lambda i, s, rgb: [(i, s, *fine_bounds(luminance(rgb)), "fine")], f"image_id long, side string, {BOX}, method string")
 
 
 # ---- borders ----
@@ -414,43 +443,53 @@ def laplacian(gray: np.ndarray) -> np.ndarray:
     return 4 * gray[1:-1, 1:-1] - gray[:-2, 1:-1] - gray[2:, 1:-1] - gray[1:-1, :-2] - gray[1:-1, 2:]
 
 
-def photo_score(gray: np.ndarray) -> tuple[int, float, float, float, float, list[str]]:
-    """Score, sharpness, dark and bright share, contrast, warnings; samples every second pixel (fourth for contrast)."""
-    h, w = gray.shape
-    edges = np.abs(laplacian(gray))[::2, ::2]
-    sharp = float((edges**2).mean() - edges.mean() ** 2)
-    some = gray[::2, ::2]
-    dark, bright = float((some < 30).mean()), float((some > 240).mean())
-    middle = gray[int(h * 0.2) : int(np.ceil(h * 0.8)) : 4, int(w * 0.2) : int(np.ceil(w * 0.8)) : 4]
-    contrast = float(middle.max() - middle.min())
-    checks = (
-        (sharp < 100, 40, "blur:high"), (100 <= sharp < 300, 15, "blur:medium"), (dark > 0.4, 25, "dark:high"), (0.25 < dark <= 0.4, 10, "dark:medium"),
-        (bright > 0.3, 25, "bright:high"), (0.15 < bright <= 0.3, 10, "bright:medium"), (contrast < 50, 10, "contrast:medium"),
-    )
-    score = 100 - sum(points for test, points, _ in checks if test)
-    return score, sharp, dark, bright, contrast, [name for test, _, name in checks if test]
+def photo_sums(rgb: np.ndarray) -> tuple[int, ...]:
+    """Samples, sum and sum of squares of the edges' strength; samples, dark and bright ones; contrast. In thousandths, of every
+    second pixel (fourth for contrast)."""
+    light = milli(rgb)
+    h, w = light.shape
+    edges = np.abs(laplacian(light))[::2, ::2]
+    some = light[::2, ::2]
+    middle = light[int(h * 0.2) : int(np.ceil(h * 0.8)) : 4, int(w * 0.2) : int(np.ceil(w * 0.8)) : 4]
+    return (edges.size, int(edges.sum()), int((edges * edges).sum()), some.size, int((some < 30_000).sum()), int((some > 240_000).sum()), int(middle.max() - middle.min()))
 
 
 def photo_quality(images: DataFrame) -> DataFrame:
-    """image_id, side, score, acceptable, rounded measures, warnings."""
-
-    def rows(i, s, rgb):
-        score, sharp, dark, bright, contrast, warnings = photo_score(luminance(rgb))
-        r = lambda x: int(half_up(x))
-        return [(i, s, max(0, score), score >= 60, r(sharp), r(dark * 100), r(bright * 100), r(contrast), warnings)]
-
-    return image_job(images, rows, "image_id long, side string, score int, acceptable boolean, sharpness long, dark long, bright long, contrast long, warnings array<string>")
+    """image_id, side, score, acceptable, rounded measures, warnings. Python sums the pixels; the score is Spark's."""
+    sums = image_job(
+        images, lambda i, s, rgb: [(i, s, *photo_sums(rgb))] if min(rgb.shape[:2]) > 2 else [],
+        "image_id long, side string, n long, total long, squares long, seen long, n_dark long, n_bright long, spread long",
+    )
+    mean = F.col("total") / F.col("n")
+    measured = sums.select(
+        "image_id", "side", ((F.col("squares") / F.col("n") - mean * mean) / 1e6).alias("sharp"), (F.col("n_dark") / F.col("seen")).alias("dark"),
+        (F.col("n_bright") / F.col("seen")).alias("bright"), (F.col("spread") / 1000).alias("contrast"),
+    )
+    sharp, dark, bright, contrast = (F.col(c) for c in ("sharp", "dark", "bright", "contrast"))
+    checks = (
+        (sharp < 100, 40, "blur:high"), ((sharp >= 100) & (sharp < 300), 15, "blur:medium"), (dark > 0.4, 25, "dark:high"), ((dark > 0.25) & (dark <= 0.4), 10, "dark:medium"),
+        (bright > 0.3, 25, "bright:high"), ((bright > 0.15) & (bright <= 0.3), 10, "bright:medium"), (contrast < 50, 10, "contrast:medium"),
+    )
+    lost = [F.when(test, points).otherwise(0) for test, points, _ in checks]
+    whole = lambda x, name: F.floor(x + 0.5).cast("long").alias(name)
+    scored = measured.withColumn("points", (F.lit(100) - sum(lost[1:], lost[0])).cast("int"))
+    return scored.select(
+        "image_id", "side", F.greatest(F.col("points"), F.lit(0)).alias("score"), (F.col("points") >= 60).alias("acceptable"),
+        whole(sharp, "sharpness"), whole(dark * 100, "dark"), whole(bright * 100, "bright"), whole(contrast, "contrast"),
+        F.array_compact(F.array(*(F.when(test, name) for test, _, name in checks))).alias("warnings"),
+    )
 
 
 def blur(images: DataFrame, limit: float = 100) -> DataFrame:
     """image_id, side, variance of the signed Laplacian of 8-bit grey (mirrored edges), blurry."""
 
-    def rows(i, s, rgb):
-        grey = np.pad(half_up(luminance(rgb)), 1, mode="reflect")
-        v = float(laplacian(grey).var())
-        return [(i, s, v, v < limit)]
+    def sums(rgb: np.ndarray) -> tuple[int, int, int]:
+        edges = laplacian(np.pad((milli(rgb) + 500) // 1000, 1, mode="reflect"))
+        return edges.size, int(edges.sum()), int((edges * edges).sum())
 
-    return image_job(images, rows, "image_id long, side string, variance double, blurry boolean")
+    found = image_job(images, lambda i, s, rgb: [(i, s, *sums(rgb))] if min(rgb.shape[:2]) > 1 else [], "image_id long, side string, n long, total long, squares long")
+    mean = F.col("total") / F.col("n")
+    return found.select("image_id", "side", (F.col("squares") / F.col("n") - mean * mean).alias("variance")).withColumn("blurry", F.col("variance") < limit)
 
 
 def backend_wear(rgb: np.ndarray) -> list[tuple[str, str, int, float]]:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import half_up
 from ..operators import grading, pixels
 from .base import Inputs, query
 
@@ -61,6 +62,77 @@ def masks(f: Inputs) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def cropped(f: Inputs) -> DataFrame:
+    """The drawn cards without the ground around them."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, raw in zip(batch.column("image_id").to_pylist(), batch.column("pixels").to_pylist(), strict=True):
+                rgb = np.frombuffer(raw, np.uint8).reshape(HEIGHT, WIDTH, 3)
+                out.append(rgb[10 + i % 7 : HEIGHT - 9 - i % 6, 8 + i % 9 : WIDTH - 8 - i % 5])
+            columns = {"height": pa.array([x.shape[0] for x in out], pa.int32()), "width": pa.array([x.shape[1] for x in out], pa.int32()), "pixels": pa.array([x.tobytes() for x in out], pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
+
+    df = images(f)
+    return df.mapInArrow(run, df.schema)
+
+
+# The pictures of draw(), one row for each pixel, as DuckDB says it.
+PIXELS = f"""place AS (SELECT vec_id AS id, embedding AS e, 8 + vec_id % 9 AS lft, 10 + vec_id % 7 AS tp, {WIDTH} - 8 - vec_id % 5 AS rgt, {HEIGHT} - 9 - vec_id % 6 AS btm FROM {{embeddings}}),
+inner_place AS (SELECT *, lft + 5 + id % 6 AS l, rgt - 5 - id % 4 AS r, tp + 7 + id % 5 AS t, btm - 7 - id % 8 AS b FROM place),
+every AS (SELECT id, y, x, lft, tp, CASE WHEN id % 4 = 0 AND y >= tp AND y < tp + 3 AND x >= lft + 20 AND x < rgt - 20 THEN 245 WHEN id % 3 = 0 AND y >= tp AND y < tp + 12 AND x >= lft AND x < lft + 12 THEN 250 END AS spot,
+    CASE WHEN y >= t AND y < b AND x >= l AND x < r THEN (110 + 300::DOUBLE * CAST(e[1 + (x // 6 + 8 * (y // 8)) % len(e)] AS DOUBLE)) + 20 * ((x + y) % 5) END AS art,
+    y >= tp AND y < btm AND x >= lft AND x < rgt AS card FROM inner_place, (SELECT range AS y FROM range({HEIGHT})), (SELECT range AS x FROM range({WIDTH}))),
+px AS (SELECT id, y, x, {', '.join(f"CAST(trunc(greatest(0::DOUBLE, least(255::DOUBLE, CASE WHEN spot IS NOT NULL THEN spot WHEN art IS NOT NULL THEN art * {k}::DOUBLE WHEN card THEN {c} ELSE 40 + x % 3 END))) AS BIGINT) AS {n}" for n, k, c in (("r", "1.0", "200 + id % 30"), ("g", "0.9", "180 + id % 40"), ("b", "0.8", "60 + id % 90")))} FROM every),
+light AS (SELECT id, y, x, 299 * r + 587 * g + 114 * b AS m FROM px)"""
+SIDE = "CASE WHEN id % 2 = 0 THEN 'front' ELSE 'back' END AS side"
+NEAR = "lag({v}) OVER v AS up, lead({v}) OVER v AS down, lag({v}) OVER h AS before, lead({v}) OVER h AS after FROM {t} WINDOW v AS (PARTITION BY id, x ORDER BY y), h AS (PARTITION BY id, y ORDER BY x)"
+
+
+def near(v: str, t: str) -> str:
+    return NEAR.replace("{v}", v).replace("{t}", t)
+
+
+def phash_sql(equal: bool) -> str:
+    """Cells of 6 x 4 pixels, the 8 x 8 low frequencies, their bits against the median of all but the first."""
+    levels = """cells AS (SELECT id, y // 6 AS i, x // 4 AS j, CAST(sum(m) AS DOUBLE) / 24 / 1000 AS v FROM light GROUP BY ALL)"""
+    if equal:
+        levels = levels.replace("cells AS", "plain AS") + """, leveled AS (SELECT id, i, j, CAST(greatest(0, least(255, floor(round(v, 6) + 0.5::DOUBLE))) AS INT) AS k FROM plain),
+        cdf AS (SELECT id, k, sum(count(*)) OVER (PARTITION BY id ORDER BY k) AS n, first_value(count(*)) OVER (PARTITION BY id ORDER BY k) AS least FROM leveled GROUP BY id, k),
+        cells AS (SELECT id, i, j, CASE WHEN least = 1024 THEN 0::DOUBLE ELSE floor(CAST(n - least AS DOUBLE) / (1024 - least) * 255 + 0.5::DOUBLE) END AS v FROM leveled JOIN cdf USING (id, k))"""
+    wave = lambda u, x: f"cos(pi() * {u} * (2 * {x} + 1) / 64) * CASE WHEN {u} = 0 THEN sqrt(1 / 32::DOUBLE) ELSE 0.25::DOUBLE END"
+    return f"""WITH {PIXELS}, {levels}, rows_ AS (SELECT id, i, w, sum(v * {wave("w", "j")}) AS v FROM cells, (SELECT range AS w FROM range(8)) GROUP BY id, i, w),
+    low AS (SELECT id, u, w, sum(v * {wave("u", "i")}) AS v FROM rows_, (SELECT range AS u FROM range(8)) GROUP BY id, u, w HAVING u + w > 0),
+    bits AS (SELECT id, 8 * u + w AS k, v > median(v) OVER (PARTITION BY id) AS on_ FROM low)
+    SELECT id AS image_id, {SIDE}, lower(printf('%016x', CAST(sum(CASE WHEN on_ THEN 1::HUGEINT << (64 - k)::INT ELSE 0 END) AS UBIGINT))) AS hash FROM bits GROUP BY id"""
+
+
+SQL = {
+    "v1_phash_plain": phash_sql(False),
+    "v1_v2_phash_equalized": phash_sql(True),
+    "v3_coarse_bounds": f"""WITH {PIXELS}, cells AS (SELECT id, y // 12 AS i, x // 8 AS j, count(*) AS n, CAST(sum(m) AS DOUBLE) AS s, CAST(sum(m * m) AS DOUBLE) AS s2 FROM light WHERE y % 2 = 0 AND x % 2 = 0 GROUP BY ALL),
+      vars AS (SELECT id, i, j, greatest((s2 / n - (s / n) * (s / n)) / 1000000, 0::DOUBLE) AS var FROM cells),
+      high AS (SELECT id, i, j FROM vars QUALIFY var > greatest(30::DOUBLE, max(var) OVER (PARTITION BY id) * 0.12::DOUBLE)),
+      box AS (SELECT p.vec_id AS id, greatest(0, min(j) * 8 - 5) AS l, least({WIDTH}, (max(j) + 1) * 8 + 5) AS r, greatest(0, min(i) * 12 - 5) AS t, least({HEIGHT}, (max(i) + 1) * 12 + 5) AS b FROM {{embeddings}} p LEFT JOIN high h ON h.id = p.vec_id GROUP BY p.vec_id),
+      good AS (SELECT *, coalesce(r - l >= 50 AND b - t >= 50, false) AS ok FROM box)
+      SELECT id AS image_id, {SIDE}, CAST(CASE WHEN ok THEN l ELSE 12 END AS BIGINT) AS "left", CAST(CASE WHEN ok THEN r ELSE 114 END AS BIGINT) AS "right", CAST(CASE WHEN ok THEN t ELSE 19 END AS BIGINT) AS top, CAST(CASE WHEN ok THEN b ELSE 172 END AS BIGINT) AS bottom,
+        CASE WHEN ok THEN 'variance' ELSE 'fallback' END AS method FROM good""",
+    "v9_photo_quality": f"""WITH {PIXELS}, around AS (SELECT id, y, x, m, {near("m", "light")}),
+      sums AS (SELECT id, count(CASE WHEN e THEN 1 END) AS n, CAST(sum(CASE WHEN e THEN d END) AS DOUBLE) AS s, CAST(sum(CASE WHEN e THEN d * d END) AS DOUBLE) AS s2, count(CASE WHEN z THEN 1 END) AS seen, count(CASE WHEN z AND m < 30000 THEN 1 END) AS n_dark,
+        count(CASE WHEN z AND m > 240000 THEN 1 END) AS n_bright, max(CASE WHEN c THEN m END) - min(CASE WHEN c THEN m END) AS spread
+        FROM (SELECT id, m, abs(4 * m - up - down - before - after) AS d, y % 2 = 1 AND x % 2 = 1 AND y <= {HEIGHT - 2} AND x <= {WIDTH - 2} AS e, y % 2 = 0 AND x % 2 = 0 AS z, y >= 38 AND y < 154 AND (y - 38) % 4 = 0 AND x >= 25 AND x < 103 AND (x - 25) % 4 = 0 AS c FROM around) GROUP BY id),
+      measured AS (SELECT id, (s2 / n - (s / n) * (s / n)) / 1000000 AS sharp, n_dark / seen::DOUBLE AS dark, n_bright / seen::DOUBLE AS bright, spread / 1000::DOUBLE AS contrast FROM sums),
+      warned AS (SELECT *, list_filter([CASE WHEN sharp < 100 THEN 'blur:high' WHEN sharp < 300 THEN 'blur:medium' END, CASE WHEN dark > 0.4::DOUBLE THEN 'dark:high' WHEN dark > 0.25::DOUBLE THEN 'dark:medium' END,
+        CASE WHEN bright > 0.3::DOUBLE THEN 'bright:high' WHEN bright > 0.15::DOUBLE THEN 'bright:medium' END, CASE WHEN contrast < 50 THEN 'contrast:medium' END], lambda w: w IS NOT NULL) AS w FROM measured),
+      scored AS (SELECT *, 100 - coalesce(list_sum(list_transform(w, lambda x: CASE x WHEN 'blur:high' THEN 40 WHEN 'blur:medium' THEN 15 WHEN 'dark:high' THEN 25 WHEN 'bright:high' THEN 25 ELSE 10 END)), 0) AS points FROM warned)
+      SELECT id AS image_id, {SIDE}, CAST(greatest(0, points) AS INT) AS score, points >= 60 AS acceptable, CAST(floor(sharp + 0.5::DOUBLE) AS BIGINT) AS sharpness, CAST(floor(dark * 100 + 0.5::DOUBLE) AS BIGINT) AS dark,
+        CAST(floor(bright * 100 + 0.5::DOUBLE) AS BIGINT) AS bright, CAST(floor(contrast + 0.5::DOUBLE) AS BIGINT) AS contrast, array_to_string(w, ',') AS warnings FROM scored""",
+    "v10_blur": f"""WITH {PIXELS}, grey AS (SELECT id, y, x, (m + 500) // 1000 AS g FROM light), around AS (SELECT id, g, {near("g", "grey")}),
+      edges AS (SELECT id, 4 * g - coalesce(up, down) - coalesce(down, up) - coalesce(before, after) - coalesce(after, before) AS d FROM around),
+      v AS (SELECT id, CAST(sum(d * d) AS DOUBLE) / count(*) - (CAST(sum(d) AS DOUBLE) / count(*)) * (CAST(sum(d) AS DOUBLE) / count(*)) AS variance FROM edges GROUP BY id)
+      SELECT id AS image_id, {SIDE}, floor(variance * 1000000 + 0.5::DOUBLE) / 1000000 AS variance, variance < 100 AS blurry FROM v""",
+}
 JOBS = {
     "v1_v2_phash_equalized": lambda f: pixels.phash_images(images(f)),
     "v1_phash_plain": lambda f: pixels.phash_images(images(f), equal=False),
@@ -71,16 +143,17 @@ JOBS = {
     "v7_edge_dings": lambda f: pixels.dings_of(images(f), ("edge",)),
     "v8_surface_dings": lambda f: pixels.dings_of(images(f), ("surface",)),
     "v8_o3_surface_regions": lambda f: pixels.surface_regions(images(f)),
-    "v9_photo_quality": lambda f: pixels.photo_quality(images(f)),
-    "v10_blur": lambda f: pixels.blur(images(f)),
+    "v9_photo_quality": lambda f: pixels.photo_quality(images(f)).withColumn("warnings", F.array_join("warnings", ",")),
+    "v10_blur": lambda f: pixels.blur(images(f)).withColumn("variance", half_up(F.col("variance"), 6)),
     "v11_backend_defects": lambda f: pixels.backend_defects(images(f)),
+    "v11_backend_defects_of_cropped_cards": lambda f: pixels.backend_defects(cropped(f)),
     "v12_mask_corners": lambda f: pixels.mask_corners(masks(f)),
     "v13_binarize_name": lambda f: pixels.binarize_name(images(f)).drop("bits"),
     "v14_vision_maps": lambda f: pixels.vision_maps(images(f)).select("image_id", "side", "kind", "height", "width", F.sha2("pixels", 256).alias("sha")),
     "v15_analyze_images": lambda f: pixels.analyze_images(images(f)).select("image_id", "side", "left", "right", "top", "bottom", "border.lr", "border.tb", "anomaly", "scratch", "holo", F.size("dings").alias("n_dings")),
 }
 for _name, _job in JOBS.items():
-    query(_name)(_job)
+    query(_name, SQL.get(_name))(_job)
 
 
 @query("v15_j13_f46_grade_from_pictures")

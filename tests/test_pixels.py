@@ -50,10 +50,10 @@ def test_photo_quality_against_loops(pictures):
         lap = [abs(4 * L[y][x] - L[y - 1][x] - L[y + 1][x] - L[y][x - 1] - L[y][x + 1]) for y in range(1, h - 1, 2) for x in range(1, w - 1, 2)]
         some = [L[y][x] for y in range(0, h, 2) for x in range(0, w, 2)]
         mid = [L[y][x] for y in range(int(h * 0.2), math.ceil(h * 0.8), 4) for x in range(int(w * 0.2), math.ceil(w * 0.8), 4)]
-        _, sharp, dark, bright, contrast, _ = p.photo_score(p.luminance(rgb))
-        assert sharp == pytest.approx(sum(x * x for x in lap) / len(lap) - (sum(lap) / len(lap)) ** 2)
-        assert dark == pytest.approx(sum(x < 30 for x in some) / len(some)) and bright == pytest.approx(sum(x > 240 for x in some) / len(some))
-        assert contrast == pytest.approx(max(mid) - min(mid))
+        n, total, squares, seen, dark, bright, spread = p.photo_sums(rgb)
+        assert n == len(lap) and total / 1000 == pytest.approx(sum(lap), abs=1e-6) and squares / 1e6 == pytest.approx(sum(x * x for x in lap), abs=1e-6)
+        assert seen == len(some) and dark == sum(x < 30 for x in some) and bright == sum(x > 240 for x in some)
+        assert spread / 1000 == pytest.approx(max(mid) - min(mid))
 
 
 def test_bounds_find_the_drawn_card(pictures):
@@ -63,7 +63,13 @@ def test_bounds_find_the_drawn_card(pictures):
         assert abs(right - (WIDTH - 8 - k % 5)) <= 4 and abs(bottom - (HEIGHT - 9 - k % 6)) <= 6
     flat = p.luminance(pictures[-1])
     assert p.fine_bounds(flat) == (0, 79, 0, 89)
-    assert p.coarse_bounds(flat) == (8, 72, 9, 81, "fallback")
+
+
+def test_coarse_bounds_fall_back(spark):
+    rows = [(1, "front", 90, 80, bytearray(b"\x80" * 21600)), (2, "front", 10, 80, bytearray(2400)), (3, "back", 90, 80, bytearray(5))]
+    df = spark.createDataFrame(rows, "image_id long, side string, height int, width int, pixels binary")
+    assert sorted(tuple(r) for r in p.detect_bounds(df, "coarse").collect()) == [(1, "front", 8, 72, 9, 81, "fallback"), (2, "front", 8, 72, 1, 9, "fallback")]
+    assert p.photo_quality(df).count() == 2 and p.blur(df).where("blurry").count() == 2
 
 
 def test_centering_of_a_clean_card():
