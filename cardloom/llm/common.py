@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Ids that may be sent to every executor (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 4_000_000
 #: Bytes of an Arrow batch; a row that is larger travels alone.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 #: Tables that saved() has written and nobody has removed yet, oldest first.
 _written: list[str] = []
 

@@ -54,11 +54,9 @@ class ByteBpe:
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         path = path or public_tokenizers.path("byte_bpe_50k.json")
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         byte = {ord(c): b for b, c in enumerate(byte_symbols())}
@@ -71,6 +69,15 @@ class ByteBpe:
             tiktoken.Encoding("pieces", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (public_tokenizers.PATTERN, plain)
         )
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself; loaded only when a text needs it, as it is large."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True  # their strings in a text are ordinary text
+        return found
+
     def encode(self, text: str) -> bytes:
         if not SPACES.search(text):
             ids = self.plain.encode_ordinary(text)
