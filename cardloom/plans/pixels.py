@@ -78,6 +78,24 @@ def cropped(f: Inputs) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def scratched(f: Inputs) -> DataFrame:
+    """The drawn pictures, every second one with bright flecks all over the card."""
+
+    y, x = np.mgrid[0:HEIGHT, 0:WIDTH]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, raw in zip(batch.column("image_id").to_pylist(), batch.column("pixels").to_pylist(), strict=True):
+                rgb = np.frombuffer(raw, np.uint8).reshape(HEIGHT, WIDTH, 3)
+                flecks = (i % 2 == 0) & ((x // 3 * 3 + y // 4 * 5 + i) % 6 == 0) & (rgb.max(axis=2) > 60)
+                out.append(np.where(flecks[..., None], 250, rgb).astype(np.uint8).tobytes())
+            yield batch.set_column(batch.schema.get_field_index("pixels"), "pixels", pa.array(out, pa.binary()))
+
+    df = images(f)
+    return df.mapInArrow(run, df.schema)
+
+
 # The pictures of draw(), one row for each pixel, as DuckDB says it.
 PIXELS = f"""place AS (SELECT vec_id AS id, embedding AS e, 8 + vec_id % 9 AS lft, 10 + vec_id % 7 AS tp, {WIDTH} - 8 - vec_id % 5 AS rgt, {HEIGHT} - 9 - vec_id % 6 AS btm FROM {{embeddings}}),
 inner_place AS (SELECT *, lft + 5 + id % 6 AS l, rgt - 5 - id % 4 AS r, tp + 7 + id % 5 AS t, btm - 7 - id % 8 AS b FROM place),
@@ -132,6 +150,30 @@ SQL = {
       edges AS (SELECT id, 4 * g - coalesce(up, down) - coalesce(down, up) - coalesce(before, after) - coalesce(after, before) AS d FROM around),
       v AS (SELECT id, CAST(sum(d * d) AS DOUBLE) / count(*) - (CAST(sum(d) AS DOUBLE) / count(*)) * (CAST(sum(d) AS DOUBLE) / count(*)) AS variance FROM edges GROUP BY id)
       SELECT id AS image_id, {SIDE}, floor(variance * 1000000 + 0.5::DOUBLE) / 1000000 AS variance, variance < 100 AS blurry FROM v""",
+    "v12_mask_corners": f"""WITH {PIXELS}, mask AS (SELECT id, y, x, CAST(greatest(r, g, b) > 60 AS INT) AS k FROM px), around AS (SELECT id, y, x, k, {near("k", "mask")}),
+      outline AS (SELECT id, y, x, k = 1 AND up + down + before + after < 4 AS edge, k = 1 AS inside FROM around),
+      counted AS (SELECT id, count(CASE WHEN edge THEN 1 END) AS n_edge, count(CASE WHEN inside THEN 1 END) AS n_all FROM outline GROUP BY id),
+      points AS (SELECT o.id, x, y FROM outline o JOIN counted c USING (id) WHERE CASE WHEN n_edge < 50 THEN inside AND n_all >= 100 ELSE edge END),
+      found AS (SELECT id, arg_min(struct_pack(x := x, y := y), [x + y, y, x]) AS tl, arg_min(struct_pack(x := x, y := y), [y - x, y, x]) AS tr, arg_min(struct_pack(x := x, y := y), [x - y, y, x]) AS bl, arg_min(struct_pack(x := x, y := y), [-x - y, y, x]) AS br
+        FROM points GROUP BY id HAVING max(x) - min(x) >= {WIDTH} * 0.2::DOUBLE AND max(y) - min(y) >= {HEIGHT} * 0.2::DOUBLE)
+      SELECT id AS image_id, {SIDE}, {", ".join(f"{c}.{k} AS {c}_{k}" for c in ("tl", "tr", "bl", "br") for k in "xy")} FROM found""",
+    "v13_binarize_name": f"""WITH {PIXELS}, strip AS (SELECT id, m / 1000::DOUBLE AS v FROM light WHERE x >= 6 AND x < 95 AND y >= 5 AND y < 20), ends AS (SELECT id, min(v) AS low, max(v) AS high FROM strip GROUP BY id),
+      g AS (SELECT id, CASE WHEN high - low > 10 THEN (v - low) / (high - low) * 255 ELSE v END AS g FROM strip JOIN ends USING (id)),
+      levels AS (SELECT id, k, count(g) AS n FROM (SELECT id, range AS k FROM ends, range(256)) LEFT JOIN (SELECT id, g, CAST(floor(g + 0.5::DOUBLE) AS BIGINT) AS k FROM g) USING (id, k) GROUP BY id, k),
+      sums AS (SELECT id, k, CAST(sum(n) OVER w AS DOUBLE) AS below, CAST(sum(n * k) OVER w AS DOUBLE) AS s, CAST(sum(n) OVER (PARTITION BY id) AS DOUBLE) AS size, CAST(sum(n * k) OVER (PARTITION BY id) AS DOUBLE) AS total FROM levels WINDOW w AS (PARTITION BY id ORDER BY k)),
+      between_ AS (SELECT id, k, CASE WHEN below > 0 AND size - below > 0 THEN below * (size - below) * ((s / below - (total - s) / (size - below)) * (s / below - (total - s) / (size - below))) ELSE 0 END AS v FROM sums),
+      best AS (SELECT id, CASE WHEN max(v) > 0 THEN arg_min(k, [-v, k]) ELSE 128 END AS lim FROM between_ GROUP BY id)
+      SELECT id AS image_id, {SIDE}, CAST(lim AS INT) AS "limit", count(CASE WHEN g < lim - 10 THEN 1 END) / count(*)::DOUBLE AS black, 15 AS height, 89 AS width FROM g JOIN best USING (id) GROUP BY id, lim""",
+    "v11_backend_defects_of_cropped_cards": f"""WITH {PIXELS}, card AS (SELECT p.id, p.y - tp AS y, p.x - lft AS x, r, g, b, (299 * r + 587 * g + 114 * b + 500) // 1000 AS grey, rgt - lft AS w, btm - tp AS h FROM px p JOIN place q USING (id) WHERE p.y >= tp AND p.y < btm AND p.x >= lft AND p.x < rgt),
+      sized AS (SELECT *, CAST(floor(h * 0.12::DOUBLE) AS BIGINT) AS ch, CAST(floor(w * 0.12::DOUBLE) AS BIGINT) AS cw, CAST(floor(h * 0.05::DOUBLE) AS BIGINT) AS eh, CAST(floor(w * 0.05::DOUBLE) AS BIGINT) AS ew FROM card),
+      corner AS (SELECT id, 'CORNER_WHITENING' AS type, CASE WHEN top THEN 'TOP' ELSE 'BOTTOM' END || CASE WHEN lefty THEN '_LEFT' ELSE '_RIGHT' END AS location, r, g, b, grey > 235 AS bright, dx / (cw // 2)::DOUBLE + dy / (ch // 2)::DOUBLE <= 1 AS counts
+        FROM (SELECT *, y < ch AS top, x < cw AS lefty, CASE WHEN x < cw THEN x ELSE cw - (x - (w - cw)) END AS dx, CASE WHEN y < ch THEN y ELSE ch - (y - (h - ch)) END AS dy FROM sized WHERE (y < ch OR y >= h - ch) AND (x < cw OR x >= w - cw))),
+      edge AS (SELECT id, 'EDGE_DAMAGE' AS type, unnest(list_filter([CASE WHEN y < eh AND x >= cw AND x < w - cw THEN 'TOP' END, CASE WHEN y >= h - eh AND x >= cw AND x < w - cw THEN 'BOTTOM' END, CASE WHEN x < ew AND y >= ch AND y < h - ch THEN 'LEFT' END, CASE WHEN x >= w - ew AND y >= ch AND y < h - ch THEN 'RIGHT' END], lambda l: l IS NOT NULL)) AS location,
+        r, g, b, grey > 240 AS bright, true AS counts FROM sized),
+      parts AS (SELECT id, type, location, greatest(avg(r), avg(g), avg(b)) - least(avg(r), avg(g), avg(b)) > 30 AND (stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3 < CASE WHEN type = 'EDGE_DAMAGE' THEN 35 ELSE 40 END AS plain,
+        count(CASE WHEN counts AND bright THEN 1 END) / nullif(count(CASE WHEN counts THEN 1 END), 0)::DOUBLE AS share FROM (SELECT * FROM corner UNION ALL SELECT * FROM edge) GROUP BY id, type, location)
+      SELECT id AS image_id, {SIDE}, type, location, CAST(CASE WHEN type = 'EDGE_DAMAGE' THEN least(5, floor(share * 20) + 1) ELSE least(5, floor(share * 15) + 1) END AS INT) AS severity,
+        CASE WHEN type = 'EDGE_DAMAGE' THEN least(0.85::DOUBLE, share * 2) ELSE least(0.9::DOUBLE, share * 1.5::DOUBLE) END AS confidence FROM parts WHERE NOT plain AND share > CASE WHEN type = 'EDGE_DAMAGE' THEN 0.2::DOUBLE ELSE 0.25::DOUBLE END""",
 }
 JOBS = {
     "v1_v2_phash_equalized": lambda f: pixels.phash_images(images(f)),
@@ -142,6 +184,7 @@ JOBS = {
     "v6_corner_dings": lambda f: pixels.dings_of(images(f), ("corner",)),
     "v7_edge_dings": lambda f: pixels.dings_of(images(f), ("edge",)),
     "v8_surface_dings": lambda f: pixels.dings_of(images(f), ("surface",)),
+    "v8_surface_dings_of_scratched_cards": lambda f: pixels.dings_of(scratched(f), ("surface",)),
     "v8_o3_surface_regions": lambda f: pixels.surface_regions(images(f)),
     "v9_photo_quality": lambda f: pixels.photo_quality(images(f)).withColumn("warnings", F.array_join("warnings", ",")),
     "v10_blur": lambda f: pixels.blur(images(f)).withColumn("variance", half_up(F.col("variance"), 6)),
