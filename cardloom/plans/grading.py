@@ -238,7 +238,17 @@ def _(f):
 )
 def _(f):
     each = tag_scored(f).select("scan_id", "tag_score", "front_offset", "back_offset", F.explode(F.array(*map(F.lit, scales.COMPANIES))).alias("company"))
-    return each.withColumn("c", scales.company_grade(F.col("tag_score"), F.col("company"), F.col("front_offset"), F.col("back_offset"))).select("scan_id", "company", "c.grade", "c.ok", "c.label")
+    graded = scales.with_company_grade(each, F.col("tag_score"), F.col("company"), F.col("front_offset"), F.col("back_offset"))
+    return graded.select("scan_id", "company", "grade", "ok", "label")
+
+
+@query(
+    "f35_best_company",
+    f"""WITH {TAG_SCORED} SELECT scan_id, CASE WHEN front_offset <= 55 AND coalesce(back_offset, 50) <= 75 THEN true ELSE false END AS psa_ok FROM tagscored""",
+)
+def _(f):
+    c = scales.company_grade(F.col("tag_score"), F.lit("psa"), F.col("front_offset"), F.col("back_offset"))
+    return tag_scored(f).select("scan_id", c["ok"].alias("psa_ok"))
 
 
 @query(
