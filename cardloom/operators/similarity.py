@@ -34,13 +34,13 @@ def cosine_pairs(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     return q.crossJoin(g).select("query_id", "card_id", cosine(F.col("qe"), F.col("ge")).alias("similarity")).where("similarity is not null")
 
 
-def blocks_of(gallery: DataFrame, size: int = BLOCK) -> DataFrame:
-    """block, ids, vectors: gallery vectors of unit length, packed as float32 matrices of at most size rows on average.
+def blocks_of(gallery: DataFrame, count: int, size: int = BLOCK) -> DataFrame:
+    """ids, vectors: gallery vectors (count of them) of unit length, packed as float64 matrices of at most size rows on average.
 
     Zero vectors drop out.
     """
     rows = gallery.select("card_id", "embedding")
-    n = max(1, -(-rows.count() // size))
+    n = max(1, -(-count // size))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts = [], []
@@ -88,8 +88,8 @@ def cosine_topk(queries: DataFrame, gallery: DataFrame, k: int = 10, cards: Data
     BROADCAST_BYTES is sent to the tasks block by block; a larger one is paired with batches of queries by a join of
     block rows. cards: card_id, name, set_id, local_id to enrich the result with (missing ones fall back on the id).
     """
-    blocks = blocks_of(gallery)
-    size = blocks.agg(F.coalesce(F.sum(F.octet_length("vectors")), F.lit(0))).first()[0]
+    count, numbers = gallery.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0))).first()
+    blocks, size = blocks_of(gallery, count), 8 * numbers
     packed = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
 
     def unit(vectors: list) -> np.ndarray:
