@@ -40,6 +40,9 @@ TOLERANCE = 1e-6
 #: Texts, and shingles of texts, in one side of a block, on average.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Pairs of a block that are compared at once (1 kB each), and words whose hashes a task remembers.
+PAIRS = 1 << 14
+MEMO = 150_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -62,7 +65,7 @@ class Shingles:
     def of(self, text: str | None, size: int = SHINGLE) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
         memo = self.memo
-        if len(memo) > 500_000:
+        if len(memo) > MEMO:
             memo.clear()
         names = [memo.get(w) for w in words]
         if None in names:
@@ -174,8 +177,9 @@ def surviving_pairs(rows: list[dict], threshold: float, steps: list[tuple[int, i
     size = np.array([r["n_shingles"] for r in rows])
     width = HASHES // BANDS
     found = []
-    for at in range(0, len(left), 128):  # so that only 128 rows of the square of pairs are held
-        i, j = (x.ravel() for x in np.meshgrid(left[at : at + 128], right, indexing="ij"))
+    step = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        i, j = (x.ravel() for x in np.meshgrid(left[at : at + step], right, indexing="ij"))
         keep = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
         if right is left:
             keep &= i < j
