@@ -9,6 +9,7 @@ from . import (
     jaccard_join,
     language_id,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secret_scans,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scans": secret_scans.op8_secret_scans,
     "op9_language_id": language_id.op9_language_id,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat_formatting.OP7_SQL}
