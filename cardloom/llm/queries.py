@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     chat_formatting,
+    collocations,
     decontamination,
     html_extraction,
     jaccard_join,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat_formatting.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat_formatting.OP7_SQL, "op12_phrase_collocations": collocations.OP12_SQL}
