@@ -9,6 +9,7 @@ from . import (
     html_extraction,
     jaccard_join,
     language_id,
+    mixing,
     packing,
     periodic_runs,
     quality_classifier,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_source_mixing": mixing.op13_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat_formatting.OP7_SQL, "op12_phrase_collocations": collocations.OP12_SQL}
