@@ -1,7 +1,7 @@
 """Features of card pictures: perceptual hashes, bounds, borders, wear, photo quality.
 
 Pictures are rows (image_id, side, height, width, pixels: RGB bytes, row by row). Every job streams them through numpy in
-Arrow batches of few rows and drops the pixels at once; `analyze_images` does all card features in a single pass.
+Arrow batches of few megabytes and drops the pixels at once; `analyze_images` does all card features in a single pass.
 Pictures are scaled by area averages, so results are not bit-equal to a browser's.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Pictures in one Arrow batch.
-BATCH = 32
+from ..sources.shared import arrow_ready
+
 LUMA = np.array([0.299, 0.587, 0.114])
 BORDER = "struct<left:double,right:double,top:double,bottom:double,lr:double,tb:double>"
 BOX = "left long, right long, top long, bottom long"
@@ -28,7 +28,6 @@ CORNER_SHARE, EDGE_SHARE = 0.12, 0.05
 
 def image_job(images: DataFrame, rows: Callable[[int, str, np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
     """rows(image_id, side, rgb) of every picture; pictures whose bytes do not fit their size give nothing."""
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -40,7 +39,7 @@ def image_job(images: DataFrame, rows: Callable[[int, str, np.ndarray], Iterator
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
 
-    return images.select(F.col("image_id").cast("long").alias("image_id"), "side", "height", "width", "pixels").mapInArrow(run, schema)
+    return arrow_ready(images).select(F.col("image_id").cast("long").alias("image_id"), "side", "height", "width", "pixels").mapInArrow(run, schema)
 
 
 def milli(rgb: np.ndarray) -> np.ndarray:

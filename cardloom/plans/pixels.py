@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import half_up
 from ..operators import grading, pixels
+from ..sources.shared import arrow_ready
 from .base import Inputs, query
 
 HEIGHT, WIDTH = 192, 128
+#: Pictures that are drawn at once.
+DRAWN = 32
 
 
 def draw(vec_id: int, vector: np.ndarray) -> np.ndarray:
@@ -34,7 +37,7 @@ def draw(vec_id: int, vector: np.ndarray) -> np.ndarray:
 
 def images(f: Inputs) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, DRAWN) for whole in batches for k in range(0, whole.num_rows, DRAWN)):
             ids = batch.column("vec_id").to_pylist()
             raw = [draw(i, np.array(v, dtype=np.float64)).tobytes() for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True)]
             n = len(ids)
@@ -43,7 +46,6 @@ def images(f: Inputs) -> DataFrame:
                 names=["image_id", "side", "height", "width", "pixels"],
             )
 
-    f.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(pixels.BATCH))
     return f.vectors.select("vec_id", "embedding").mapInArrow(run, "image_id long, side string, height int, width int, pixels binary")
 
 
@@ -58,7 +60,7 @@ def masks(f: Inputs) -> DataFrame:
                 raws.append(np.where(rgb.max(axis=2, keepdims=True) > 60, 255, 0).repeat(3, axis=2).astype(np.uint8).tobytes())
             yield batch.set_column(batch.schema.get_field_index("pixels"), "pixels", pa.array(raws, pa.binary()))
 
-    df = images(f)
+    df = arrow_ready(images(f))
     return df.mapInArrow(run, df.schema)
 
 
@@ -74,7 +76,7 @@ def cropped(f: Inputs) -> DataFrame:
             columns = {"height": pa.array([x.shape[0] for x in out], pa.int32()), "width": pa.array([x.shape[1] for x in out], pa.int32()), "pixels": pa.array([x.tobytes() for x in out], pa.binary())}
             yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
-    df = images(f)
+    df = arrow_ready(images(f))
     return df.mapInArrow(run, df.schema)
 
 
@@ -92,7 +94,7 @@ def scratched(f: Inputs) -> DataFrame:
                 out.append(np.where(flecks[..., None], 250, rgb).astype(np.uint8).tobytes())
             yield batch.set_column(batch.schema.get_field_index("pixels"), "pixels", pa.array(out, pa.binary()))
 
-    df = images(f)
+    df = arrow_ready(images(f))
     return df.mapInArrow(run, df.schema)
 
 
