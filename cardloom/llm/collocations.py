@@ -1,7 +1,7 @@
 """Phrase collocation mining with stripes: phrases of two to five words that occur together more than their parts explain.
 
 A stripe is what is known of one prefix of one language: a counter from each word that follows it to how often, and under no
-word (null) how often it is followed by anything else or by nothing. Tasks add up the stripes of their texts and send a stripe as
+word how often it is followed by anything else or by nothing. Tasks add up the stripes of their texts and send a stripe as
 one row; stripes of one prefix are merged elementwise. One structure then holds everything:
 
 * an entry (prefix, word) is the count of the phrase they make,
@@ -9,13 +9,14 @@ one row; stripes of one prefix are merged elementwise. One structure then holds
 * a prefix's largest entry, and the largest entry among those that end in a phrase, say whether a phrase always stands in a
   longer one (with one word more, on the right or on the left; a still longer one is no more frequent).
 
-A phrase of at least `least` occurrences has only parts that are as frequent, so there are three passes: words; stripes of single
-words, for words that may be frequent; stripes of two to four words, along pairs that may be frequent. "May be" is a bitmap of
-hashes of the frequent words or pairs: it is of bounded size whatever the data, and it may let others through, which costs work
-but no exactness, since what decides are the merged counts.
+A phrase of at least `least` occurrences has only parts that are as frequent, so there are four passes: words; stripes of single
+words, for words that may be frequent; stripes of pairs that may be frequent; stripes of three and four words, along triples that may be
+frequent. "May be" is a bitmap of hashes of the frequent phrases of the pass before: it is of bounded size whatever the data, and it
+may let others through, which costs work but no exactness, since what decides are the merged counts.
 
-A stripe of a common prefix is cut into parts by hashes of the next words, more of them the more frequent words there are, so no
-task holds the whole of it, and the merge is a Spark aggregation, which spills. Tasks' own counters are cut at CHUNK words.
+The merge is a Spark aggregation, which spills. Stripes of a prefix that starts with a common phrase (one of a HOT-th of its language's words or
+more, so at most HOT of them) are cut into PARTS by hashes of the next words, so that no task gets all of them. Tasks' own counters
+are cut at CHUNK words.
 
 Defined cases: null texts are empty, a null language is `und`, together with documents that say so; repeated rows count each time;
 ties go by the contract's order; a very long text is read whole; an empty table gives no rows; extra columns are ignored, also
@@ -42,8 +43,10 @@ LEAST, LONGEST, INSIDE = 100, 5, 100
 TOP = 2000
 #: Words of one language that a task counts at once, and distinct words that it remembers.
 CHUNK, MEMO = 2_000_000, 400_000
-#: Frequent words for each part of a stripe.
-PART_WORDS = 4096
+#: A phrase with this part of its language's words, and the number of parts that stripes of prefixes starting with it are cut into.
+HOT, PARTS = 1000, 32
+#: Least number of buckets that a language's prefixes are dealt to, and frequent phrases for each bucket beyond that.
+LEAST_BUCKETS, BUCKET_PHRASES = 256, 256
 #: Bits of a bitmap for each of its entries, and the most bits of one (32 MB).
 BITS_EACH, MOST_BITS = 64, 1 << 28
 
@@ -51,6 +54,7 @@ BREAK = b"."
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 46 if b in _BREAKS else 32 if b == 9 else b for b in range(256))
 _OTHER = np.int64(0xFFFFFFFF)
+_LOW = 0xFFFFFFFF
 _MUL = (1_540_483_477, 668_265_261)  # below 2**31, so that products with 32-bit hashes are the same in both languages
 
 
@@ -100,10 +104,15 @@ def word_hash(lang: Column, word: Column) -> Column:
     return F.crc32(F.concat(lang, F.lit("\0"), word))
 
 
-def pair_hash(a, b):
-    """Of two word hashes; Columns or arrays of int64."""
-    x, y = a * _MUL[0], b * _MUL[1]
-    return F.shiftright(x.bitwiseXOR(y), 13) if isinstance(x, Column) else (x ^ y) >> 13
+def phrase_hash(hashes: list):
+    """Of the hashes of a phrase's words; Columns or arrays of int64. A single word's is its own."""
+    made = hashes[0]
+    for following in hashes[1:]:
+        if isinstance(made, Column):
+            made = F.shiftright((made * _MUL[0]).bitwiseXOR(following * _MUL[1]), 13).bitwiseAND(F.lit(_LOW))
+        else:
+            made = ((made * _MUL[0]) ^ (following * _MUL[1])) >> 13 & _LOW
+    return made
 
 
 class Bitmap:
@@ -153,46 +162,61 @@ class Vocabulary(dict):
 
 def counted(ids: np.ndarray, good: np.ndarray, orders: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each order (words of a prefix) the distinct (prefix, next word) of ids: prefix numbers in ascending order, a place of each, next
-    words (_OTHER for none), counts. good[i]: the words at i and i + 1 may make a frequent pair."""
-    at = np.flatnonzero(ids >= 0)
+    words (_OTHER for none), counts. good[i]: the words from i on, as many as the first order says, may be a frequent phrase."""
+    at = np.flatnonzero(good)
     names = ids[at].astype(np.int64)
-    for order in range(1, orders.stop):
+    for k in range(1, orders.start):
+        names = np.unique(names << 32 | ids[at + k], return_inverse=True)[1]
+    for order in orders:
         if not len(at):
             return
-        on = good[at + order - 1]
+        on = good[at + order - orders.start + 1]
         following = np.where(on, ids[np.minimum(at + order, len(ids) - 1)], _OTHER).astype(np.int64)
         keys = names << 32 | following
-        if order in orders:
-            distinct, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            yield order, distinct >> 32, at[first], distinct & _OTHER, counts
+        distinct, counts = np.unique(keys, return_counts=True)
+        place = np.zeros(names.max() + 1, dtype=np.int64)
+        place[names] = at
+        yield order, distinct >> 32, place[distinct >> 32], distinct & _OTHER, counts
         at = at[on]
         names = np.unique(keys[on], return_inverse=True)[1]
 
 
-def stripe_rows(ids: np.ndarray, known: Vocabulary, good: np.ndarray, orders: range, parts: int, lang: str, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
-    words = pa.array(known.words, pa.string())
-    part_of = np.append(np.array(known.hashes, dtype=np.int64) // 7 % parts, 0)  # of no word: part 0
+def stripe_rows(ids: np.ndarray, known: Vocabulary, good: np.ndarray, hot: np.ndarray, orders: range, buckets: int, lang: str, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The stripes of ids, a row for each bucket of prefixes: the prefixes, the next words of each in one string, and their counts."""
+    words = [*known.words, ""]  # no next word is an empty one
+    part_of = np.append(np.array(known.hashes, dtype=np.int64) // 7 % PARTS, 0)
     for order, prefix, place, following, counts in counted(ids, good, orders):
-        word = np.where(following == _OTHER, len(known.words), following)
-        part = part_of[word]
-        by = np.lexsort((part, prefix))
-        prefix, place, word, counts, part = prefix[by], place[by], word[by], counts[by], part[by]
+        word = np.where(following == _OTHER, len(words) - 1, following)
+        part = np.where(hot[place], part_of[word], 0)
+        if part.any():
+            by = np.lexsort((part, prefix))
+            prefix, place, word, counts, part = prefix[by], place[by], word[by], counts[by], part[by]
         first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
-        names = [" ".join([known.words[k] for k in ids[p : p + order]]) for p in place[first].tolist()]
-        offsets = pa.array(np.append(first, len(word)).astype(np.int32))
-        nexts = words.take(pa.array(word, mask=word == len(known.words)))
-        columns = [pa.array([lang] * len(first), pa.string()), pa.array(names, pa.string()), pa.array(part[first].astype(np.int32)), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))]
+        ends = [*first[1:].tolist(), len(word)]
+        text = [words[k] for k in word.tolist()]
+        names = [" ".join([words[k] for k in own]) for own in ids[place[first][:, None] + np.arange(order)].tolist()]
+        nexts = [" ".join(text[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
+        bucket = (np.fromiter((zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names), np.int64, len(names)) + 7919 * part[first]) % buckets
+        lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(counts.astype(np.int32)))
+        order_ = pa.array(np.argsort(bucket, kind="stable"))
+        bucket = np.sort(bucket)
+        new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        offsets = pa.array(np.append(new, len(bucket)).astype(np.int32))
+        columns = [pa.array([lang] * len(new), pa.string()), pa.array(bucket[new].astype(np.int32))]
+        columns += [pa.ListArray.from_arrays(offsets, c.take(order_)) for c in (pa.array(names, pa.string()), pa.array(nexts, pa.string()), lists)]
         whole = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
-        for k in range(0, whole.num_rows, 10_000):
-            yield whole.slice(k, 10_000)
+        for k in range(0, whole.num_rows, 256):
+            yield whole.slice(k, 256)
 
 
-def stripes(docs: DataFrame, orders: range, frequent: Broadcast, pairs: Broadcast | None, parts: int, least: int = LEAST) -> DataFrame:
-    """lang, prefix, part, total, extensions (array of next, count; from `least` on) of prefixes of so many words.
+def stripes(docs: DataFrame, orders: range, words: Broadcast, phrases: Broadcast | None, hot: dict[str, set[int]], buckets: int, least: int = LEAST) -> DataFrame:
+    """lang, prefix, total, extensions (array of next, count; from `least` on) of prefixes of so many words.
 
-    A prefix has up to `parts` rows: its total is the sum of theirs, its extensions are the union.
+    words, phrases: bitmaps of the frequent words, and of the frequent phrases of as many words as the first order; hot: hashes of each
+    language's hot ones. Tasks send the stripes of a bucket of prefixes together. A hot prefix is in up to PARTS buckets and has a row of
+    each: its total is the sum of theirs, its extensions are the union.
     """
-    schema = "lang string, prefix string, part int, nexts array<string>, counts array<bigint>"
+    schema = "lang string, bucket int, prefixes array<string>, nexts array<string>, counts array<array<int>>"
     fields = spark_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,21 +225,26 @@ def stripes(docs: DataFrame, orders: range, frequent: Broadcast, pairs: Broadcas
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             ids, own = np.concatenate(waiting.pop(lang)), known[lang]
-            good = np.zeros(len(ids), dtype=bool)
-            good[:-1] = (ids[:-1] >= 0) & (ids[1:] >= 0)
-            if pairs is not None:
-                at = np.flatnonzero(good)
-                hashes = np.array(own.hashes, dtype=np.int64)
-                good[at] = pairs.value.has(pair_hash(hashes[ids[at]], hashes[ids[at + 1]]))
-            yield from stripe_rows(ids, own, good, orders, parts, lang, fields)
+            ok = ids >= 0
+            at = np.flatnonzero(ok[: len(ids) - orders.start + 1])
+            for k in range(1, orders.start):
+                at = at[ok[at + k]]
+            hashes = np.array(own.hashes, dtype=np.int64)
+            made = phrase_hash([hashes[ids[at + k]] for k in range(orders.start)])
+            if phrases is not None:
+                keep = phrases.value.has(made)
+                at, made = at[keep], made[keep]
+            good, common = np.zeros(len(ids) + 1, dtype=bool), np.zeros(len(ids), dtype=bool)
+            good[at] = True
+            common[at] = np.isin(made, list(hot.get(lang, ())))
+            yield from stripe_rows(ids, own, good, common, orders, buckets, lang, fields)
 
         for batch in batches:
             for lang, texts in by_lang(batch):
                 if lang not in known:
-                    known[lang] = Vocabulary(lang, frequent.value)
-                own = known[lang]
-                found = [BREAK, *words_of(texts), BREAK]
-                waiting.setdefault(lang, []).append(np.fromiter(map(own.__getitem__, found), np.int32, len(found)))
+                    known[lang] = Vocabulary(lang, words.value)
+                found = [*words_of(texts), BREAK]
+                waiting.setdefault(lang, []).append(np.fromiter(map(known[lang].__getitem__, found), np.int32, len(found)))
                 if sum(map(len, waiting[lang])) > CHUNK:
                     yield from flush(lang)
             if sum(map(len, known.values())) > MEMO:
@@ -225,29 +254,49 @@ def stripes(docs: DataFrame, orders: range, frequent: Broadcast, pairs: Broadcas
         for lang in list(waiting):
             yield from flush(lang)
 
-    sent = spoken(docs).mapInArrow(run, schema).repartition("lang", "prefix", "part")
-    # elementwise, where the parts of a stripe have met: these aggregations need no exchange of their own
-    each = sent.select("lang", "prefix", "part", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
-    merged = each.groupBy("lang", "prefix", "part", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("count"))
-    entry = F.when(F.col("next").isNotNull() & (F.col("count") >= least), F.struct("next", "count"))
-    return merged.groupBy("lang", "prefix", "part").agg(F.sum("count").alias("total"), F.collect_list(entry).alias("extensions"))
+    sent = spoken(docs).mapInArrow(run, schema).repartition("lang", "bucket")
+    # elementwise, where the stripes of a prefix have met: these aggregations need no exchange of their own
+    whole = sent.select("lang", "bucket", F.explode(F.arrays_zip("prefixes", "nexts", "counts")).alias("s"))
+    each = whole.select("lang", "bucket", F.col("s.prefixes").alias("prefix"), F.explode(F.arrays_zip(F.split("s.nexts", " ").alias("next"), F.col("s.counts").alias("count"))).alias("e"))
+    merged = each.groupBy("lang", "bucket", "prefix", F.col("e").getField("next").alias("next")).agg(F.sum(F.col("e").getField("count").cast("long")).alias("count"))
+    entry = F.when((F.col("next") != "") & (F.col("count") >= least), F.struct("next", "count"))
+    return merged.groupBy("lang", "bucket", "prefix").agg(F.sum("count").alias("total"), F.collect_list(entry).alias("extensions")).drop("bucket")
+
+
+def frequent_bitmap(found: DataFrame) -> tuple[Broadcast, int]:
+    """The bitmap of found's hashes, and how many buckets their stripes are dealt to."""
+    count = found.count()
+    return bitmap(found.select("hash"), count), max(LEAST_BUCKETS, -(-count // BUCKET_PHRASES))
+
+
+def hot_hashes(found: DataFrame, sizes: DataFrame) -> dict[str, set[int]]:
+    """Hashes of the phrases (lang, hash, count) with a HOT-th of their language's words or more: HOT of each language at most."""
+    met = found.join(sizes, "lang").where(F.col("count") * HOT >= F.col("n")).select("lang", "hash").collect()
+    out: dict[str, set[int]] = {}
+    for lang, hash_ in met:
+        out.setdefault(lang, set()).add(hash_)
+    return out
 
 
 def mine_stripes(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """All stripes of prefixes of one to longest - 1 words, and lang, n (word occurrences)."""
-    words = saved(word_counts(docs), "words")
-    often = words.where(F.col("count") >= least)
-    count = often.count()
-    frequent = bitmap(often.select(word_hash(F.col("lang"), F.col("word")).alias("hash")), count)
-    parts = max(1, -(-count // PART_WORDS))
-    single = saved(stripes(docs, range(1, 2), frequent, None, parts, least), "stripes")
-    pair = single.select("lang", "prefix", F.explode("extensions").alias("e"))
-    hashes = pair.select(pair_hash(word_hash(F.col("lang"), F.col("prefix")), word_hash(F.col("lang"), F.col("e.next"))).alias("hash"))
-    found = [single]
-    if longest > 2:
-        found.append(saved(stripes(docs, range(2, longest), frequent, bitmap(hashes, hashes.count()), parts, least), "stripes"))
-    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return every, words.groupBy("lang").agg(F.sum("count").alias("n"))
+    counts = saved(word_counts(docs), "words")
+    sizes = counts.groupBy("lang").agg(F.sum("count").alias("n"))
+    found = counts.where(F.col("count") >= least).select("lang", word_hash(F.col("lang"), F.col("word")).alias("hash"), "count")
+    words, buckets = frequent_bitmap(found)
+    phrases, every, order = None, None, 1
+    while order < longest:
+        # triples are rare enough to go on along them to the end
+        orders = range(order, order + 1 if order < 3 else longest)
+        made = saved(stripes(docs, orders, words, phrases, hot_hashes(found, sizes), buckets, least), "stripes")
+        every = made if every is None else every.unionByName(made)
+        order = orders.stop
+        if order < longest:
+            entry = made.select("lang", F.explode("extensions").alias("e"), F.split("prefix", " ").alias("p"))
+            hashes = [word_hash(F.col("lang"), F.get("p", F.lit(k))) for k in range(orders.start)] + [word_hash(F.col("lang"), F.col("e.next"))]
+            found = entry.select("lang", phrase_hash(hashes).alias("hash"), F.col("e.count").alias("count"))
+            phrases, buckets = frequent_bitmap(found)
+    return every, sizes
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, inside: int = INSIDE) -> DataFrame:

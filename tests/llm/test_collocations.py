@@ -68,7 +68,7 @@ def test_random_prose(spark, seed, least, inside):
 
 
 def test_small_chunks_and_parts(spark, monkeypatch):
-    monkeypatch.setattr(c, "PART_WORDS", 5)
+    monkeypatch.setattr(c, "HOT", 10_000)
     rows = prose(4)
     assert mined(spark, rows, 5) == plain(rows, 5)
     assert mined(spark, rows, 3, longest=2) == plain(rows, 3, longest=2)
@@ -106,9 +106,9 @@ def test_bitmap_holds_what_was_put_in(spark):
     put, other = (r.integers(0, 2**40, 2000, dtype=np.int64) for _ in range(2))
     made = c.bitmap(spark.createDataFrame([(int(x),) for x in put], "hash long"), len(put)).value
     assert made.has(put).all() and made.has(other).mean() < 0.05 and all(made.has_one(int(x)) for x in put[:50])
-    a, b = r.integers(0, 2**32, (2, 50), dtype=np.int64)
+    a, b = r.integers(0, 2**32, (2, 200), dtype=np.int64)
     rows = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long")
-    assert [x.h for x in rows.select(c.pair_hash(rows.a, rows.b).alias("h")).collect()] == c.pair_hash(a, b).tolist()
+    assert [x.h for x in rows.select(c.phrase_hash([rows.a, rows.b, rows.a]).alias("h")).collect()] == c.phrase_hash([a, b, a]).tolist()
 
 
 @pytest.mark.parametrize("least", [100, 12])
