@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import arrow_ready, new_folder, remove, shared_dir  # noqa: F401  (used by the operators)
+
 #: Ids that may be sent to every executor (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 4_000_000
-#: Bytes of an Arrow batch; a row that is larger travels alone.
-BATCH_BYTES = "2m"
 #: Tables that saved() has written and nobody has removed yet, oldest first.
 _written: list[str] = []
 
@@ -24,28 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_ready(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches are bounded by bytes (unless it has a bound of its own): texts differ much in length."""
-    conf = df.sparkSession.conf
-    if not conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none, a local one, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="cardloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -59,11 +38,18 @@ def written() -> int:
 def remove_saved(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Removes the tables written after the mark, but for the last `keep`; frames read from them can't be used any more."""
     for path in _written[since : len(_written) - keep]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, path)
         _written.remove(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many _ behind it as no column of df has (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str, limit: int = BROADCAST_IDS) -> DataFrame:
     """left_semi or left_anti join on key; ids are broadcast only when counted to be few enough."""
     few = ids.limit(limit + 1).count() <= limit

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, by_ids, map_rows, remove_saved, saved, spark_schema, table, written
+from .common import arrow_ready, by_ids, fresh, map_rows, remove_saved, saved, spark_schema, table, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -381,14 +381,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Of each class, one row: that with the least doc_id (rows without one come last); of equal rows, one."""
     rows = classified(docs, threshold).select("key", "key2", ((F.col("key") == F.col("keep")) & (F.col("key2") == F.col("keep2"))).alias("kept"))
     counted = saved(rows.groupBy("key", "key2", "kept").agg(F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "not_kept_once")
-    key, key2 = row_key()
-    named = docs.withColumns({"_key": key, "_key2": key2})
-    gone, again = (counted.where(c).select(F.col("key").alias("_key"), F.col("key2").alias("_key2")) for c in ("not kept", "kept"))
-    left = by_ids(named, gone, ["_key", "_key2"], "left_anti")
+    names = [fresh(docs, "_key"), fresh(docs, "_key2")]
+    named = docs.withColumns(dict(zip(names, row_key(), strict=True)))
+    gone, again = (counted.where(c).select(F.col("key").alias(names[0]), F.col("key2").alias(names[1])) for c in ("not kept", "kept"))
+    left = by_ids(named, gone, names, "left_anti")
     if again.isEmpty():
         return left.select(*docs.columns)
-    once = by_ids(left, again, ["_key", "_key2"], "left_semi").dropDuplicates(["_key", "_key2"])
-    return by_ids(left, again, ["_key", "_key2"], "left_anti").unionByName(once).select(*docs.columns)
+    once = by_ids(left, again, names, "left_semi").dropDuplicates(names)
+    return by_ids(left, again, names, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

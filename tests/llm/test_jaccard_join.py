@@ -139,3 +139,9 @@ def test_signature_estimates_jaccard():
     y = np.concatenate([x[:2400], np.unique(r.integers(0, 2**63, 600, dtype=np.uint64))])
     a, b = j.signature(x), j.signature(np.sort(y))
     assert abs((a == b).mean() - 2400 / 3600) < 0.15
+
+
+def test_columns_named_like_helpers_are_kept(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, text, "a", 1), (1, text, "a", 1), (2, text + " x", "b", 2), (3, "quite another text of some words", "c", 3)], "doc_id long, text string, _key string, _KEY2 int")
+    assert sorted(tuple(r)[2:] for r in j.keep_one(docs).collect()) == [("a", 1), ("c", 3)]
