@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, by_ids, map_rows, table
+from .common import arrow_ready, by_ids, fresh, map_rows, table
 
 WINDOW = 13
 #: Share of hit words from which a document counts as contaminated: 1 of 20.
@@ -59,35 +59,38 @@ class Patterns:
         import ahocorasick
 
         numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], list] = {}
-        for item, text in items:
+        found: dict[tuple[int, ...], list[int]] = {}
+        self.items = list(dict.fromkeys(item for item, _ in items))
+        place = {item: k for k, item in enumerate(self.items)}
+        for item, text in sorted(items, key=lambda x: place[x[0]]):  # rows of one item together, so that its last window names it
             words = [numbers.setdefault(w, len(numbers)) for w in normal_words(text)]
             for w in windows(words, size):
                 owners = found.setdefault(w, [])
-                if item not in owners:
-                    owners.append(item)
+                if not owners or owners[-1] != place[item]:
+                    owners.append(place[item])
+        self.owners = list(found.values())
         # every digit's place has symbols of its own, so a match can only start where a word starts
         self.width = next(k for k in range(1, 9) if DIGITS**k >= len(numbers))
         codes = ["".join(chr(DIGITS * p + n // DIGITS**p % DIGITS) for p in range(self.width)) for n in range(len(numbers))]
         self.codes = dict(zip(numbers, codes, strict=True))
         self.other = chr(DIGITS * self.width) * self.width
         self.tree = ahocorasick.Automaton() if found else None
-        for w, owners in found.items():
-            self.tree.add_word("".join(map(codes.__getitem__, w)), (len(w), owners))
+        for k, w in enumerate(found):
+            self.tree.add_word("".join(map(codes.__getitem__, w)), (len(w), k))
         if found:
             self.tree.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words are hit, and the items whose windows occur."""
         hit = np.zeros(len(words), dtype=bool)
-        items: set = set()
+        found: set[int] = set()
         if self.tree is not None and words:
             get, other = self.codes.get, self.other
-            for end, (n, owners) in self.tree.iter("".join([get(w, other) for w in words])):
+            for end, (n, window) in self.tree.iter("".join([get(w, other) for w in words])):
                 last = end // self.width
                 hit[last - n + 1 : last + 1] = True
-                items.update(owners)
-        return hit, items
+                found.add(window)
+        return hit, {self.items[k] for k in set().union(*(self.owners[w] for w in found))}
 
 
 #: The automaton that this Python worker built last, by the name of its items.
@@ -208,8 +211,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share:
     if int(bytes_) > limit:
         row = F.xxhash64("doc_id", "text")  # never null
         keyed = docs.select(row.alias("doc_id"), "text")
-        bad = contamination_report(find_contamination(keyed, benchmark, size, limit), share).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
-        return by_ids(docs.withColumn("_row", row), bad, "_row", "left_anti").select(*docs.columns)
+        name = fresh(docs, "_row")
+        bad = contamination_report(find_contamination(keyed, benchmark, size, limit), share).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+        return by_ids(docs.withColumn(name, row), bad, name, "left_anti").select(*docs.columns)
     shared = SharedPatterns(docs.sparkSession, [tuple(r) for r in named.collect()], size)
 
     def run(batches):

@@ -86,3 +86,26 @@ def test_large_benchmarks_remove_rows_not_ids(spark):
     key = lambda r: (r.doc_id is None, r.doc_id, r.text or "")
     small, large = (sorted(map(key, d.keep_clean(docs, benchmark, limit=limit).collect()), key=str) for limit in (10**6, 40))
     assert small == large and len(large) == 6
+
+
+def test_items_with_a_shared_prompt_build_in_linear_time():
+    import time
+
+    prompt = " ".join(f"p{k}" for k in range(60))
+    items = [(f"i{k}", f"{prompt} own{k}") for k in range(8000)]
+    started = time.process_time()
+    patterns = d.Patterns(items + items[:5])
+    assert time.process_time() - started < 3
+    hit, found = patterns.scan(d.normal_words(prompt))
+    assert hit.all() and len(found) == 8000
+    assert patterns.scan(d.normal_words(f"{prompt} own7"))[1] == {f"i{k}" for k in range(8000)}
+    tail = " ".join(f"p{k}" for k in range(48, 60))
+    assert patterns.scan(d.normal_words(f"{tail} own7 x"))[1] == {"i7"}
+
+
+def test_columns_named_like_helpers_are_kept(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text, "mine", 5), (2, "clean text", "mine", 6)], "doc_id long, text string, _row string, _ROW_ int")
+    bench = spark.createDataFrame([("a", text), ("b", "other words of an item")], "item_id string, text string")
+    for limit in (d.MAX_PATTERN_BYTES, 40):
+        assert [tuple(r) for r in d.keep_clean(docs, bench, limit=limit).collect()] == [(2, "clean text", "mine", 6)]
