@@ -58,7 +58,10 @@ class ByteBpe:
         path = path or public_tokenizers.path("byte_bpe_50k.json")
         self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        self.special = {t["content"]: t["id"] for t in whole.get("added_tokens", ())}
+        self.marks = re.compile(f"({'|'.join(map(re.escape, self.special))})") if self.special else None
         byte = {ord(c): b for b, c in enumerate(byte_symbols())}
         single = {bytes([b]) for b in range(256)}
         ranks = {bytes(byte[ord(c)] for c in piece): k for piece, k in model["vocab"].items() if all(ord(c) in byte for c in piece)}
@@ -74,11 +77,13 @@ class ByteBpe:
         """The tokenizer itself; loaded only when a text needs it, as it is large."""
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True  # their strings in a text are ordinary text
-        return found
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
+        """The ids as bytes. A special token is one id wherever its string stands, as for the tokenizer itself."""
+        if self.marks and self.marks.search(text):
+            parts = self.marks.split(text)  # texts and special tokens in turn
+            return b"".join(self.special[x].to_bytes(4, "little") if k % 2 else self.encode(x) for k, x in enumerate(parts) if x)
         if not SPACES.search(text):
             ids = self.plain.encode_ordinary(text)
         elif not LONG_BLANK.search(text):

@@ -7,7 +7,7 @@ import pytest
 
 from cardloom.llm import packing
 
-TEXTS = ["", None, "one", "two  spaces\n\n and\ttabs ", "it's 12,345 #$% über ñandú 東京  x", " lead", "trail \n", "<|endoftext|> a"]
+TEXTS = ["", None, "one", "two  spaces\n\n and\ttabs ", "it's 12,345 #$% über ñandú 東京  x", " lead", "trail \n", "<|endoftext|> a", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "x<|endoftext|>\n\n <|endoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
