@@ -160,9 +160,9 @@ def learn_languages(docs: DataFrame, train: int = TRAIN) -> LanguageModel:
 
         return row
 
-    # at most train rows for each language; the join carries no texts but theirs
+    # the join carries no texts but theirs; of rows that repeat an id one is kept, so at most train rows of each language come back
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id"))
-    rows = map_rows(texts, ["doc_id", "lang", "h", "text"], make, "lang string, h long, grams binary").collect()
+    rows = map_rows(texts, ["doc_id", "lang", "h", "text"], make, "lang string, h long, grams binary").groupBy("lang", "h").agg(F.min("grams").alias("grams")).collect()
     samples = sorted(((r.h, r.lang, r.grams) for r in rows))
     return LanguageModel([(lang, np.frombuffer(g, "<u4").astype(np.int64)) for _, lang, g in samples])
 

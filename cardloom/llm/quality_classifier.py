@@ -194,7 +194,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Q
         return row
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most two samples of ids
-    rows = sorted(tuple(r) for r in map_rows(texts, ["doc_id", "h", "kind", "text"], make, "kind string, h long, x binary").collect())
+    described = map_rows(texts, ["doc_id", "h", "kind", "text"], make, "kind string, h long, x binary")
+    rows = sorted(tuple(r) for r in described.groupBy("kind", "h").agg(F.min("x").alias("x")).collect())  # one of the rows that repeat an id
 
     def matrix(kind: str, part: int | None = None) -> np.ndarray:
         return np.array([np.frombuffer(x, np.float32) for k, h, x in rows if k == kind and part in (None, h % 2)]).reshape(-1, WIDTH)

@@ -190,3 +190,17 @@ def test_quality_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in quality.rate_quality(docs, quality.learn_quality(docs, none)).collect()] == [0, 0, 0]
     assert quality.rate_quality(docs.where("false"), quality.learn_quality(docs.where("false"), none)).collect() == []
+
+
+def test_repeated_ids_leave_the_collect_bounded(spark, monkeypatch):
+    rows = [(1, f"the words of text {k}", "en") for k in range(3000)] + [(k, "les mots du texte", "fr") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(lang, "LanguageModel", lambda samples: seen.append(len(samples)))
+    lang.learn_languages(docs, train=10)
+    assert seen[0] <= 20
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id long, quality int")
+    kept = []
+    monkeypatch.setattr(quality.QualityModel, "fit", lambda self, p, u, prior: kept.append((len(p), len(u))) or self)
+    quality.learn_quality(docs, labels, sample=30)
+    assert not kept or (kept[0][0] <= 30 and kept[0][1] <= 30)
