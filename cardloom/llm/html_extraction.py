@@ -10,8 +10,9 @@ blocks in it and whatever holds them are no template candidates, so a passage th
 subtrees that hold some of it are candidates only if they are less than half of it, and stay if all of them together are not.
 
 What recurrence does not show (hosts with few pages) is left to lists that only add to it: elements that are never main text by tag,
-and elements whose class, id or role names chrome. Names are whole tokens or their first or last part (`site-footer`, but not
-`has-sidebar`); within an article they do not count for plain text blocks, and ids are anchors. An element that is only suspected
+and elements whose class, id or role names chrome. Names are whole tokens, or tokens made of names and of words for places and containers
+(`site-footer`, but not `has-sidebar` or `related-work`); within an article they do not count for plain text blocks, ids are anchors, and
+names that prose bears too (DOUBTFUL) remove nothing that holds prose. An element that is only suspected
 (a form, a marked element, a page header around the article) stays if it holds more than half of the main text. What remains is
 the text of the articles, or of the main element, or of the body; where the text outside
 is longer than the articles, both: one line for each block.
@@ -74,18 +75,24 @@ MARKS = frozenset(
     " related widget toolbar pagination pager complementary contentinfo search skip".split()
 )
 COMMENTS = frozenset("comment comments disqus respond".split())
-#: Words beside a mark that make it a statement about the page.
-_ABOUT = frozenset("has no not with without is hide show open closed enabled disabled on off count results".split())
+#: Marks that sections of prose bear as well: in an article, one of these alone never removes prose, recurrence does.
+DOUBTFUL = frozenset("menu notice promo related search share sharing skip social".split())
+#: Words that may stand beside a mark in a name: places, containers and their contents.
+BESIDE = frozenset(
+    "area articles author bar body bottom box button buttons column container content desktop fixed form global group header icons inner item items label left"
+    " link links list main media meta mobile news outer overlay page panel posts primary region reply right row secondary section signup site slot sticky"
+    " stories thread top unit wrap wrapper".split()
+)
 #: Elements that an open paragraph ends at.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WHOLE = frozenset(("html", "body", "main", "article"))
 
 
 class Element:
-    __slots__ = ("children", "first", "never", "part", "prose", "soft", "tag", "text")
+    __slots__ = ("children", "doubt", "first", "never", "part", "prose", "soft", "tag", "text")
 
-    def __init__(self, tag: str, part: int, first: int, never: bool, soft: int):
-        self.tag, self.part, self.first = tag, part, first  # part: 0 body, 1 main, 2 article
+    def __init__(self, tag: str, part: int, first: int, never: bool, soft: int, doubt: bool = False):
+        self.tag, self.part, self.first, self.doubt = tag, part, first, doubt  # part: 0 body, 1 main, 2 article
         self.never, self.soft = never, soft  # soft: number of the innermost suspected element around, or -1
         self.children: list[bytes] = []
         self.text: list[str] = []
@@ -93,13 +100,15 @@ class Element:
 
 
 def named(attributes: str, names: frozenset[str], inside: bool = False) -> bool:
-    """Whether a token of class, id (not inside an article) or role is a name, or begins or ends with one."""
+    """Whether a token of class, id (not inside an article) or role is a name, or is made of names and of words beside them."""
     for m in NAMES.finditer(attributes):
         if inside and m[1].lower() == "id":
             continue
         for token in (m[2] or m[3] or m[4] or "").lower().split():
+            if token in names:
+                return True
             parts = [p for p in re.split(r"[-_:]+", token) if p]
-            if parts and (parts[0] in names or parts[-1] in names) and not _ABOUT.intersection(parts):
+            if any(p in names for p in parts) and all(p in names or p in BESIDE or p in MARKS for p in parts):
                 return True
     return False
 
@@ -144,6 +153,7 @@ def read(html: str, template: object = (), subtrees: dict[int, bool] | None = No
     """The main text; template: hashes of subtrees to delete; subtrees: gets the template candidates, True with prose."""
     blocks: list[tuple[int, str, bool, int]] = []  # part, text, in an element that is never text, innermost suspected element around
     suspects: list[tuple[int, bool]] = []  # of each suspected element: the one around it, whether only an article in it can save it
+    cleared: set[int] = set()  # suspected elements that hold prose and have only a doubtful name
     stack = [Element("", 0, 0, False, -1)]
     is_open: Counter[str] = Counter()
     pending: list[str] = []
@@ -164,6 +174,8 @@ def read(html: str, template: object = (), subtrees: dict[int, bool] | None = No
             flush()
         stack.pop()
         is_open[e.tag] -= 1
+        if e.doubt and (e.prose or e.tag in PROSE):
+            cleared.add(e.soft)
         if hashing:
             raw = "\x00".join([e.tag, *e.text]).encode("utf-8", "surrogatepass") + b"".join(e.children)
             name = hashlib.blake2b(raw, digest_size=8).digest()
@@ -173,7 +185,7 @@ def read(html: str, template: object = (), subtrees: dict[int, bool] | None = No
                 key = int.from_bytes(name, "little", signed=True)
                 if subtrees is not None or key in template:
                     candidates.append((key, e.first, len(blocks), e.part > 0 and e.prose, prose and not e.never and e.soft < 0))
-            stack[-1].prose |= e.prose or (e.tag in PROSE and len(blocks) > e.first)
+        stack[-1].prose |= e.prose or (e.tag in PROSE and len(blocks) > e.first)
 
     def words(raw: str) -> None:
         if raw:
@@ -223,23 +235,24 @@ def read(html: str, template: object = (), subtrees: dict[int, bool] | None = No
         up = stack[-1]
         comment = tag not in ("html", "body", "main") and bool(attributes) and named(attributes, COMMENTS, up.part == 2)
         part = max(up.part, 0 if comment else 2 if tag == "article" else 1 if tag == "main" else 0)
-        suspect = (tag in SELDOM and not (tag == "header" and up.part)) or (
-            bool(attributes) and tag not in _WHOLE and not (up.part == 2 and tag in TEXT_BLOCKS) and named(attributes, MARKS, up.part == 2)
-        )
+        by_tag = tag in SELDOM and not (tag == "header" and up.part)
+        by_name = not by_tag and bool(attributes) and tag not in _WHOLE and not (up.part == 2 and tag in TEXT_BLOCKS) and named(attributes, MARKS, up.part == 2)
+        doubt = by_name and up.part == 2 and not named(attributes, MARKS - DOUBTFUL, True)
+        suspect = by_tag or by_name
         soft = up.soft
         if suspect:
             suspects.append((soft, tag in ("aside", "footer", "header")))
             soft = len(suspects) - 1
-        stack.append(Element(tag, part, len(blocks), up.never or comment or tag in NEVER, soft))
+        stack.append(Element(tag, part, len(blocks), up.never or comment or tag in NEVER, soft, doubt))
         is_open[tag] += 1
     words(html[at:])
     while len(stack) > 1:
         close()
     flush()
-    return "\n".join(_main_text(blocks, suspects, candidates, template, subtrees))
+    return "\n".join(_main_text(blocks, suspects, cleared, candidates, template, subtrees))
 
 
-def _main_text(blocks: list[tuple], suspects: list[tuple[int, bool]], candidates: list[tuple], template: object, subtrees: dict[int, bool] | None) -> list[str]:
+def _main_text(blocks: list[tuple], suspects: list[tuple[int, bool]], cleared: set[int], candidates: list[tuple], template: object, subtrees: dict[int, bool] | None) -> list[str]:
     best = max((p for p, _, never, _ in blocks if not never), default=0)
     size = [len(t) if p == best and not never else 0 for p, t, never, _ in blocks]  # of what may be main text
     total = sum(size)
@@ -250,7 +263,7 @@ def _main_text(blocks: list[tuple], suspects: list[tuple[int, bool]], candidates
         held[suspects[k][0]] += held[k] if suspects[k][0] >= 0 else 0
     out = [False] * (len(suspects) + 1)
     for k, (around, needs_article) in enumerate(suspects):
-        out[k] = 2 * held[k] <= total or (needs_article and not best) or out[around]
+        out[k] = (k not in cleared and 2 * held[k] <= total) or (needs_article and not best) or out[around]
     kept = [not never and not out[k] for _, _, never, k in blocks]
     if candidates:
         # within an article or main element, only what is small next to it

@@ -103,6 +103,37 @@ def test_articles_are_not_lost():
     assert h.read(page('<div id="comments"><article class="comment-body"><p>first!</p></article></div><p>text</p>')) == "text"
 
 
+def test_names_that_only_begin_or_end_like_chrome():
+    first = "<p>The first paragraph of the article is longer than all that follows after it in the page.</p>"
+    for kind in ("section", "div"):
+        for name in ("related-work", "ad-hoc-queries", "social-history", "menu-planning", "related", "notice"):
+            assert h.read(page(f'<article>{first}<{kind} class="{name}"><p>Own prose.</p></{kind}></article>')).endswith("\nOwn prose."), name
+        for name in ("ad", "ad-slot", "sidebar-left", "cookie-banner", "site-footer", "newsletter"):
+            assert "Own" not in h.read(page(f'<article>{first}<{kind} class="{name}"><p>Own prose.</p></{kind}></article>')), name
+    assert h.read(page(f'{first}<div class="search-methods"><p>Own prose.</p></div>')).endswith("Own prose.")
+    assert "Own" not in h.read(page(f'<article>{first}<div class="share-buttons">Own</div></article>'))
+
+
+def test_templates_do_the_work_of_the_lists(spark, monkeypatch):
+    """A host whose chrome no list names: the template removes it, and without any list the texts are the same."""
+    top = '<div class="x1"><ul><li>Shop</li><li>About us</li></ul></div><div class="x2">Call now</div>'
+    end = '<div class="x3"><div><p>All rights reserved.</p></div></div>'
+    inside = '<section class="x4"><b>Read this next</b></section>'
+    rows = [(k, f"http://a.example/{k}", page(f"{top}<article><h1>Page {k}</h1><p>words of page {k}, quite a few of them</p>{inside}</article>{end}")) for k in range(60)]
+    rows += [(k, f"http://b.example/{k}", page(f"{top}<div><p>words of page {k}, quite a few of them</p></div>{end}")) for k in range(60, 120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    want = {k: (f"Page {k}\n" if k < 60 else "") + f"words of page {k}, quite a few of them" for k in range(120)}
+    assert {r.page_id: r.text for r in h.extract(pages, h.template_keys(pages)).collect()} == want
+    by_lists = {r.page_id: r.text for r in h.extract(pages, h.template_keys(pages).where("false")).collect()}
+    assert all("Read this next" in by_lists[k] for k in range(60)) and all("Shop" in by_lists[k] for k in range(60, 120))
+    plain = [h.read(html, subtrees=None) for _, _, html in rows]
+    for name in ("SELDOM", "MARKS", "COMMENTS"):
+        monkeypatch.setattr(h, name, frozenset())
+    monkeypatch.setattr(h, "NEVER", h.RAW)
+    assert [h.read(html) for _, _, html in rows] == plain  # the lists have no part in these pages
+
+
 def test_long_and_broken_pages_take_linear_time():
     import time
 
