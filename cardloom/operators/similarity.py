@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.scales import chain
 from ..functions.scores import array_median, hamming_confidence, let, similarity_confidence
 from ..functions.text import card_id_parts, match_image_url
+from ..sources.shared import stored
 
 #: Gallery vectors in one block row, and most bytes of a gallery that is sent to every task whole.
 BLOCK = 4096
 BROADCAST_BYTES = 256_000_000
-#: 63 live bits of a hash are 9 bands of 7: two hashes at distance 8 or less agree in one band at least.
-BANDS, BAND_BITS = 9, 7
+#: Bits of one of the four parts of a hash, and the largest radius that the index of parts is for.
+PART_BITS, MOST_RADIUS = 16, 15
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -240,27 +242,60 @@ def hamming_topn(queries: DataFrame, cards: DataFrame, n: int = 5) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= n).withColumn("confidence", hamming_confidence(F.col("distance")))
 
 
+def parts_of(hi: Column, lo: Column) -> Column:
+    """The four 16-bit parts of a hash."""
+    low = F.lit(0xFFFF).cast("long")
+    return F.array(F.shiftright(hi, 16), hi.bitwiseAND(low), F.shiftright(lo, 16), lo.bitwiseAND(low))
+
+
+def flip_masks(most: int) -> list[int]:
+    """All 16-bit numbers with so many bits at most."""
+    return [sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(PART_BITS), k)]
+
+
+def radius_candidates(queries: DataFrame, cards: DataFrame, flips: int) -> DataFrame:
+    """query_id, card_id, distance of the pairs that agree up to `flips` bits in one of four parts, each pair once.
+
+    All pairs up to distance 4 * flips + 3 are among them: with more, every part would differ in flips + 1 bits at least. A card stands in four
+    posting lists, by part and value; a query looks up the values near its own. Of random hashes 4 * (masks / 65536) of all pairs meet,
+    with two flips 0.8 %. A pair that meets in several parts is kept for the first of them.
+    """
+    q, c = _halved(queries, "query_id", "q"), _halved(cards, "card_id", "c")
+    masks = F.array(*(F.lit(m).cast("long") for m in flip_masks(flips)))
+    asked = q.select("*", F.posexplode(parts_of(F.col("qhi"), F.col("qlo"))).alias("part", "own")).select("query_id", "qhi", "qlo", "part", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("value"))
+    posted = c.select("*", F.posexplode(parts_of(F.col("chi"), F.col("clo"))).alias("part", "value"))
+    differ = F.zip_with(parts_of(F.col("qhi"), F.col("qlo")), parts_of(F.col("chi"), F.col("clo")), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= flips)
+    first = F.array_position(differ, F.lit(True)) - 1
+    met = asked.join(posted, ["part", "value"]).where(first == F.col("part"))
+    return met.select("query_id", "card_id", hamming((F.col("qhi"), F.col("qlo")), (F.col("chi"), F.col("clo"))).alias("distance"))
+
+
 def hamming_within(queries: DataFrame, cards: DataFrame, max_distance: int = 8) -> DataFrame:
-    """query_id, card_id, distance of all pairs up to max_distance (at most 8): an equi join on bands, then the count.
+    """query_id, card_id, distance of all pairs up to max_distance (at most MOST_RADIUS), from the radius index."""
+    if max_distance > MOST_RADIUS:
+        raise ValueError(f"the index is for distances up to {MOST_RADIUS}")
+    return radius_candidates(queries, cards, max_distance // 4).where(F.col("distance") <= max_distance)
 
-    A pair that shares several bands is kept for the first of them only, so nothing needs deduplication.
+
+def hamming_topn_near(queries: DataFrame, cards: DataFrame, n: int = 5, flips: int = 2) -> DataFrame:
+    """The rows of hamming_topn by a growing radius: a query that has n cards within a radius has its n nearest there, so it stops.
+
+    The radius grows by four with each flip; queries whose n-th card is farther than the last radius are asked against the blocks of all
+    cards. For catalogs in which most queries have several near cards.
     """
-    if max_distance >= BANDS:
-        raise ValueError(f"bands are exact below distance {BANDS}")
-
-    def banded(df: DataFrame, key: str, prefix: str) -> DataFrame:
-        h = _halved(df, key, prefix)
-        hi, lo = F.col(f"{prefix}hi"), F.col(f"{prefix}lo")
-        # 64 bits, most significant first: band k holds bits 7k..7k+6
-        bits = F.concat(F.lpad(F.bin(hi), 32, "0"), F.lpad(F.bin(lo), 32, "0"))
-        values = F.array(*(F.substring(bits, 1 + BAND_BITS * k, BAND_BITS) for k in range(BANDS)))
-        return h.select("*", values.alias(f"{prefix}bands"), F.posexplode(values).alias("band", "value"))
-
-    q, c = banded(queries, "query_id", "q"), banded(cards, "card_id", "c")
-    pairs = q.join(c, ["band", "value"])
-    first = chain([(F.get(F.col("qbands"), F.lit(k)) == F.get(F.col("cbands"), F.lit(k)), F.lit(k)) for k in range(BANDS)])
-    d = hamming((F.col("qhi"), F.col("qlo")), (F.col("chi"), F.col("clo")))
-    return pairs.where(first == F.col("band")).select("query_id", "card_id", d.alias("distance")).where(F.col("distance") <= max_distance)
+    left, found = stored(queries.select("query_id", "hash"), "asked"), []
+    nearest = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "card_id")).cast("long")
+    for k in range(flips + 1):
+        near = radius_candidates(left, cards, k).where(F.col("distance") <= 4 * k + 3).withColumn("rank", nearest).where(F.col("rank") <= n)
+        near = stored(near, "near")
+        done = near.where(F.col("rank") == n).select("query_id")
+        found.append(near.join(done, "query_id", "left_semi"))
+        left = stored(left.join(done, "query_id", "left_anti"), "asked")
+        if left.isEmpty():
+            break
+    else:
+        found.append(hamming_topn(left, cards, n).select("query_id", "card_id", "distance", "rank"))
+    return reduce(DataFrame.unionByName, found).withColumn("confidence", hamming_confidence(F.col("distance")))
 
 
 def group_by_artwork(matches: DataFrame, threshold: int = 3) -> DataFrame:

@@ -117,6 +117,34 @@ def _(f):
     return s.hamming_within(h.withColumnRenamed("vec_id", "query_id"), h.withColumnRenamed("vec_id", "card_id")).withColumn("distance", F.col("distance").cast("long"))
 
 
+@query(
+    "j10_hamming_within_twelve",
+    f"WITH {HASHES} SELECT q.vec_id AS query_id, g.vec_id AS card_id, CAST({HAM} AS BIGINT) AS distance FROM hashes q JOIN hashes g ON q.vec_id % 20 = 0 AND {HAM} <= 12",
+)
+def _(f):
+    h = f.vectors.select("vec_id", s.hash_of_block(F.col("embedding")).alias("hash"))
+    near = s.hamming_within(h.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), h.withColumnRenamed("vec_id", "card_id"), 12)
+    return near.withColumn("distance", F.col("distance").cast("long"))
+
+
+#: Cards made of each hash: itself and five that differ in its last bits.
+VARIANTS = 6
+
+
+@query(
+    "w2_hamming_topn_near",
+    f"""WITH {HASHES}, cards AS (SELECT vec_id * {VARIANTS} + k AS card_id, xor(h, (1::UBIGINT << k::UBIGINT) - 1::UBIGINT) AS h FROM hashes, range(0, {VARIANTS}) t(k))
+    SELECT query_id, card_id, CAST(distance AS BIGINT) AS distance, rank FROM (SELECT q.vec_id AS query_id, g.card_id, {HAM} AS distance,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY {HAM}, g.card_id) AS rank FROM hashes q JOIN cards g ON q.vec_id % 20 = 0) WHERE rank <= 5""",
+)
+def _(f):
+    h = f.vectors.select("vec_id", s.hash_of_block(F.col("embedding")).alias("hash"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("k")
+    low = F.conv(F.substring("hash", 9, 8), 16, 10).cast("long").bitwiseXOR(F.pow(F.lit(2), F.col("k")).cast("long") - 1)
+    cards = h.select("vec_id", "hash", k).select((F.col("vec_id") * VARIANTS + F.col("k")).alias("card_id"), F.concat(F.substring("hash", 1, 8), F.lower(F.lpad(F.hex(low), 8, "0"))).alias("hash"))
+    return s.hamming_topn_near(h.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), cards, 5).select("query_id", "card_id", F.col("distance").cast("long").alias("distance"), "rank")
+
+
 ART = f"""{HASHES}, m AS (SELECT q.vec_id AS query_id, g.vec_id AS card_id, 'Name ' || g.label % 3 AS name, {HAM} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {HAM}, g.vec_id) AS rank
   FROM hashes q JOIN hashes g ON q.vec_id % 10 = 0 AND g.vec_id % 10 <> 0 QUALIFY rank <= 20),
 l AS (SELECT query_id, name, list({{'r': rank, 'd': distance, 'c': card_id}} ORDER BY rank) AS items FROM m GROUP BY ALL),
