@@ -4,23 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scores import truthy
 from ..functions.text import record_image_url, year_of_set
+from .json_ranges import read_records
 from .shared import stored
 
-LISTED = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "localId", "name", "image")] + [T.StructField("set", T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name")]))])
-HASHED = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "hash", "name", "set", "number")])
-HASH_DB = T.StructType(
-    [T.StructField("generated", T.StringType()), T.StructField("version", T.StringType()), T.StructField("count", T.LongType()), T.StructField("cards", T.ArrayType(HASHED))]
-)
-EMBEDDINGS = T.StructType(
-    [
-        T.StructField("chunkIndex", T.IntegerType()), T.StructField("totalChunks", T.IntegerType()), T.StructField("chunkCount", T.IntegerType()),
-        T.StructField("embeddings", T.MapType(T.StringType(), T.ArrayType(T.FloatType()))),
-    ]
-)
+LISTED = "id string, localId string, name string, image string, set struct<id:string,name:string>"
+HASHED = "id string, hash string, name string, set string, number string"
+CHUNK = "chunkIndex int, totalChunks int, chunkCount int"
 #: Rows of a range that is numbered by one task, on average.
 PER_RANGE = 500_000
 #: Rank of an image file's extension: the first that exists is used.
@@ -28,22 +20,25 @@ EXTENSIONS = {"png": 0, "jpg": 1, "webp": 2}
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """card_id, local_id, name, image, set_id, set_name of a landed list of cards."""
-    raw = spark.read.schema(LISTED).option("multiLine", True).json(path)
-    return raw.select(
-        F.col("id").alias("card_id"), F.col("localId").alias("local_id"), "name", "image", F.col("set.id").alias("set_id"), F.col("set.name").alias("set_name")
+    """card_id, local_id, name, image, set_id, set_name of a landed list of cards, one JSON array a file, read in ranges."""
+    cards, _ = read_records(spark, path)
+    return cards.select(F.from_json("text", LISTED).alias("c")).select(
+        F.col("c.id").alias("card_id"), F.col("c.localId").alias("local_id"), "c.name", "c.image", F.col("c.set.id").alias("set_id"), F.col("c.set.name").alias("set_name")
     )
 
 
 def read_hash_db(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each hashed card of a hash catalog."""
-    return spark.read.schema(HASH_DB).option("multiLine", True).json(path).select(F.explode("cards").alias("c")).select("c.*")
+    """One row for each hashed card of a hash catalog, one JSON object a file, read in ranges."""
+    cards, _ = read_records(spark, path, field="cards")
+    return cards.select(F.from_json("text", HASHED).alias("c")).select("c.*")
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """card_id, embedding of one file or many chunks; for an id in several chunks the last chunk wins."""
-    raw = spark.read.schema(EMBEDDINGS).option("multiLine", True).json(path)
-    each = raw.select(F.coalesce("chunkIndex", F.lit(0)).alias("chunk_index"), F.explode("embeddings").alias("card_id", "embedding"))
+    """card_id, embedding of one file or many chunks, read in ranges; for an id in several chunks the last chunk wins."""
+    entries, headers = read_records(spark, path, "]", "embeddings")
+    numbers = headers.select("file", F.from_json("header", CHUNK)["chunkIndex"].alias("chunk_index"))  # one row a file
+    vector = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,array<float>>")
+    each = entries.join(numbers, "file", "left").select(F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), F.explode(vector).alias("card_id", "embedding"))
     return each.groupBy("card_id").agg(F.max_by("embedding", "chunk_index").alias("embedding"))
 
 
