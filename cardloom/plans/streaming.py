@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import half_up
 from ..sources.shared import new_folder
 from ..streaming import jobs
+from ..streaming.in_order import started
 from .base import ADAPTERS, Inputs, query
 from .centering import FOLD
 from .collection import RECORDS, ROLLUP, full_reports, in_us
@@ -35,16 +36,33 @@ def adapted(f: Inputs, adapter: str) -> DataFrame:
     return f.spark.sql(ADAPTERS[adapter], events=streamed(f, "events"))
 
 
-def finished(f: Inputs, df: DataFrame, mode: str, keep) -> DataFrame:
-    """Runs a stream to its end into the shared folder; keep reduces what it wrote."""
+#: Batches that the ordered streams get their rows in, and how far a row may be moved out of its place, in minutes.
+BATCHES, MOVED = 5, 60
+
+
+def disordered(f: Inputs) -> DataFrame:
+    """The events as a stream of BATCHES files in rough order of time, each row moved by up to MOVED minutes, and a heartbeat at the end."""
+    at = scratch(f)
+    moved = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(MOVED * 60_000_000))
+    # quarters of an hour of a stream that lasts for days: each batch has all rows between two times
+    low, high = f.events.select(moved.alias("m")).agg(F.min("m"), F.max("m")).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // BATCHES))
+    for k in range(BATCHES):
+        f.events.where(F.floor((moved - (low or 0)) / step) == k).coalesce(1).write.mode("append").parquet(at)
+    beat = {"event_id": F.lit(None).cast("long"), "ts": F.timestamp_micros(F.lit((high or 0) + 10 * MOVED * 60_000_000)).cast(f.events.schema["ts"].dataType)}
+    f.events.limit(1).withColumns(beat).coalesce(1).write.mode("append").parquet(at)
+    return f.spark.readStream.schema(f.events.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def finished(f: Inputs, df: DataFrame) -> DataFrame:
+    """Runs a stream of ordered folds to its end into the shared folder; gives the rows that were not late."""
     at = scratch(f)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/b={batch_id}")
 
-    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return keep(f.spark.read.parquet(f"{at}/out"))
+    started(df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True), f.spark).awaitTermination()
+    return f.spark.read.parquet(f"{at}/out").where("not late")
 
 
 @query("t1_missing_image_stream", f"{ROLLUP} GROUP BY tcgdex_id")
@@ -64,9 +82,10 @@ def _(f):
 @query("t2_calibration_stream", FOLD + " SELECT device, kind, n AS count, floor(o_left * 1000000 + 0.5::DOUBLE) / 1000000 AS o_left, floor(o_right * 1000000 + 0.5::DOUBLE) / 1000000 AS o_right FROM fold")
 def _(f):
     names = ["o_left", "o_right"]
-    out = jobs.calibration_stream(adapted(f, "samples"), names)
-    last = lambda df: df.groupBy("device", "kind").agg(F.max(F.struct("count", *names)).alias("m")).select("device", "kind", "m.*")
-    return finished(f, out, "update", last).withColumns({n: half_up(F.col(n), 6) for n in names})
+    samples = f.spark.sql(ADAPTERS["samples"].replace("event_id,", "event_id, ts,"), events=disordered(f))
+    every = finished(f, jobs.calibration_stream(samples, names, f"{MOVED} minutes"))
+    last = every.groupBy("device", "kind").agg(F.max(F.struct("count", *names)).alias("m")).select("device", "kind", "m.*")
+    return last.withColumns({n: half_up(F.col(n), 6) for n in names})
 
 
 @query(
@@ -77,7 +96,8 @@ def _(f):
     SELECT event_id, session_id, CAST(CASE WHEN NOT ok THEN 0 ELSE least(n - start + 1, 15) END AS INT) AS run FROM h""",
 )
 def _(f):
-    return finished(f, jobs.stability_stream(adapted(f, "frames")), "append", lambda df: df.select("event_id", "session_id", "run"))
+    frames = f.spark.sql(ADAPTERS["frames"], events=disordered(f))
+    return finished(f, jobs.stability_stream(frames, f"{MOVED} minutes")).select("event_id", "session_id", "run")
 
 
 @query("t4_catalog_stream", "SELECT p_partkey AS card_id, p_name AS name FROM part")

@@ -1,25 +1,22 @@
 """The four running states as Structured Streaming jobs.
 
 Counters of missing images (order does not matter, so no watermark), calibration means and frame runs (order matters: rows
-of a batch are folded in event order, rows that arrive in a later batch are folded when they come), and the
-incremental catalog (each landed file is taken once).
+wait for the watermark and are folded in event order, late ones come out marked), and the incremental catalog (each landed file is taken once).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.collection import merge_missing_images, missing_image_rollup
 from ..operators.search import new_cards
 from ..operators.sequences import LONGEST_RUN, MEMORY
 from ..sources.shared import remove
+from .in_order import fold_in_order
 
 
 #: Batches after which the counters of missing images are folded into one table.
@@ -82,48 +79,32 @@ def fold_mean(count: int, mean: list[float], values: list[list[float]]) -> tuple
     return count, mean
 
 
-def calibration_stream(samples: DataFrame, fractions: list[str], order: str = "event_id") -> DataFrame:
-    """device, kind, count and the running mean of each fraction after each batch."""
-    schema = "device long, kind string, count long, " + ", ".join(f"{c} double" for c in fractions)
-
-    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, mean = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        rows = pd.concat(list(pdfs)).sort_values(order)
-        count, mean = fold_mean(count, mean, rows[fractions].values.tolist())
-        state.update((count, mean))
-        yield pd.DataFrame([[*key, count, *mean]], columns=["device", "kind", "count", *fractions])
-
-    return samples.groupBy("device", "kind").applyInPandasWithState(fold, schema, "count long, mean array<double>", "update", GroupStateTimeout.NoTimeout)
-
-
-def stability_stream(frames: DataFrame, late: str = "1 hour", idle_ms: int = 3_600_000, move: float = 3.0) -> DataFrame:
-    """session_id, event_id, run of every frame; a session without frames for idle_ms of event time is forgotten, and
-    frames later than `late` behind the newest are dropped."""
-
-    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        run, last = (state.get[0], state.get[1:]) if state.exists else (0, (0.0, 0.0, 0.0))
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        runs = []
-        for left, top, width, fill in rows[["x_left", "top", "width", "fill"]].itertuples(index=False):
-            if pd.isna(left) or not 15 < fill < 92:
-                run = 0
-            else:
-                now = (left, top, width)
-                run = min(run + 1, LONGEST_RUN) if run and all(abs(a - b) < move for a, b in zip(now, last, strict=True)) else 1
-                last = now
-            runs.append(run)
-        state.update((run, *map(float, last)))
-        newest = int(pd.Timestamp(rows["ts"].max()).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame({"session_id": key[0], "event_id": rows["event_id"].to_numpy(), "run": runs})
-
-    timed = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy("session_id").applyInPandasWithState(
-        fold, "session_id long, event_id long, run int", "run int, x_left double, top double, width double", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def calibration_stream(samples: DataFrame, fractions: list[str], delay: str = "1 hour") -> DataFrame:
+    """device, kind, event_id, late, count and the running mean of each fraction after each sample (ts, event_id), in event order."""
+
+    def fold(state: tuple | None, values: tuple) -> tuple[tuple, tuple]:
+        count, mean = fold_mean(state[0] if state else 0, list(state[1:]) if state else [], [list(values)])
+        return (count, *mean), (count, *mean)
+
+    columns = "count long, " + ", ".join(f"{c} double" for c in fractions)
+    return fold_in_order(samples, ["device", "kind"], fractions, fold, columns, columns, delay)
+
+
+def stability_stream(frames: DataFrame, delay: str = "1 hour", move: float = 3.0) -> DataFrame:
+    """session_id, event_id, late, run of every frame, in event order."""
+
+    def fold(state: tuple | None, values: tuple) -> tuple[tuple, tuple]:
+        run, last = (state[0], state[1:]) if state else (0, (0.0, 0.0, 0.0))
+        left, top, width, fill = values
+        if left is None or fill is None or not 15 < fill < 92:
+            run = 0
+        else:
+            now = (left, top, width)
+            run = min(run + 1, LONGEST_RUN) if run and all(a is not None and b is not None and abs(a - b) < move for a, b in zip(now, last, strict=True)) else 1
+            last = now
+        return (run, *last), (run,)
+
+    return fold_in_order(frames, ["session_id"], ["x_left", "top", "width", "fill"], fold, "run int, x_left double, top double, width double", "run int", delay)
 
 
 def catalog_stream(listing: DataFrame, out: str, checkpoint: str, key: str = "card_id") -> StreamingQuery:
