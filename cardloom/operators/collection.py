@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,41 @@ def collection_value(scans: DataFrame) -> DataFrame:
     )
 
 
+#: What collection totals are made of: all of it adds and subtracts exactly.
+TOTALS = ("cards", "priced", "eur", "usd", "scored", "score")
+
+
+def collection_totals(scans: DataFrame, sign: int = 1) -> DataFrame:
+    """user_id and exact sums behind collection_stats and collection_value. scans: user_id, eur, ai_score, raw_score."""
+    score = F.coalesce(truthy(F.col("ai_score"), 0), truthy(F.col("raw_score"), 0))
+    scored = F.when(score > 0, score)
+    exact = lambda c: F.coalesce(F.sum(c.cast("decimal(18,6)")), F.lit(0)).cast("decimal(28,6)")
+    sums = (F.count(F.lit(1)), F.count("eur"), exact(F.col("eur")), exact(F.col("eur") * EUR_TO_USD), F.count(scored), F.coalesce(F.sum(scored), F.lit(0)).cast("long"))
+    return scans.groupBy("user_id").agg(*((sign * x).cast("decimal(28,6)" if n in ("eur", "usd") else "long").alias(n) for n, x in zip(TOTALS, sums, strict=True)))
+
+
+def merge_totals(*parts: DataFrame) -> DataFrame:
+    """One row for each user from totals and signed deltas of totals; users without cards drop out."""
+    every = reduce(DataFrame.unionByName, parts)
+    merged = every.groupBy("user_id").agg(*(F.sum(n).cast(every.schema[n].dataType).alias(n) for n in TOTALS))
+    return merged.where("cards > 0")
+
+
+def totals_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a set of changes does to the totals: the new versions of its scans (inserted or updated) less the old ones (updated or deleted)."""
+    every = collection_totals(after).unionByName(collection_totals(before, -1))
+    return every.groupBy("user_id").agg(*(F.sum(n).cast(every.schema[n].dataType).alias(n) for n in TOTALS))
+
+
+def stats_of_totals(totals: DataFrame) -> DataFrame:
+    """The columns of collection_stats, collection_value and the scan count."""
+    return totals.select(
+        "user_id", F.col("cards").alias("total_cards"), half_up(F.col("usd").cast("double"), 2).alias("total_value"),
+        F.when(F.col("scored") > 0, half_up(F.col("score").cast("double") / F.col("scored") / 100, 1)).otherwise(0.0).alias("avg_grade"),
+        half_up(F.col("eur").cast("double"), 2).alias("eur"), half_up(F.col("eur").cast("double") * EUR_TO_USD, 2).alias("usd"), F.col("priced").alias("cards_with_price"),
+    )
+
+
 def missing_image_rollup(reports: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """tcgdex_id, card_name (and set_name, card_number where reports have them; of the first report), report_count,
     first_reported, last_reported, resolved.

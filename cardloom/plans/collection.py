@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scales, scores
 from ..functions.text import default_display_name, format_price
 from ..operators import collection as c
+from ..sources import stored_tables
+from ..sources.catalog import append_scans
+from ..sources.shared import new_folder
 from .base import Inputs, query
 from .grading import BANDS, COMPANIES
 
@@ -153,6 +156,26 @@ def _(f):
     return f.scans.groupBy("user_id").agg(F.count(F.lit(1)).alias("scans"))
 
 
+#: A table of scans after deletions, updates and insertions; every seventh scan is deleted, every fifth rescored, every eleventh scanned again.
+AFTER = """(SELECT user_id, trend, avg_price, low_price, CASE WHEN id % 5 = 1 THEN NULL ELSE ai_score END AS ai_score, CASE WHEN id % 5 = 1 THEN raw_score + 10 ELSE raw_score END AS raw_score FROM {scans} WHERE id % 7 <> 0
+    UNION ALL SELECT user_id + 1, trend, avg_price, low_price, ai_score, raw_score FROM {scans} WHERE id % 11 = 0)"""
+
+
+@query(
+    "a5_a6_a7_totals_by_deltas",
+    f"""WITH after AS {AFTER}, a AS ({STATS} after GROUP BY user_id),
+    b AS (SELECT user_id, coalesce(sum({PRICE}), 0::DOUBLE) AS t, count({PRICE}) AS cards_with_price FROM after GROUP BY user_id)
+    SELECT a.*, floor(t * 100 + 0.5::DOUBLE) / 100 AS eur, floor(t * 1.08::DOUBLE * 100 + 0.5::DOUBLE) / 100 AS usd, cards_with_price FROM a JOIN b USING (user_id)""",
+)
+def _(f):
+    scans = f.scans.withColumn("eur", eur()).select("id", "user_id", "eur", "ai_score", "raw_score")
+    i = F.col("id")
+    again = scans.where(i % 11 == 0).withColumn("user_id", F.col("user_id") + 1)
+    rescored = scans.where((i % 5 == 1) & (i % 7 != 0)).withColumns({"ai_score": F.lit(None).cast("long"), "raw_score": F.col("raw_score") + 10})
+    delta = c.totals_delta(scans.where((i % 7 == 0) | (i % 5 == 1)), rescored.unionByName(again))
+    return c.stats_of_totals(c.merge_totals(c.collection_totals(scans), delta))
+
+
 ROLLUP = """SELECT tcgdex_id, arg_min(card_name, ts) AS card_name, count(*) AS report_count, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM {reports}"""
 
 
@@ -247,3 +270,30 @@ def _(f):
         "id", default_display_name(F.col("display_name"), F.col("email")).alias("display_name"), F.coalesce("tier", F.lit("-")).alias("tier"), F.lit("psa").alias("preferred_company")
     )
     return c.create_profiles(f.profiles.select("id", "email", "display_name"), known)
+
+
+@query(
+    "p2_update_stored_scans",
+    """SELECT id, user_id, CASE WHEN id % 50 = 1 THEN 'new ' || id WHEN id % 50 = 2 THEN NULL ELSE card_name END AS card_name, CAST(created_at AS VARCHAR) AS day, id % 50 = 1 OR id % 50 = 2 AS stamped
+    FROM {scans} WHERE id % 50 <> 3 OR created_at >= '1995-01-01'""",
+)
+def _(f):
+    at, i = new_folder(f.spark, "scans"), F.col("id")
+    append_scans(f.scans.select("id", "user_id", "card_name", "created_at").repartition("created_at"), at)
+    named = f.scans.where((i % 50 == 1) | (i % 50 == 2) | (i % 50 == 4)).select(
+        "id", F.when(i % 50 == 1, F.concat(F.lit("new "), i.cast("string"))).when(i % 50 == 4, F.col("card_name")).alias("card_name"),
+        F.when(i % 50 == 2, F.array(F.lit("card_name"))).alias("set_null"), F.lit(False).alias("deleted"),
+    )
+    gone = f.scans.where((i % 50 == 3) & (F.col("created_at") < "1995-01-01")).select("id", F.lit(None).cast("string").alias("card_name"), F.lit(None).cast("array<string>").alias("set_null"), F.lit(True).alias("deleted"))
+    stored_tables.update_stored(f.spark, at, named.unionByName(gone))
+    return f.spark.read.parquet(at).select("id", "user_id", "card_name", F.col("day").cast("string").alias("day"), F.col("updated_at").isNotNull().alias("stamped"))
+
+
+@query("j14_delete_by_vectors", "SELECT user_id, count(*) AS scans, CAST(sum(raw_score) AS BIGINT) AS score FROM {scans} WHERE user_id % 10 <> 3 GROUP BY user_id")
+def _(f):
+    at = new_folder(f.spark, "scans")
+    f.scans.select("id", "user_id", "raw_score").write.parquet(at)
+    for k in (3, 13):  # two deletions, one after the other
+        users = f.profiles.where(F.col("id") % 20 == k).select(F.col("id").alias("user_id"))
+        stored_tables.delete_rows(f.spark, at, users, "user_id")
+    return stored_tables.read_live(f.spark, at).groupBy("user_id").agg(F.count(F.lit(1)).alias("scans"), F.sum("raw_score").cast("long").alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import distance_label
+from ..operators import pivots
 from ..operators import similarity as s
 from .base import Inputs, query
 
@@ -64,6 +65,16 @@ def _(f):
     return s.cosine_topk(q, g).withColumn("similarity", F.floor(F.col("similarity") * 1000000 + 0.5) / 1000000)
 
 
+@query(
+    "j9_w1_cosine_topk_pruned",
+    f"""WITH top AS (SELECT * FROM (SELECT q.vec_id AS query_id, 'c-' || g.vec_id AS card_id, {COS} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 12) DESC, 'c-' || g.vec_id) AS rank
+      FROM {{vectors}} q JOIN {{vectors}} g ON q.vec_id % 20 = 0) WHERE rank <= 10) SELECT query_id, card_id, floor(sim * 1000000 + 0.5::DOUBLE) / 1000000 AS similarity, rank, {CONF} AS confidence FROM top""",
+)
+def _(f):
+    q, g, *_ = every(f)
+    return pivots.cosine_topk_pruned(q, g.select("card_id", "embedding")).withColumn("similarity", F.floor(F.col("similarity") * 1000000 + 0.5) / 1000000)
+
+
 def all_rows(sql: str) -> str:
     """The same SQL with every id divisible by 20 asked against all rows."""
     return sql.replace("q.vec_id % 10 = 0 AND g.vec_id % 10 <> 0", "q.vec_id % 20 = 0")

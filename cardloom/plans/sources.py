@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.similarity import hash_of_block
 from ..sources import catalog as c
+from ..sources import stored_tables
 from .base import query
 from .streaming import scratch
 
@@ -69,9 +70,20 @@ def _(f):
 @query("s5_write_catalog", "SELECT count(*) AS cards, count(*) AS listed, 'v7' AS version FROM {catalog}")
 def _(f):
     at = scratch(f)
-    c.write_catalog(f.catalog, at, "v7")
-    cards = f.spark.read.parquet(f"{at}/cards").agg(F.count(F.lit(1)).alias("cards"))
-    return cards.crossJoin(f.spark.read.schema("version string, count long").json(f"{at}/manifest").select("version", F.col("count").alias("listed")))
+    stored_tables.write_catalog(f.catalog, at, "v7")
+    cards = stored_tables.read_written_catalog(f.spark, at).agg(F.count(F.lit(1)).alias("cards"))
+    return cards.crossJoin(stored_tables.read_manifest(f.spark, at).select("version", F.col("count").alias("listed")))  # of one row and one
+
+
+@query(
+    "s5_a11_report_of_a_write",
+    """SELECT count(*) AS count, count(*) FILTER (WHERE image IS NOT NULL AND ord % 7 <> 0) AS saved, count(*) FILTER (WHERE image IS NULL AND ord % 7 <> 0) AS failed, count(*) FILTER (WHERE ord % 7 = 0) AS skipped FROM {catalog}""",
+)
+def _(f):
+    at = scratch(f)
+    status = F.when(F.col("ord") % 7 == 0, "skipped").when(F.col("image").isNull(), "failed").otherwise("saved")
+    stored_tables.write_catalog(f.catalog, at, status=status)
+    return stored_tables.read_manifest(f.spark, at).select("count", *(F.col("report")[k].alias(k) for k in ("saved", "failed", "skipped")))
 
 
 FILES = "SELECT card_id, 'pics/' || set_id || '/' || local_id || CASE WHEN ord % 3 = 0 THEN '.png' WHEN ord % 3 = 1 THEN '.jpg' ELSE '.webp' END AS path FROM {catalog} WHERE ord % 5 <> 0"

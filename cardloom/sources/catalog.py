@@ -64,16 +64,6 @@ def write_embedding_chunks(df: DataFrame, path: str, n: int = 5) -> None:
     embedding_chunks(df, n).select("card_id", "embedding", "chunk_index").write.partitionBy("chunk_index").parquet(path)
 
 
-def manifest(catalog: DataFrame, version: str) -> DataFrame:
-    """One row: version, count and day of a catalog."""
-    return catalog.agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("count"), F.date_format(F.current_date(), "yyyy-MM-dd").alias("generated"))
-
-
-def write_catalog(catalog: DataFrame, path: str, version: str = "v1") -> None:
-    catalog.write.parquet(f"{path}/cards")
-    manifest(catalog, version).write.json(f"{path}/manifest")
-
-
 def resolve_card_images(cards: DataFrame, files: DataFrame) -> DataFrame:
     """cards (set_id, local_id) with the path of their image; cards without a file drop out.
 
@@ -110,5 +100,7 @@ def flatten_cards(cards: DataFrame) -> DataFrame:
 
 
 def append_scans(rows: DataFrame, path: str) -> None:
-    """Stores scan rows by day."""
+    """Stores scan rows by day; rows without updated_at get an empty one, so that changes (stored_tables.update_stored) find it."""
+    if "updated_at" not in rows.columns:
+        rows = rows.withColumn("updated_at", F.lit(None).cast("timestamp"))
     rows.withColumn("day", F.substring(F.col("created_at").cast("string"), 1, 10)).write.mode("append").partitionBy("day").parquet(path)

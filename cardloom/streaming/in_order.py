@@ -108,11 +108,13 @@ def fold_in_order(rows: DataFrame, keys: list[str], values: list[str], fold, sta
 
 
 def started(writer, spark):
-    """Starts a stream's writer with the RocksDB state store; the session's own setting is as before afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, PROVIDER)
+    """Starts a stream's writer with the RocksDB state store, whose checkpoints are change logs; the session's own settings are as before afterwards."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.collection import merge_missing_images, missing_image_rollup
-from ..operators.search import new_cards
 from ..operators.sequences import LONGEST_RUN, MEMORY
 from ..sources.shared import remove
-from .in_order import fold_in_order
+from .in_order import fold_in_order, started
 
 
 #: Batches after which the counters of missing images are folded into one table.
@@ -107,22 +107,39 @@ def stability_stream(frames: DataFrame, delay: str = "1 hour", move: float = 3.0
     return fold_in_order(frames, ["session_id"], ["x_left", "top", "width", "fill"], fold, "run int, x_left double, top double, width double", "run int", delay)
 
 
-def catalog_stream(listing: DataFrame, out: str, checkpoint: str, key: str = "card_id") -> StreamingQuery:
-    """Adds the new cards of every landed listing file to the parquet catalog at out; each batch has its own folder, so a
-    batch that runs again replaces what it wrote."""
+class FirstOnce(StatefulProcessor):
+    """The first row of every key that was never seen before, by an order within a batch; all that is kept of a key is that it was seen."""
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parts = [v for v in batch_folders(out, spark) if v < batch_id]
-        fresh = batch.dropDuplicates([key])
-        if parts:
-            fresh = new_cards(fresh, spark.read.parquet(*(f"{out}/batch={v}" for v in parts)), key)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def __init__(self, order: list[str]):
+        self.order = order
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.seen.exists():
+            self.seen.update((True,))
+            pdf = pd.concat(list(rows))
+            yield (pdf.sort_values(self.order, kind="stable") if self.order else pdf).head(1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
 
-    return listing.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def close(self) -> None:
+        pass
 
 
-def batch_folders(base: str, spark) -> list[int]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=")) if fs.exists(path) else []
+def catalog_stream(listing: DataFrame, out: str, checkpoint: str, key: str = "card_id", order: list[str] | None = None, known: DataFrame | None = None) -> StreamingQuery:
+    """Adds the new cards of every landed listing file to the parquet catalog at out; each batch has its own folder, so a
+    batch that runs again replaces what it wrote.
+
+    Which cards are known stands in the state store, so a batch reads nothing of the catalog, however large it is. Of rows of one card in a batch,
+    the first by order is taken. known: cards (a frame with the key) that are there before the stream's first batch.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    before = known.select(key).distinct().groupBy(key) if known is not None else None
+    fresh = listing.groupBy(key).transformWithStateInPandas(FirstOnce(list(order or [])), listing.schema, "Append", "None", initialState=before)
+    return started(fresh.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True), listing.sparkSession)

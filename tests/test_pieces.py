@@ -102,3 +102,24 @@ def test_growing_radius_equals_all_cards(spark):
     assert say(similarity.hamming_topn_near(q, c, 4, flips=0)) == say(similarity.hamming_topn(q, c, 4))
     few = c.limit(2)
     assert say(similarity.hamming_topn_near(q, few, 4)) == say(similarity.hamming_topn(q, few, 4))
+
+
+def test_pruned_cosine_equals_all_blocks(spark):
+    import numpy as np
+
+    from cardloom.operators import pivots
+
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(30, 16))
+    vectors = (centres[r.integers(0, 30, 1500)] + 0.05 * r.normal(size=(1500, 16))).tolist()
+    vectors[3] = vectors[4] = [0.0] * 16
+    vectors[9] = vectors[8]
+    g = spark.createDataFrame([(f"c{k}", v) for k, v in enumerate(vectors)], "card_id string, embedding array<double>")
+    q = spark.createDataFrame([(k, vectors[17 * k] if k % 3 else r.normal(size=16).tolist()) for k in range(60)] + [(99, [0.0] * 16)], "query_id long, embedding array<double>")
+    say = lambda df: [(x.query_id, x.card_id, round(x.similarity, 9), x["rank"]) for x in df.orderBy("query_id", "rank").collect()]
+    met = []
+    assert say(pivots.cosine_topk_pruned(q, g, 5, pivots=60, size=40, met=met)) == say(similarity.cosine_topk(q, g, 5))
+    assert met[0] < 0.4 * met[1]
+    for k, n in ((1, 3), (2000, 8)):
+        assert say(pivots.cosine_topk_pruned(q, g, k, pivots=n, size=500)) == say(similarity.cosine_topk(q, g, k))
+    assert pivots.cosine_topk_pruned(q, g.limit(0), 3).count() == 0
