@@ -103,6 +103,17 @@ def test_junk_of_a_script_goes_and_its_prose_stays():
     assert not rater.keeps(" ".join(r.choice("😀😁😂🚀✨") * r.randint(1, 4) for _ in range(80)))
 
 
+def test_random_letters_go_where_a_joint_band_tells_them():
+    r = random.Random(9)
+    letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "arabic": "".join(map(chr, range(0x627, 0x64B))), "indic": "".join(map(chr, range(0x905, 0x940))), "cyrillic": "".join(map(chr, range(0x430, 0x450)))}
+    rater = q.Rater()
+    for script, own in letters.items():
+        noise = [" ".join("".join(r.choices(own, k=r.randint(3, 10))) for _ in range(100)) for _ in range(40)]
+        assert all(q.script_of(t.encode()) == script for t in noise)
+        assert sum(map(rater.keeps, noise)) < 4, script
+    assert rater.keeps("To see an old river again is what they had in mind when the boat came up and the seven wizards left for the sea.")
+
+
 def test_repeats_empty_table_and_long_text(spark):
     long = " ".join(f"word{k * 7919 % 100003}" for k in range(400_000))
     docs = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 1), (2, long, 1)], "doc_id long, text string, n_words int")
