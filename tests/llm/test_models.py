@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -204,3 +205,44 @@ def test_repeated_ids_leave_the_collect_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality.QualityModel, "fit", lambda self, p, u, prior: kept.append((len(p), len(u))) or self)
     quality.learn_quality(docs, labels, sample=30)
     assert not kept or (kept[0][0] <= 30 and kept[0][1] <= 30)
+
+
+def plain_features(text):
+    """The description of a text by loops over its bytes and words."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".,;:?!-", "\"'()[]{}", "|", "#*$%&<>=+@^~_/\\`"]
+    kind = lambda b: 10 if b >= 128 else next((k for k, c in enumerate(kinds, 1) if chr(b) in c), 0)
+    seen = [kind(b) for b in raw]
+    out = [0.0] * (11 + 121 + 9)
+    if not raw:
+        return out
+    for k in seen:
+        out[k] += 1 / len(seen)
+    for a, b in zip(seen, seen[1:]):
+        out[11 + 11 * a + b] += 1 / (len(seen) - 1)
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    n, sizes = max(1, len(words)), [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    pairs = list(zip(words, words[1:]))
+    out[132:] = [
+        math.log1p(n) / 10, len(set(words)) / n, len(set(pairs)) / n, sum(a == b for a, b in pairs) / n, mean / 10, (sum((s - mean) ** 2 for s in sizes) / len(sizes)) ** 0.5 / 10,
+        len(lines) / n, len(set(lines)) / max(1, len(lines)), sum(s > 20 for s in sizes) / len(sizes),
+    ]
+    return out
+
+
+def test_scores_by_plain_loops(spark, sf):
+    """Every score again: features, scaling, network and sigmoid written out."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a"), (-4, "é" * 500), (-5, "x y " * 900)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(odd)
+    model = quality.learn_quality(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    w, b, v, c = (p.tolist() for p in model.net.p)
+    got = {r.doc_id: r for r in quality.rate_quality(every, model).collect()}
+    for doc_id, text in [tuple(r) for r in every.collect()]:
+        x = [max(-8.0, min(8.0, (f - m) / s)) for f, m, s in zip(plain_features(text), model.mean.tolist(), model.scale.tolist(), strict=True)]
+        hidden = [max(0.0, sum(x[i] * w[i][j] for i in range(len(x))) + b[j]) for j in range(len(b))]
+        z = sum(h * k for h, k in zip(hidden, v, strict=True)) + c[0]
+        score = 1 / (1 + math.exp(-max(-40.0, min(40.0, model.steep * z + math.log(0.7 / 0.3)))))
+        assert abs(got[doc_id].score - score) < 1e-3 and got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
+        assert abs(score - 0.7) < 1e-3 or got[doc_id].predicted == (score >= 0.7)

@@ -110,3 +110,29 @@ def test_pack_documents(spark, tokenizer):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by dynamic programming over subsets."""
+    n = len(lengths)
+    best = [(n + 1, 0)] * (1 << n)
+    best[0] = (0, capacity)  # sequences, room used in the last one
+    for mask in range(1 << n):
+        k, used = best[mask]
+        for i in range(n):
+            if not mask >> i & 1:
+                now = (k, used + lengths[i]) if used + lengths[i] <= capacity else (k + 1, lengths[i])
+                best[mask | 1 << i] = min(best[mask | 1 << i], now)
+    return best[-1][0]
+
+
+def test_number_of_sequences_against_the_optimum():
+    r = np.random.default_rng(12)
+    worse = 0
+    for _ in range(150):
+        capacity = int(r.integers(8, 40))
+        lengths = r.integers(1, capacity + 1, size=int(r.integers(1, 11))).tolist()
+        made = sum(k for _, k in packing.plan_sequences(Counter(lengths), capacity))
+        assert 0 <= made - fewest(lengths, capacity) <= 1
+        worse += made > fewest(lengths, capacity)
+    assert worse <= 15
