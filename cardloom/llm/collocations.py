@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ LEAST, LONGEST, INSIDE = 100, 5, 100
 #: Phrases that are returned of each language.
 TOP = 2000
 #: Words of one language that a task counts at once, and distinct words that it remembers.
-CHUNK, MEMO = 2_000_000, 400_000
+CHUNK, MEMO = 1_000_000, 400_000
 #: A phrase with this part of its language's words, and the number of parts that stripes of prefixes starting with it are cut into.
 HOT, PARTS = 1000, 32
 #: Least number of buckets that a language's prefixes are dealt to, and frequent phrases for each bucket beyond that.
@@ -122,14 +123,15 @@ class Bitmap:
         self.mask = np.int64(bits - 1)
         self.words = np.zeros(bits // 64, dtype=np.uint64)
         self.words[places] = values.view(np.uint64)
+        self.bytes = self.words.astype("<u8").tobytes()
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes & self.mask
         return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
     def has_one(self, hash_: int) -> bool:
-        at = hash_ & int(self.mask)
-        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+        at = hash_ & (len(self.bytes) * 8 - 1)
+        return bool(self.bytes[at >> 3] >> (at & 7) & 1)
 
 
 def bitmap(hashes: DataFrame, count: int) -> Broadcast:
@@ -145,14 +147,14 @@ class Vocabulary(dict):
 
     def __init__(self, lang: str, frequent: Bitmap):
         super().__init__({BREAK: -1})
-        self.lang, self.frequent = lang.encode() + b"\0", frequent
+        self.start, self.has = zlib.crc32(lang.encode() + b"\0"), frequent.has_one
         self.words: list[str] = []
         self.hashes: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
-        hash_ = zlib.crc32(self.lang + word)
+        hash_ = zlib.crc32(word, self.start)
         number = -1
-        if self.frequent.has_one(hash_):
+        if self.has(hash_):
             number = len(self.words)
             self.words.append(word.decode("utf-8", "surrogatepass"))
             self.hashes.append(hash_)
@@ -182,28 +184,20 @@ def counted(ids: np.ndarray, good: np.ndarray, orders: range) -> Iterator[tuple[
 
 
 def stripe_rows(ids: np.ndarray, known: Vocabulary, good: np.ndarray, hot: np.ndarray, orders: range, buckets: int, lang: str, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The stripes of ids, a row for each bucket of prefixes: the prefixes, the next words of each in one string, and their counts."""
-    words = [*known.words, ""]  # no next word is an empty one
-    part_of = np.append(np.array(known.hashes, dtype=np.int64) // 7 % PARTS, 0)
-    for order, prefix, place, following, counts in counted(ids, good, orders):
+    """The stripes of ids, a row for each bucket of prefixes: the entries of its stripes, each as the phrase of prefix and next word, and their counts."""
+    words = pa.array([*known.words, ""], pa.string())  # no next word is an empty one
+    hashes = np.array(known.hashes, dtype=np.int64)
+    part_of = np.append(hashes // 7 % PARTS, 0)
+    for order, _, place, following, counts in counted(ids, good, orders):
         word = np.where(following == _OTHER, len(words) - 1, following)
-        part = np.where(hot[place], part_of[word], 0)
-        if part.any():
-            by = np.lexsort((part, prefix))
-            prefix, place, word, counts, part = prefix[by], place[by], word[by], counts[by], part[by]
-        first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]))
-        ends = [*first[1:].tolist(), len(word)]
-        text = [words[k] for k in word.tolist()]
-        names = [" ".join([words[k] for k in own]) for own in ids[place[first][:, None] + np.arange(order)].tolist()]
-        nexts = [" ".join(text[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
-        bucket = (np.fromiter((zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names), np.int64, len(names)) + 7919 * part[first]) % buckets
-        lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(counts.astype(np.int32)))
-        order_ = pa.array(np.argsort(bucket, kind="stable"))
-        bucket = np.sort(bucket)
+        own = [ids[place + k] for k in range(order)]
+        bucket = (phrase_hash([hashes[w] for w in own]) + 7919 * np.where(hot[place], part_of[word], 0)) % buckets
+        by = np.argsort(bucket, kind="stable")
+        phrases = pc.binary_join_element_wise(*(words.take(pa.array(w[by])) for w in (*own, word)), " ")
+        bucket = bucket[by]
         new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         offsets = pa.array(np.append(new, len(bucket)).astype(np.int32))
-        columns = [pa.array([lang] * len(new), pa.string()), pa.array(bucket[new].astype(np.int32))]
-        columns += [pa.ListArray.from_arrays(offsets, c.take(order_)) for c in (pa.array(names, pa.string()), pa.array(nexts, pa.string()), lists)]
+        columns = [pa.array([lang] * len(new), pa.string()), pa.array(bucket[new].astype(np.int32)), pa.ListArray.from_arrays(offsets, phrases), pa.ListArray.from_arrays(offsets, pa.array(counts[by].astype(np.int32)))]
         whole = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
         for k in range(0, whole.num_rows, 256):
             yield whole.slice(k, 256)
@@ -216,7 +210,7 @@ def stripes(docs: DataFrame, orders: range, words: Broadcast, phrases: Broadcast
     language's hot ones. Tasks send the stripes of a bucket of prefixes together. A hot prefix is in up to PARTS buckets and has a row of
     each: its total is the sum of theirs, its extensions are the union.
     """
-    schema = "lang string, bucket int, prefixes array<string>, nexts array<string>, counts array<array<int>>"
+    schema = "lang string, bucket int, phrases array<string>, counts array<int>"
     fields = spark_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +250,10 @@ def stripes(docs: DataFrame, orders: range, words: Broadcast, phrases: Broadcast
 
     sent = spoken(docs).mapInArrow(run, schema).repartition("lang", "bucket")
     # elementwise, where the stripes of a prefix have met: these aggregations need no exchange of their own
-    whole = sent.select("lang", "bucket", F.explode(F.arrays_zip("prefixes", "nexts", "counts")).alias("s"))
-    each = whole.select("lang", "bucket", F.col("s.prefixes").alias("prefix"), F.explode(F.arrays_zip(F.split("s.nexts", " ").alias("next"), F.col("s.counts").alias("count"))).alias("e"))
-    merged = each.groupBy("lang", "bucket", "prefix", F.col("e").getField("next").alias("next")).agg(F.sum(F.col("e").getField("count").cast("long")).alias("count"))
+    each = sent.select("lang", "bucket", F.explode(F.arrays_zip("phrases", "counts")).alias("e")).select("lang", "bucket", F.col("e.phrases").alias("phrase"), F.col("e.counts").cast("long").alias("count"))
+    following = F.substring_index("phrase", " ", -1)
+    prefix = F.expr("left(phrase, length(phrase) - length(next) - 1)")
+    merged = each.groupBy("lang", "bucket", "phrase").agg(F.sum("count").alias("count")).withColumn("next", following).withColumn("prefix", prefix)
     entry = F.when((F.col("next") != "") & (F.col("count") >= least), F.struct("next", "count"))
     return merged.groupBy("lang", "bucket", "prefix").agg(F.sum("count").alias("total"), F.collect_list(entry).alias("extensions")).drop("bucket")
 
