@@ -5,7 +5,8 @@
 2. Signatures are cut into bands; texts that share a band value meet in a bucket. 32 bands of 4 values miss a pair
    of similarity 0.8 with probability 5e-8. Buckets with the same members are looked at once.
 3. Buckets are dealt to tasks in blocks: about BLOCK texts against BLOCK texts (a signature is small), fewer where texts are long (BLOCK_SHINGLES), so
-   none is ever gathered whole. In a block, MinHash values are compared step by step; a pair is dropped as soon as the posterior
+   none is ever gathered whole; large buckets are split by size class before, since texts whose sizes differ by more than 1 / threshold
+   can't be alike. In a block, MinHash values are compared step by step; a pair is dropped as soon as the posterior
    probability (uniform prior, binomial likelihood) that its similarity reaches the threshold falls below TOLERANCE. A pair is
    judged only in its first common band. Blocks hold signatures only; shingles are made and sent just for the texts
    that have a surviving pair, to the blocks where they have it, and there the pairs are verified exactly.
@@ -40,6 +41,9 @@ TOLERANCE = 1e-6
 #: Texts, and shingles of texts, in one side of a block, on average.
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Slots of a bucket up to which all meet, and the least width of a size class (natural logarithm), which bounds their number.
+SPLIT = 2
+LEAST_WIDTH = 0.05
 #: Pairs of a block that are compared at once (1 kB each), and words whose hashes a task remembers.
 PAIRS = 1 << 14
 MEMO = 150_000
@@ -268,7 +272,7 @@ def survivors(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield r["bucket"], r["x"], r["y"], r["side"], r["rep"], r["band"]
 
     steps = least_matches(threshold)
-    return by_block(blocks, ["side", "rep", "band", "n_shingles", "signature"], one, "bucket long, x int, y int, side string, rep long, band int")
+    return by_block(blocks, ["side", "rep", "band", "n_shingles", "signature"], one, "bucket long, x long, y long, side string, rep long, band int")
 
 
 def judge(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -341,18 +345,47 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return classified(docs, threshold).select("doc_id", "class_id", "n_links")
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
-    """Block rows: every pair of texts that share a bucket meets in exactly one block of each of its buckets."""
+def size_class(n_shingles: str, threshold: float) -> Column:
+    """Texts that reach the threshold are in the same class or in neighbouring ones: their sizes differ by 1 / threshold at most."""
+    width = max(-math.log(threshold) + 1e-9, LEAST_WIDTH)
+    return F.floor(F.log(F.col(n_shingles)) / width).cast("int")
+
+
+def _slots(n: str, size: str) -> Column:
+    return F.least(F.col(n), F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_SHINGLES))).cast("int")
+
+
+def _blocks(classes: DataFrame, threshold: float) -> DataFrame:
+    """Block rows: every pair of texts that share a bucket meets in exactly one block of each of its buckets.
+
+    Buckets of more than SPLIT slots are split by size class first: a class meets itself and its neighbours only.
+    """
     bands = bands_of(classes.where("n_shingles > 0"))
     member = F.xxhash64("rep")
     buckets = bands.groupBy("band", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.sum(F.shiftright(member, 20)).alias("sum"), F.bit_xor(member).alias("xor")
     ).where("n > 1")
     first = buckets.groupBy("n", "size", "sum", "xor").agg(F.min(F.struct("band", "value")).alias("key")).select("n", "size", "key.band", "key.value")
-    count = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)))
-    kept = bands.join(first, ["band", "value"]).select("rep", "band", F.xxhash64("band", "value").alias("bucket"), count.cast("int").alias("count"))
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("count")).cast("int")
-    return kept.withColumn("own", own).select("rep", "band", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other")).select(
+    large = _slots("n", "size") > SPLIT
+    members = saved(
+        bands.join(first, ["band", "value"]).select(
+            "rep", "n_shingles", "band", F.xxhash64("band", "value").alias("bucket"), F.when(large, size_class("n_shingles", threshold)).alias("cls"), _slots("n", "size").alias("slots")
+        ),
+        "members",
+    )
+    plain = members.where("cls is null").withColumn("cls", F.lit(0)).withColumn("near", F.create_map(F.lit(0), F.col("slots")))
+    by_class = members.where("cls is not null").groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    near = by_class.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("cls", _slots("n", "size")))).alias("near"))
+    split = members.where("cls is not null").join(near, "bucket")
+    rows = plain.select("rep", "band", "bucket", "cls", "near").unionByName(split.select("rep", "band", "bucket", "cls", "near"))
+
+    def place(cls: Column, slot: Column) -> Column:
+        return F.shiftleft(cls.cast("long"), 32) + slot
+
+    own = place(F.col("cls"), F.pmod(F.xxhash64("rep", F.lit(7)), F.col("near")[F.col("cls")]))
+    meets = F.filter(F.array(*(F.col("cls") + d for d in (-1, 0, 1))), lambda c: F.map_contains_key("near", c))
+    others = F.flatten(F.transform(meets, lambda c: F.transform(F.sequence(F.lit(0), F.col("near")[c] - 1), lambda k: place(c, k))))
+    return rows.select("rep", "band", "bucket", own.alias("own"), F.explode(others).alias("other")).select(
         "rep", "band", "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
         F.when(F.col("own") == F.col("other"), "both").when(F.col("own") < F.col("other"), "a").otherwise("b").alias("side"),
     )
@@ -360,7 +393,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
 
 def _full_blocks(docs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Block rows of the texts with surviving pairs, with copies, signature and shingles."""
-    alive = saved(survivors(_blocks(classes).join(classes.select("rep", "n_shingles", "signature"), "rep"), threshold), "survivors")
+    alive = saved(survivors(_blocks(classes, threshold).join(classes.select("rep", "n_shingles", "signature"), "rep"), threshold), "survivors")
     wanted = saved(classes.join(alive.select("rep").distinct(), "rep", "left_semi"), "wanted")
     texts = by_ids(keyed(docs), wanted.select("who.key").distinct(), "key", "left_semi")
 

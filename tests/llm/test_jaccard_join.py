@@ -62,6 +62,42 @@ def test_same_as_brute_force(spark, monkeypatch):
     assert kept == {c for c, _ in want.values()}
 
 
+def test_large_buckets_are_split_by_size(spark, monkeypatch):
+    r = random.Random(11)
+    shared = [f"s{k}" for k in range(60)]
+    docs = []
+    for k in range(160):  # one passage with own words behind it, of many lengths: shared bands, few links
+        own = [f"o{k // 2}_{i}" for i in range(r.choice((0, 3, 10, 15, 40, 80, 200)) if k % 2 == 0 else len(own) + r.choice((0, 1)))]
+        docs.append((k, " ".join(shared + own)))
+    want = brute(docs)
+    monkeypatch.setattr(j, "BLOCK", 8)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in j.near_duplicates(df).collect()} == want
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    r = random.Random(12)
+    monkeypatch.setattr(j, "BLOCK", 8)
+    size = [int(10 * 1000 ** r.random()) for _ in range(200)]
+    same = bytearray(np.arange(j.HASHES, dtype="<u4").tobytes())  # one bucket, which stands for all 32 with the same members
+    blocks = {}
+    for row in j._blocks(spark.createDataFrame([(k, n, same) for k, n in enumerate(size)], "rep long, n_shingles long, signature binary"), 0.8).collect():
+        blocks.setdefault((row.bucket, row.x, row.y), []).append(row)
+    met = []
+    for rows in blocks.values():
+        a, b, both = ([q.rep for q in rows if q.side == s] for s in ("a", "b", "both"))
+        met += [tuple(sorted((p, q))) for p in a for q in b] + list(combinations(sorted(both), 2))
+    assert len(met) == len(set(met)) < 0.2 * 200 * 199 / 2
+    assert {(p, q) for p, q in combinations(range(200), 2) if min(size[p], size[q]) >= 0.8 * max(size[p], size[q])} <= set(met)
+
+
+def test_size_classes_of_alike_texts_are_neighbours(spark):
+    for threshold in (0.5, 0.8, 0.97, 1.0):
+        sizes = [(n, int(n * threshold) + (int(n * threshold) < n * threshold)) for n in range(1, 3000)]
+        df = spark.createDataFrame(sizes, "n long, m long")
+        assert df.where(j.F.abs(j.size_class("n", threshold) - j.size_class("m", threshold)) > 1).isEmpty()
+
+
 def test_on_the_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([tuple(r) for r in df.select("doc_id", "text").collect()])
