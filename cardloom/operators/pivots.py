@@ -15,6 +15,8 @@ from .similarity import BLOCK, best_of_block
 
 #: Vectors of the gallery that blocks are made around, and what a bound may be wrong by through rounding.
 PIVOTS, SLACK = 256, 1e-9
+#: Pairs of a query and a block that a task holds at once before it hands them on.
+SENT = 8192
 
 
 def unit_rows(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +91,13 @@ def cosine_topk_pruned(queries: DataFrame, gallery: DataFrame, k: int = 10, pivo
     def sent(rows: DataFrame, first: bool) -> DataFrame:
         """query_id, vector, block: the blocks that queries go to, at first or then."""
 
+        def flat(made: list) -> pa.RecordBatch:
+            n = [len(b) for _, _, b in made]
+            q, v = pa.array([i for i, _, _ in made], pa.int64()), pa.array([x for _, x, _ in made], pa.binary())
+            at = pa.array(np.repeat(np.arange(len(made)), n))
+            b = pa.array(np.concatenate([b for _, _, b in made]) if made else [], pa.int64())
+            return pa.RecordBatch.from_arrays([q.take(at), v.take(at), b], names=["query_id", "vector", "block"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 known = shared.value
@@ -97,21 +106,28 @@ def cosine_topk_pruned(queries: DataFrame, gallery: DataFrame, k: int = 10, pivo
                 m, ok = unit_rows(batch.column("embedding").to_pylist(), dim)
                 ids, bounds = batch.column("query_id").to_pylist(), known.bounds(m)
                 limits = batch.column("limit").to_pylist()
-                out = []
+                made, size = [], 0
                 for j in np.flatnonzero(ok).tolist():
                     near = known.nearest(bounds[j], k)
                     if not first:
                         wanted = bounds[j] >= (-2.0 if limits[j] is None else limits[j] - SLACK)
                         wanted[near] = False
                         near = np.flatnonzero(wanted)
-                    out += [(ids[j], m[j].tobytes(), b) for b in known.names[near].tolist()]
-                q, v, b = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.binary()), pa.array(b, pa.int64())], names=["query_id", "vector", "block"])
+                    made.append((ids[j], m[j].tobytes(), known.names[near]))
+                    size += len(near)
+                    if size >= SENT:
+                        yield flat(made)
+                        made, size = [], 0
+                yield flat(made)
 
         return arrow_ready(rows).mapInArrow(run, "query_id long, vector binary, block long")
 
     def best(pairs: DataFrame) -> DataFrame:
-        """The k best of each pair of a query and a block; queries of one block go together, up to BLOCK on average."""
+        """The k best of each pair of a query and a block; queries of one block go together, up to BLOCK on average.
+
+        The files of pairs are small, as a query's vector stands in them once for all its blocks, but the rows are not: both sides are
+        shuffled, whatever their files' sizes say, since a broadcast would gather them in the driver.
+        """
         group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_queries // BLOCK))))
         together = pairs.groupBy("block", group.alias("g")).agg(F.collect_list("query_id").alias("qs"), F.collect_list("vector").alias("vs"))
 
@@ -125,13 +141,13 @@ def cosine_topk_pruned(queries: DataFrame, gallery: DataFrame, k: int = 10, pivo
                         names=["query_id", "card_id", "similarity"],
                     )
 
-        return together.join(blocks.select("block", "ids", "vectors"), "block").select("qs", "vs", "ids", "vectors").mapInArrow(run, schema)
+        return together.hint("merge").join(blocks.select("block", "ids", "vectors"), "block").select("qs", "vs", "ids", "vectors").mapInArrow(run, schema)
 
     none = F.lit(None).cast("double").alias("limit")
     first_pairs = stored(sent(asked.select("query_id", "embedding", none), True), "pairs")
     first = stored(best(first_pairs), "near")
     limits = first.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("similarity"), False), F.lit(k - 1)).alias("limit"))
-    later_pairs = stored(sent(asked.join(limits, "query_id", "left").select("query_id", "embedding", "limit"), False), "pairs")
+    later_pairs = stored(sent(asked.hint("merge").join(limits, "query_id", "left").select("query_id", "embedding", "limit"), False), "pairs")
     if met is not None:
         met += [first_pairs.count() + later_pairs.count(), n_queries * blocks.count()]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "card_id")).cast("long")

@@ -123,3 +123,14 @@ def test_pruned_cosine_equals_all_blocks(spark):
     for k, n in ((1, 3), (2000, 8)):
         assert say(pivots.cosine_topk_pruned(q, g, k, pivots=n, size=500)) == say(similarity.cosine_topk(q, g, k))
     assert pivots.cosine_topk_pruned(q, g.limit(0), 3).count() == 0
+
+
+def test_pruned_cosine_gathers_no_vectors_in_the_driver(spark):
+    from cardloom.operators import pivots
+
+    rows = [(k, [float((k * j) % 17 - 8) for j in range(1, 9)]) for k in range(1, 200)]
+    g = spark.createDataFrame([(f"c{k}", v) for k, v in rows], "card_id string, embedding array<double>")
+    q = spark.createDataFrame(rows[::9], "query_id long, embedding array<double>")
+    best = pivots.cosine_topk_pruned(q, g, 3, pivots=8, size=20)
+    assert "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()
+    assert best.count() == 3 * len(rows[::9])
