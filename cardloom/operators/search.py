@@ -9,6 +9,8 @@ from ..functions.text import leading_int, match_score
 
 #: Letters of a piece of a name.
 PIECE = 3
+#: Queries of one term that a task gives their cards to, about.
+TOGETHER = 2048
 CARD = ("card_id", "set_id", "local_id", "name", "hp", "set_total", "ord")
 
 
@@ -41,17 +43,24 @@ def name_hits(queries: DataFrame, catalog: DataFrame, least: int = 3, limit: int
     """query_id and the first cards, in catalog order, whose name holds the query's in any case.
 
     Names repeat over many cards, so distinct names meet distinct queries first: an equi join on one three-letter piece of each
-    term, the one in the fewest names, then the check. Cards join by equal name after it, of each name the first `limit`.
+    term, the one in the fewest names, then the check. Cards join by equal name after it, of each name the first `limit`. Terms repeat
+    over many queries too, so each term's first cards are found once, and its queries get them as one row, in parts of about TOGETHER.
     """
-    wanted = queries.where(F.length("name") >= least).select("query_id", F.trim(F.col("name")).alias("term"))
-    terms = wanted.select(F.lower("term").alias("low")).distinct()
+    wanted = queries.where(F.length("name") >= least).select("query_id", F.lower(F.trim(F.col("name"))).alias("low"))
+    asked = wanted.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    terms = asked.select("low")
     names = catalog.where("name is not null").select("name").distinct()
     pairs = holding(names.withColumn("_low", F.lower("name")), "_low", terms, "low").select("name", "low")
     of_name = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
     cards = catalog.select(*CARD).withColumn("_k", of_name).where(F.col("_k") <= limit).drop("_k")
-    hits = wanted.withColumn("low", F.lower("term")).join(pairs, "low").join(cards, "name")
-    first = F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))
-    return hits.withColumn("n", first).where(F.col("n") <= limit).select("query_id", *CARD)
+    of_term = F.row_number().over(Window.partitionBy("low").orderBy("ord"))
+    first = pairs.join(cards, "name").withColumn("n", of_term).where(F.col("n") <= limit)
+    listed = first.groupBy("low").agg(F.collect_list(F.struct(*CARD)).alias("cards"))
+    copies = listed.join(asked, "low").select("low", "cards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = wanted.join(asked, "low").select("query_id", "low", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"))
+    # the rows before the join are small and would be coalesced into few tasks, or broadcast; those after it are not
+    spread = dealt.repartition(max(1, -(-wanted.count() // TOGETHER)), "low", "part").hint("merge")
+    return spread.join(copies, ["low", "part"]).select("query_id", F.explode("cards").alias("c")).select("query_id", "c.*")
 
 
 def exact_card(queries: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -67,7 +76,7 @@ def search_cards(queries: DataFrame, catalog: DataFrame, limit: int = 50) -> Dat
     """
     hits = number_hits(queries, catalog).select("query_id", *CARD, F.lit(0).alias("source")).unionByName(name_hits(queries, catalog).withColumn("source", F.lit(1)))
     once = F.row_number().over(Window.partitionBy("query_id", "card_id").orderBy("source", "ord"))
-    unique = hits.withColumn("n", once).where("n = 1").drop("n")
+    unique = hits.repartition("query_id").withColumn("n", once).where("n = 1").drop("n")
     q = queries.select("query_id", F.col("name").alias("q_name"), F.col("local_id").alias("q_local"), F.col("total").alias("q_total"), F.col("hp").alias("q_hp"))
     scored = unique.join(q, "query_id").withColumn(
         "match_score", match_score(F.col("q_name"), F.col("q_local"), F.col("q_total"), F.col("q_hp"), F.col("name"), F.col("local_id"), F.col("set_total"), F.col("hp"))

@@ -159,3 +159,16 @@ def test_wildcards_in_search_terms(spark):
     scans = spark.createDataFrame([(1, 7, "Red Ring"), (2, 7, "Blue"), (3, 8, "Red")], "id long, user_id long, card_name string")
     terms = spark.createDataFrame([(7, "r_d"), (8, "%")], "user_id long, term string")
     assert {r.id for r in collection.search_scans(scans, terms).collect()} == {1, 3}
+
+
+def test_cards_of_a_term_are_ranked_once_for_all_its_queries(spark, monkeypatch):
+    from cardloom.operators import search
+
+    monkeypatch.setattr(search, "TOGETHER", 7, raising=False)
+    cards = [(f"c{k}", "s", str(k), ("Red Ring", "red bolt", "Blue", None)[k % 4], 10, 70, k) for k in range(400)]
+    catalog = spark.createDataFrame(cards, "card_id string, set_id string, local_id string, name string, hp long, set_total long, ord long")
+    asked = [(k, ("RED", "blue", " ring", "re", None)[k % 5]) for k in range(100)]
+    hits = search.name_hits(spark.createDataFrame(asked, "query_id long, name string"), catalog)
+    assert not any("Window [" in line and "query_id" in line for line in hits._jdf.queryExecution().executedPlan().toString().split("\n"))
+    want = [(q, c[0]) for q, name in asked if name and len(name) >= 3 for c in [c for c in cards if c[3] and name.strip().lower() in c[3].lower()][:50]]
+    assert sorted((r.query_id, r.card_id) for r in hits.collect()) == sorted(want)
