@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +17,8 @@ from .base import Inputs, query
 HEIGHT, WIDTH = 192, 128
 #: Pictures that are drawn at once.
 DRAWN = 32
+#: Pictures of one task, about.
+TASK = 512
 
 
 def draw(vec_id: int, vector: np.ndarray) -> np.ndarray:
@@ -35,67 +39,47 @@ def draw(vec_id: int, vector: np.ndarray) -> np.ndarray:
     return np.clip(rgb, 0, 255).astype(np.uint8)
 
 
-def images(f: Inputs) -> DataFrame:
+def images(f: Inputs, change: Callable[[int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The pictures, each changed as it is drawn: one Python stage. A vector is small and its picture is not, so tasks go by numbers of pictures."""
+
     def run(batches):
         for batch in (whole.slice(k, DRAWN) for whole in batches for k in range(0, whole.num_rows, DRAWN)):
             ids = batch.column("vec_id").to_pylist()
-            raw = [draw(i, np.array(v, dtype=np.float64)).tobytes() for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True)]
-            n = len(ids)
+            drawn = [draw(i, np.array(v, dtype=np.float64)) for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True)]
+            if change:
+                drawn = [change(i, rgb) for i, rgb in zip(ids, drawn, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(["front" if i % 2 == 0 else "back" for i in ids]), pa.array([HEIGHT] * n, pa.int32()), pa.array([WIDTH] * n, pa.int32()), pa.array(raw, pa.binary())],
+                [
+                    pa.array(ids, pa.int64()), pa.array(["front" if i % 2 == 0 else "back" for i in ids]), pa.array([x.shape[0] for x in drawn], pa.int32()), pa.array([x.shape[1] for x in drawn], pa.int32()),
+                    pa.array([x.tobytes() for x in drawn], pa.binary()),
+                ],
                 names=["image_id", "side", "height", "width", "pixels"],
-            )
+            )
 
-    return f.vectors.select("vec_id", "embedding").mapInArrow(run, "image_id long, side string, height int, width int, pixels binary")
+    vectors = f.vectors.select("vec_id", "embedding")
+    spread = vectors.repartition(max(1, -(-vectors.count() // TASK)), "vec_id")
+    return arrow_ready(spread).mapInArrow(run, "image_id long, side string, height int, width int, pixels binary")
 
 
 def masks(f: Inputs) -> DataFrame:
     """Pictures whose card is white and whose ground is black."""
-
-    def run(batches):
-        for batch in batches:
-            raws = []
-            for h, w, raw in zip(*(batch.column(c).to_pylist() for c in ("height", "width", "pixels")), strict=True):
-                rgb = np.frombuffer(raw, np.uint8).reshape(h, w, 3)
-                raws.append(np.where(rgb.max(axis=2, keepdims=True) > 60, 255, 0).repeat(3, axis=2).astype(np.uint8).tobytes())
-            yield batch.set_column(batch.schema.get_field_index("pixels"), "pixels", pa.array(raws, pa.binary()))
-
-    df = arrow_ready(images(f))
-    return df.mapInArrow(run, df.schema)
+    return images(f, lambda i, rgb: np.where(rgb.max(axis=2, keepdims=True) > 60, 255, 0).repeat(3, axis=2).astype(np.uint8))
 
 
 def cropped(f: Inputs) -> DataFrame:
     """The drawn cards without the ground around them."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i, raw in zip(batch.column("image_id").to_pylist(), batch.column("pixels").to_pylist(), strict=True):
-                rgb = np.frombuffer(raw, np.uint8).reshape(HEIGHT, WIDTH, 3)
-                out.append(rgb[10 + i % 7 : HEIGHT - 9 - i % 6, 8 + i % 9 : WIDTH - 8 - i % 5])
-            columns = {"height": pa.array([x.shape[0] for x in out], pa.int32()), "width": pa.array([x.shape[1] for x in out], pa.int32()), "pixels": pa.array([x.tobytes() for x in out], pa.binary())}
-            yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
-
-    df = arrow_ready(images(f))
-    return df.mapInArrow(run, df.schema)
+    return images(f, lambda i, rgb: rgb[10 + i % 7 : HEIGHT - 9 - i % 6, 8 + i % 9 : WIDTH - 8 - i % 5])
 
 
 def scratched(f: Inputs) -> DataFrame:
     """The drawn pictures, every second one with bright flecks all over the card."""
 
-    y, x = np.mgrid[0:HEIGHT, 0:WIDTH]
+    def flecked(i: int, rgb: np.ndarray) -> np.ndarray:
+        y, x = np.mgrid[0:HEIGHT, 0:WIDTH]
+        flecks = (i % 2 == 0) & ((x // 3 * 3 + y // 4 * 5 + i) % 6 == 0) & (rgb.max(axis=2) > 60)
+        return np.where(flecks[..., None], 250, rgb).astype(np.uint8)
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i, raw in zip(batch.column("image_id").to_pylist(), batch.column("pixels").to_pylist(), strict=True):
-                rgb = np.frombuffer(raw, np.uint8).reshape(HEIGHT, WIDTH, 3)
-                flecks = (i % 2 == 0) & ((x // 3 * 3 + y // 4 * 5 + i) % 6 == 0) & (rgb.max(axis=2) > 60)
-                out.append(np.where(flecks[..., None], 250, rgb).astype(np.uint8).tobytes())
-            yield batch.set_column(batch.schema.get_field_index("pixels"), "pixels", pa.array(out, pa.binary()))
-
-    df = arrow_ready(images(f))
-    return df.mapInArrow(run, df.schema)
+    return images(f, flecked)
 
 
 # The pictures of draw(), one row for each pixel, as DuckDB says it.

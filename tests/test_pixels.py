@@ -149,3 +149,10 @@ def test_jobs_run_on_the_table(spark, sf):
         assert q.JOBS[name](f).count() == n, name
     broken = spark.createDataFrame([(1, "front", 10, 10, bytearray(5)), (2, "back", None, 4, None)], "image_id long, side string, height int, width int, pixels binary")
     assert p.phash_images(broken).count() == 0
+
+
+def test_pictures_are_changed_in_the_stage_that_draws_them(spark, sf):
+    from cardloom.plans import QUERIES
+
+    for name in ("v12_mask_corners", "v8_surface_dings_of_scratched_cards"):
+        assert QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
