@@ -172,3 +172,10 @@ def test_cards_of_a_term_are_ranked_once_for_all_its_queries(spark, monkeypatch)
     assert not any("Window [" in line and "query_id" in line for line in hits._jdf.queryExecution().executedPlan().toString().split("\n"))
     want = [(q, c[0]) for q, name in asked if name and len(name) >= 3 for c in [c for c in cards if c[3] and name.strip().lower() in c[3].lower()][:50]]
     assert sorted((r.query_id, r.card_id) for r in hits.collect()) == sorted(want)
+
+
+def test_population_joins_scans_once(spark, sf):
+    from cardloom.plans import QUERIES
+
+    plan = QUERIES["a15_population"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderkey") and plan.count("Relation [o_orderkey") == 1
