@@ -38,20 +38,35 @@ def adapted(f: Inputs, adapter: str) -> DataFrame:
 
 #: Batches that the ordered streams get their rows in, and how far a row may be moved out of its place, in minutes.
 BATCHES, MOVED = 5, 60
+#: Rows of a batch's file, on average.
+PER_FILE = 500_000
 
 
-def disordered(f: Inputs) -> DataFrame:
-    """The events as a stream of BATCHES files in rough order of time, each row moved by up to MOVED minutes, and a heartbeat at the end."""
+def disordered(f: Inputs, per_file: int = PER_FILE) -> DataFrame:
+    """The events as a stream of BATCHES batches in rough order of time, each row moved by up to MOVED minutes, and a heartbeat at the end.
+
+    Every batch has equally many files, and every file a heartbeat, so that none is left out for having no rows.
+    """
     at = scratch(f)
     moved = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(MOVED * 60_000_000))
     # quarters of an hour of a stream that lasts for days: each batch has all rows between two times
-    low, high = f.events.select(moved.alias("m")).agg(F.min("m"), F.max("m")).first()
+    low, high, rows = f.events.select(moved.alias("m")).agg(F.min("m"), F.max("m"), F.count(F.lit(1))).first()
     step = max(1, -(-((high or 0) - (low or 0) + 1) // BATCHES))
+    files = max(1, -(-rows // (BATCHES * per_file)))
+
+    def beats(micros: int) -> DataFrame:
+        nothing = [F.lit(None).cast(c.dataType).alias(c.name) for c in f.events.schema if c.name != "ts"]
+        ts = F.timestamp_micros(F.lit(micros)).cast(f.events.schema["ts"].dataType).alias("ts")
+        return f.spark.range(files).select(*nothing, ts, F.col("id").cast("int").alias("_file"))
+
+    def land(df: DataFrame) -> None:
+        df.repartitionById(files, F.col("_file")).drop("_file").write.mode("append").option("maxRecordsPerFile", 0).parquet(at)
+
+    spread = f.events.withColumn("_file", F.pmod(F.xxhash64("event_id", "ts"), F.lit(files)).cast("int"))
     for k in range(BATCHES):
-        f.events.where(F.floor((moved - (low or 0)) / step) == k).coalesce(1).write.mode("append").parquet(at)
-    beat = {"event_id": F.lit(None).cast("long"), "ts": F.timestamp_micros(F.lit((high or 0) + 10 * MOVED * 60_000_000)).cast(f.events.schema["ts"].dataType)}
-    f.events.limit(1).withColumns(beat).coalesce(1).write.mode("append").parquet(at)
-    return f.spark.readStream.schema(f.events.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        land(spread.where(F.floor((moved - (low or 0)) / step) == k).unionByName(beats(low or 0)))
+    land(beats((high or 0) + 10 * MOVED * 60_000_000))
+    return f.spark.readStream.schema(f.events.schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 def finished(f: Inputs, df: DataFrame) -> DataFrame:

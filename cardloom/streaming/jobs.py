@@ -87,7 +87,7 @@ def calibration_stream(samples: DataFrame, fractions: list[str], delay: str = "1
         return (count, *mean), (count, *mean)
 
     columns = "count long, " + ", ".join(f"{c} double" for c in fractions)
-    return fold_in_order(samples, ["device", "kind"], fractions, fold, columns, columns, delay)
+    return fold_in_order(samples, ["device", "kind"], fractions, fold, columns, delay)
 
 
 def stability_stream(frames: DataFrame, delay: str = "1 hour", move: float = 3.0) -> DataFrame:
@@ -104,7 +104,7 @@ def stability_stream(frames: DataFrame, delay: str = "1 hour", move: float = 3.0
             last = now
         return (run, *last), (run,)
 
-    return fold_in_order(frames, ["session_id"], ["x_left", "top", "width", "fill"], fold, "run int, x_left double, top double, width double", "run int", delay)
+    return fold_in_order(frames, ["session_id"], ["x_left", "top", "width", "fill"], fold, "run int", delay)
 
 
 class FirstOnce(StatefulProcessor):

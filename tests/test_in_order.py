@@ -2,13 +2,17 @@
 
 import random
 from datetime import datetime, timedelta, timezone
+from functools import partial
 
 import pytest
 
+from cardloom.plans import streaming
+from cardloom.plans.base import Inputs
 from cardloom.streaming import jobs
 from cardloom.streaming.in_order import started
 from cardloom.streaming.jobs import fold_mean
 
+from .test_oracle import compare, duck  # noqa: F401
 from .test_pieces import runs
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -67,3 +71,39 @@ def test_calibrations(spark, tmp_path):
         last = max((x for x in got if x.device == device), key=lambda x: x["count"])
         count, mean = fold_mean(0, [], [list(x[4:]) for x in own])
         assert last["count"] == count == len(own) and [last.x, last.y] == pytest.approx(mean)
+
+
+def test_rows_of_one_millisecond_and_large_ids_beside_a_heartbeat(spark, tmp_path):
+    at = lambda micros: START + timedelta(microseconds=micros)
+    big = 2**60
+    # by time the frames lie at 20, 29, 29, 29; by id at 29, 29, 29, 20
+    rows = [(s, big + 10 * k + (3 - n), at(100 * n), 29.0 if n else 20.0, 15.0, 40.0, 50.0) for k, s in enumerate([big + 1, big + 2, None]) for n in range(4)]
+    first = (1, None, START, None, None, None, None)
+    beat = (1, None, START + timedelta(days=9), None, None, None, None)
+    got = streamed(spark, tmp_path, [[first, *rows]], SCHEMA, lambda s: jobs.stability_stream(s, "10 minutes"), beat)
+    want = {(s, big + 10 * k + (3 - n)): [1, 1, 2, 3][n] for k, s in enumerate([big + 1, big + 2, None]) for n in range(4)}
+    assert {(x.session_id, x.event_id): x.run for x in got} == want and len(got) == len(want) and not any(x.late for x in got)
+
+
+def test_state_does_not_grow_by_a_value_a_key(spark, tmp_path):
+    at, n = str(tmp_path / "in"), 3000
+    for minutes, ids in ((0, range(n)), (9 * 1440, [None])):
+        rows = [(k or 0, k, START + timedelta(minutes=minutes), 20.0, 15.0, 40.0, 50.0) for k in ids]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(at)
+    out = jobs.stability_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(at))
+    writer = out.writeStream.format("parquet").option("path", f"{at}-out").option("checkpointLocation", f"{at}-state").trigger(availableNow=True)
+    query = started(writer, spark)
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < n / 2
+    assert sorted((x.event_id, x.run) for x in spark.read.parquet(f"{at}-out").collect()) == [(k, 1) for k in range(n)]
+
+
+def test_batches_of_several_files(spark, duck, sf, tmp_path, monkeypatch):  # noqa: F811
+    with monkeypatch.context() as m:
+        m.setattr(streaming, "scratch", lambda f: str(tmp_path / "landed"))
+        rows = Inputs(spark, sf).events.count()
+        streaming.disordered(Inputs(spark, sf), per_file=max(1, rows // 20))
+    landed = spark.read.parquet(str(tmp_path / "landed"))
+    assert len(landed.inputFiles()) == 4 * (streaming.BATCHES + 1) and landed.where("event_id IS NOT NULL").count() == rows
+    monkeypatch.setattr(streaming, "disordered", partial(streaming.disordered, per_file=max(1, rows // 20)))
+    assert compare(spark, duck, sf, "t3_stability_stream") == rows
